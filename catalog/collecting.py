@@ -87,15 +87,15 @@ def search_time_window(spark, sf_dir):
 
 
 @catalog.add("search_grid_topk", _hits("doc_posts") + """
-    select post_id, cell, rk as rank, q as query_no, sort_name as extraction_sort from hits""")
+    select post_id, cell, cast(rk as int) as rank, q as query_no, sort_name as extraction_sort from hits""")
 def search_grid_topk(spark, sf_dir):
     hits = searching.search_hits(doc_posts(spark, sf_dir), GRID, K)
     number = F.array_position(F.array(*[F.lit(str(q)) for q in QUERIES]), F.col("extraction_query")) - 1
-    return hits.select("post_id", "cell", "rank", number.alias("query_no"), "extraction_sort")
+    return hits.select("post_id", "cell", "rank", number.cast("int").alias("query_no"), "extraction_sort")
 
 
 @catalog.add("search_first_seen_posts", _hits("(select * from doc_posts where post_created_utc >= 1704067200 + 86400 * 7)") + """
-    select post_id, cell, rk as rank, sort_name as extraction_sort from (
+    select post_id, cell, cast(rk as int) as rank, sort_name as extraction_sort from (
       select *, row_number() over (partition by post_id order by cell, rk) as rn from hits) where rn = 1""")
 def search_first_seen_posts(spark, sf_dir):
     hits = searching.search_hits(doc_posts(spark, sf_dir), GRID, K, as_of=datetime(2025, 1, 8), window="year")
@@ -154,7 +154,7 @@ def running_unique_posts(spark, sf_dir):
 
 
 _SOURCE_POSTS = [
-    "conv_id as id", "'src' || cast(conv_id % 20 as string) as community", "split_part(text, chr(10), 1) as title",
+    "conv_id as id", "'src' || cast(conv_id % 20 as string) as community", "substr(text, 1, 40) as title",
     "text as body", "'https://forum.example/' || cast(conv_id as string) as url", "(conv_id * 37) % 101 as score",
     "cast(conv_id % 100 as double) / 100e0 as upvote_ratio", "(conv_id * 13) % 57 as num_comments",
     "conv_id % 3 as num_crossposts", "conv_id % 2 as total_awards", "conv_id % 4 <> 0 as is_self",

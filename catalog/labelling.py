@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog, docs, response_expr, table, truth
-from chorale.functions.lexicon import lexicon_scorer
-from chorale.functions.responses import with_value
+from chorale.functions.lexicon import lexicon_answers, lexicon_scorer
+from chorale.functions.responses import parse_response, with_value
 from chorale.operators import assembly, explore, metrics, sampling, scoring
 from chorale.operators.prompts import few_shot_text, prompt_parts
 from chorale.registry import FEATURES, FRAME, QUALITY, RELEVANCE, SENTIMENT, STANCE, TONE
@@ -67,11 +67,11 @@ _SCORES = _SPLIT + ", scores as (select comment_id, text_content, doc_id, " + ",
 
 def scored(spark, sf_dir, *names):
     """Documents with the typed value of each named feature, in one pass over the texts."""
-    df = docs(spark, sf_dir)
-    df = df.select("comment_id", *[SCORERS[n](F.col("text_content")).alias(f"r_{n}") for n in names])
+    answers = lexicon_answers([FEATURES[n] for n in names], LISTS, STEP)
+    df = docs(spark, sf_dir).select("comment_id", answers(F.col("text_content")).alias("a"))
     return df.select("comment_id", *[
-        F.coalesce(F.try_variant_get(F.try_parse_json(f"r_{n}"), f"$.{n}", FEATURES[n].spark_type),
-                   F.lit(FEATURES[n].sentinel)).alias(n) for n in names])
+        F.coalesce(parse_response(F.col("a")[i]["response"], FEATURES[n]), F.lit(FEATURES[n].sentinel)).alias(n)
+        for i, n in enumerate(names)])
 
 
 # --- samples
@@ -121,7 +121,7 @@ def split_counts(spark, sf_dir):
 
 
 @catalog.add("sample_large", f"""
-    select comment_id, rk as rank from (
+    select comment_id, cast(rk as int) as rank from (
       select comment_id, row_number() over (order by {_KEY}, comment_id) as rk from docs) where rk <= 2000""")
 def sample_large(spark, sf_dir):
     """Above the size that is cut down by rank inside the map tasks."""
@@ -196,7 +196,7 @@ def _score_query(name):
     @catalog.add(f"score_{name}", _SCORES + f"""
         select comment_id, {name}, false as is_error, false as out_of_domain from scores""")
     def query(spark, sf_dir):
-        answers = scoring.call_columns(docs(spark, sf_dir), {name: SCORERS[name]})
+        answers = scoring.call_columns(docs(spark, sf_dir), scoring.each({name: SCORERS[name]}))
         return scoring.feature_table(answers.withColumn("scored_at", F.lit(None)), feature).drop("raw_response")
 
 
@@ -209,7 +209,8 @@ for _name in LISTS:
     + (f"'\"' || {n} || '\"'" if FEATURES[n].labels else f"cast({n} as string)")
     + " || '}' as response from scores" for n in LISTS))
 def score_all_features(spark, sf_dir):
-    return scoring.call_columns(docs(spark, sf_dir), SCORERS)
+    """All six features from one pass over each text."""
+    return scoring.call_columns(docs(spark, sf_dir), lexicon_answers(list(FEATURES.values()), LISTS, STEP))
 
 
 _BREAKS = "(length(text_content) - length(replace(text_content, chr(10), '')))"
@@ -454,7 +455,7 @@ def stream_incremental_scores(spark, sf_dir):
         stream = landing_stream(spark, sf_dir, schema, pattern="documents.parquet").selectExpr(
             "cast(doc_id as string) as comment_id", "text as text_content")
         query = score_stream(stream, f"{folder}/answers", f"{folder}/checkpoint", [RELEVANCE],
-                             lambda queue: scoring.call_columns(queue, {RELEVANCE.name: SCORERS[RELEVANCE.name]}))
+                             lambda queue: scoring.call_columns(queue, scoring.each({RELEVANCE.name: SCORERS[RELEVANCE.name]})))
         query.awaitTermination()
     answers = scoring.read_store(spark, f"{folder}/answers")
     return scoring.feature_table(answers, RELEVANCE).select("comment_id", RELEVANCE.name, "is_error")

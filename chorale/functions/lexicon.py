@@ -1,8 +1,7 @@
 """Word-list scorers: whole-text, deterministic, offline answers in the form a model would give.
 
-They stand in wherever no model is at hand, keep the scoring path testable, and stay inside
-generated code. One pattern pass collects all listed words of a text; the lists are then counted
-on that short array.
+They stand in wherever no model is at hand and keep the scoring path testable. One pattern pass collects all listed words of a text; the lists are then counted
+on that short array. Nothing leaves the JVM.
 """
 
 from __future__ import annotations
@@ -14,18 +13,32 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from chorale.functions.terms import whole_words
 from chorale.registry import CATEGORICAL, CONTINUOUS, Feature
 
 Scorer = Callable[[Column], Column]
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once, however often `body` uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def listed_words(text: Column, words: Sequence[str]) -> Column:
-    """Every occurrence of a listed word, in order. Lists hold lower-case words only."""
+    """Every occurrence of a listed word, in order. Lists hold lower-case words only.
+
+    Texts that hold none of the words as a plain substring never reach the pattern.
+    """
     bad = [w for w in words if not re.fullmatch(r"[a-z0-9_]+", w)]
     if bad:
         raise ValueError(f"not plain lower-case words: {bad}")
-    pattern = f"(?<![a-z0-9_])(?:{'|'.join(words)})(?![a-z0-9_])"
-    return F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
+
+    def found(lower: Column) -> Column:
+        held = reduce(lambda a, b: a | b, [lower.contains(w) for w in words])
+        hits = F.regexp_extract_all(lower, F.lit(whole_words(words)), F.lit(0))
+        return F.when(held, hits).otherwise(F.array().cast("array<string>"))
+
+    return _let(F.lower(text), found)
 
 
 def _count(found: Column, words: Sequence[str]) -> Column:
@@ -43,32 +56,51 @@ def valence(good: Column, bad: Column) -> Column:
     return F.coalesce(balance, F.lit(0.0))
 
 
-def lexicon_scorer(feature: Feature, lists: Mapping[str, Sequence[str]], step: int = 1) -> Scorer:
-    """A Column scorer answering `{"<feature>": value}`.
+Lists = Mapping[str, Sequence[str]]
+
 
-    `lists` by kind: ordinal — any keys, all words count alike; continuous — `good` and `bad`;
-    categorical — one list per label, most hits wins, the earlier label on a tie, `Other` without hits.
+def _answer(found: Column, feature: Feature, lists: Lists, step: int) -> Column:
+    if feature.kind == CATEGORICAL:
+        value = _top_label(found, feature, lists)
+    elif feature.kind == CONTINUOUS:
+        value = valence(_count(found, lists["good"]), _count(found, lists["bad"]))
+    else:
+        value = ordinal_level(_count(found, [w for ws in lists.values() for w in ws]), feature, step)
+    return F.to_json(F.struct(value.alias(feature.name)))
+
+
+def lexicon_answers(features: Sequence[Feature], lists: Mapping[str, Lists],
+                    steps: Mapping[str, int] | None = None) -> Callable[[Column], Column]:
+    """Answers for all given features from one pass over the text: array of (feature, response).
+
+    `lists` per feature and kind: ordinal - any keys, all words count alike, a level per `step` hits;
+    continuous - `good` and `bad`; categorical - one list per label, most hits wins, the earlier label
+    on a tie, `Other` without hits.
     """
-    words = sorted({w for ws in lists.values() for w in ws})
+    words = sorted({w for f in features for ws in lists[f.name].values() for w in ws})
+
+    def all_answers(found: Column) -> Column:
+        return F.array(*[
+            F.struct(F.lit(f.name).alias("feature"),
+                     _answer(found, f, lists[f.name], (steps or {}).get(f.name, 1)).alias("response"))
+            for f in features
+        ])
 
-    def answer(text: Column) -> Column:
-        found = listed_words(text, words)
-        if feature.kind == CATEGORICAL:
-            value = F.transform(F.array(found), lambda hit: _top_label(hit, feature, lists))[0]
-        elif feature.kind == CONTINUOUS:
-            value = F.transform(
-                F.array(found), lambda hit: valence(_count(hit, lists["good"]), _count(hit, lists["bad"])))[0]
-        else:
-            value = ordinal_level(F.size(found), feature, step)
-        return F.to_json(F.struct(value.alias(feature.name)))
+    return lambda text: _let(listed_words(text, words), all_answers)
 
-    return answer
+
+def lexicon_scorer(feature: Feature, lists: Lists, step: int = 1) -> Scorer:
+    """A Column scorer for one feature: text to `{"<feature>": value}`."""
+    answers = lexicon_answers([feature], {feature.name: lists}, {feature.name: step})
+    return lambda text: answers(text)[0]["response"]
 
 
 def _top_label(found: Column, feature: Feature, lists: Mapping[str, Sequence[str]]) -> Column:
-    counts = [(label, _count(found, lists[label])) for label in feature.labels if label in lists]
-    best = reduce(lambda a, b: F.greatest(a, b), [c for _, c in counts], F.lit(0))
-    choice = F.when(best == 0, F.lit("Other"))
-    for label, count in counts:
-        choice = choice.when(count == best, F.lit(label))
-    return choice
+    labels = [label for label in feature.labels if label in lists]
+
+    def choose(counts: Column) -> Column:
+        best = F.array_max(counts)
+        first = F.array_position(counts, best).cast("int")
+        return F.when(best == 0, "Other").otherwise(F.get(F.array(*[F.lit(x) for x in labels]), first - 1))
+
+    return _let(F.array(*[_count(found, lists[label]) for label in labels]), choose)

@@ -25,6 +25,8 @@ from chorale.schema import RESPONSES
 from chorale.sources.files import path_exists
 
 ColumnScorer = Callable[[Column], Column]
+# text -> array of (feature, response)
+ColumnAnswers = Callable[[Column], Column]
 # Called once per task; the returned function answers one (feature name, text) at a time.
 ClientFactory = Callable[[], Callable[[str, str], str | None]]
 
@@ -65,20 +67,20 @@ def call_client(queue: DataFrame, features: Sequence[Feature], factory: ClientFa
     return rows.mapInPandas(run, f"{ID} string, feature string, response string")
 
 
-def call_columns(queue: DataFrame, scorers: Mapping[str, ColumnScorer]) -> DataFrame:
-    """Answers of Column scorers, in the same shape as `call_client`."""
-    answers = F.array(*[
-        F.struct(F.lit(name).alias("feature"), _if_wanted(queue, name, score(F.col("text_content"))).alias("response"))
-        for name, score in scorers.items()
-    ])
-    out = queue.select(ID, *(["wanted"] if "wanted" in queue.columns else []), F.explode(answers).alias("a"))
-    if "wanted" in queue.columns:
-        out = out.filter(F.array_contains("wanted", F.col("a.feature")))
-    return out.select(ID, "a.feature", "a.response")
+def each(scorers: Mapping[str, ColumnScorer]) -> ColumnAnswers:
+    """One Column scorer per feature, as a function giving all answers of a text."""
+    return lambda text: F.array(*[
+        F.struct(F.lit(name).alias("feature"), score(text).alias("response")) for name, score in scorers.items()])
 
 
-def _if_wanted(queue: DataFrame, name: str, answer: Column) -> Column:
-    return F.when(F.array_contains("wanted", F.lit(name)), answer) if "wanted" in queue.columns else answer
+def call_columns(queue: DataFrame, answers: ColumnAnswers) -> DataFrame:
+    """Answers computed by Spark expressions, in the same shape as `call_client`."""
+    has_wanted = "wanted" in queue.columns
+    kept = queue.select(ID, "text_content", *(["wanted"] if has_wanted else []))
+    out = kept.withColumn("a", F.explode(answers(F.col("text_content")))).drop("text_content")
+    if has_wanted:
+        out = out.filter(F.array_contains("wanted", F.col("a.feature")))
+    return out.select(ID, "a.feature", "a.response")
 
 
 def read_store(spark: SparkSession, path: str) -> DataFrame:
