@@ -90,9 +90,9 @@ def lookup_post(spark, sf_dir):
         "post_id", "post_title", "post_score", "extraction_id")
 
 
-@catalog.add("lookup_comment", _PROCESSED + "select comment_id, text_content from processed where post_id = '5' and comment_id = '5_1'")
+@catalog.add("lookup_comment", _PROCESSED + "select comment_id, text_content from processed where post_id = '16' and comment_id = '16_2'")
 def lookup_comment(spark, sf_dir):
-    return explore.lookup(processed(spark, sf_dir), post_id="5", comment_id="5_1").select("comment_id", "text_content")
+    return explore.lookup(processed(spark, sf_dir), post_id="16", comment_id="16_2").select("comment_id", "text_content")
 
 
 @catalog.add("extraction_view", "select comment_id, comment_score from comments_raw where extraction_id = '20240201000000'")
