@@ -130,7 +130,8 @@ def search_comments_of_posts(spark, sf_dir):
     from chorale.operators.cleaning import merge_runs
 
     hits = searching.search_hits(merge_runs(posts_raw(spark, sf_dir), "post_id"), GRID, K)
-    return searching.comments_of(comments_raw(spark, sf_dir), hits).select("comment_id", "post_id", "extraction_id")
+    found = searching.comments_of(comments_raw(spark, sf_dir), hits, GRID.size * K)
+    return found.select("comment_id", "post_id", "extraction_id")
 
 
 @catalog.add("search_found_posts_wide", _hits("doc_posts") + """

@@ -402,7 +402,8 @@ def relevance_filter(spark, sf_dir):
 def feature_wide_join(spark, sf_dir):
     """Relevance only where people labelled it, three features everywhere; a second join adds nothing."""
     tables = {RELEVANCE.name: truth(spark, sf_dir)}
-    tables |= {n: scored(spark, sf_dir, n) for n in (STANCE.name, TONE.name, SENTIMENT.name)}
+    names = (STANCE.name, TONE.name, SENTIMENT.name)
+    tables |= dict.fromkeys(names, scored(spark, sf_dir, *names))
     once = assembly.join_features(docs(spark, sf_dir), tables)
     return assembly.join_features(once, tables).select("comment_id", "n_chars", *tables)
 

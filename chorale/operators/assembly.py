@@ -30,8 +30,12 @@ def join_features(base: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame
 
     Successive left joins on one key: the wide base is shuffled once and its partitioning serves all
     of them, each narrow feature table is shuffled once or broadcast. On bucketed tables nothing is.
+    A frame given for several features is joined once. Feature tables have one row per id.
     """
+    names_of: dict[int, list[str]] = {}
     for name, table in tables.items():
         if name not in base.columns:
-            base = join_feature(base, table, name)
+            names_of.setdefault(id(table), []).append(name)
+    for names in names_of.values():
+        base = base.join(tables[names[0]].select(ID, *names), ID, "left")
     return base

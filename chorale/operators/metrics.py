@@ -51,6 +51,8 @@ def compare(truth: DataFrame, predictions: dict[str, DataFrame], features: Seque
         label = cast_label(F.col(f.name).cast("string"), f)
         known = truth.select("comment_id", label.alias("truth")).filter(F.col("truth").isNotNull())
         guess = predictions[f.name].select("comment_id", F.col(f.name).alias("guess"), "is_error")
+        # Labels are few and predictions many: cut the many down before the outer join shuffles them.
+        guess = guess.join(known.select("comment_id"), "comment_id", "left_semi")
         pair = known.join(guess, "comment_id", "left").select(
             F.lit(f.name).alias("feature"), F.lit(f.kind).alias("kind"),
             F.lit(f.cutoff).cast("int").alias("cutoff"), F.lit(f.threshold).alias("threshold"),

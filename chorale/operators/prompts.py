@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +57,24 @@ def prompt_parts(feature: Feature, topic: str, examples: str) -> tuple[str, str]
 def prompt_column(text: Column, feature: Feature, topic: str, examples: str) -> Column:
     head, tail = prompt_parts(feature, topic, examples)
     return F.concat(F.lit(head), text, F.lit(tail))
+
+
+def prompt_factory(connect: Callable[[], Callable[[str], str]], features: Sequence[Feature], topic: str,
+                   examples: Mapping[str, str]) -> Callable[[], Callable[[str, str], str]]:
+    """A client factory for `call_client` around a model that maps a prompt to its answer.
+
+    `connect` is called once per task and opens the model; `examples` holds each feature's few-shot
+    text, `[]` for none.
+    """
+    parts = {f.name: prompt_parts(f, topic, examples[f.name]) for f in features}
+
+    def factory() -> Callable[[str, str], str]:
+        model = connect()
+
+        def client(feature: str, text: str) -> str:
+            head, tail = parts[feature]
+            return model(head + text + tail)
+
+        return client
+
+    return factory

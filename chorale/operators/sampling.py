@@ -67,14 +67,16 @@ def seeded_sample(df: DataFrame, n: int, seed: int, rank: str | None = None) ->
     if n <= GROUP_LIMIT:
         picked = top_k(narrow, n, order, spread_by=ID)
     else:
-        picked = _smallest_keys(narrow, n).orderBy(*order).limit(n)
+        picked = _smallest_keys(narrow, n).distinct().orderBy(*order).limit(n)
     picked = picked.select(ID).distinct()
     if n <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
-    # Copies of an id may bring back more rows than were picked, so the cut is made once more.
-    rows = df.join(picked, ID).withColumn("__key", sample_key(seed))
-    rows = top_k(rows, n, order, rank=rank or "__rank").drop("__key")
-    return rows if rank else rows.drop("__rank")
+    # Copies of an id may bring back more rows than were picked, so the cut is made once more; every
+    # task keeps at most n rows for it.
+    rows = df.join(picked, ID).withColumn("__key", sample_key(seed)).orderBy(*order).limit(n)
+    if rank:
+        rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
+    return rows.drop("__key")
 
 
 def pilot_cut(queue: DataFrame, size: int, seed: int) -> DataFrame:

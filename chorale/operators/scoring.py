@@ -130,12 +130,18 @@ def append_answers(answers: DataFrame, path: str) -> None:
 
 
 def score_into_store(df: DataFrame, store_path: str, features: Sequence[Feature],
-                     ask: Callable[[DataFrame], DataFrame], retry_errors: bool = False) -> None:
-    """Asks for what the store lacks and appends the answers. Run twice, the second run asks nothing."""
-    spark = df.sparkSession
-    done = answered(read_store(spark, store_path), features, retry_errors)
-    queue = resume_queue(unique_texts(df.select(ID, "text_content")), done, features)
-    append_answers(ask(queue), store_path)
+                     ask: Callable[[DataFrame], DataFrame], retry_errors: bool = False, commits: int = 1) -> None:
+    """Asks for what the store lacks and appends the answers. Run twice, the second run asks nothing.
+
+    With several `commits` the ids are split by hash and each share is stored before the next is
+    asked for: a job that fails loses at most one share of paid answers, for one more scan per share.
+    """
+    for share in range(commits):
+        part = df.select(ID, "text_content")
+        if commits > 1:
+            part = part.filter(F.pmod(F.xxhash64(ID), F.lit(commits)) == share)
+        done = answered(read_store(df.sparkSession, store_path), features, retry_errors)
+        append_answers(ask(resume_queue(unique_texts(part), done, features)), store_path)
 
 
 def feature_table(store: DataFrame, feature: Feature, retried: bool = False) -> DataFrame:

@@ -93,21 +93,28 @@ def first_seen_posts(hits: DataFrame) -> DataFrame:
     return one_per_key(hits, ["post_id"], [F.asc("cell"), F.asc("rank")])
 
 
-def comments_of(comments: DataFrame, posts: DataFrame) -> DataFrame:
+def _join_found(comments: DataFrame, found: DataFrame, max_found: int | None) -> DataFrame:
+    """Comments with the columns of their found post, whose ids are unique.
+
+    With a known bound on its rows that is small enough, `found` is broadcast and no comment is
+    shuffled. Otherwise posts with very many comments are split over tasks.
+    """
+    if max_found is not None and max_found <= BROADCAST_ROWS:
+        return comments.join(F.broadcast(found), "post_id")
+    return spread_join(comments, found, "post_id", "comment_id")
+
+
+def comments_of(comments: DataFrame, posts: DataFrame, max_posts: int | None = None) -> DataFrame:
     """The comments of the given posts."""
-    return comments.join(posts.select("post_id"), "post_id", "left_semi")
+    return _join_found(comments, posts.select("post_id").distinct(), max_posts)
 
 
 def first_seen_comments(comments: DataFrame, seen: DataFrame, max_seen: int | None = None) -> DataFrame:
     """Each comment of a seen post once; under two posts, the earlier found one keeps it.
 
-    `seen` has post_id, cell, rank. With a known bound `max_seen` on its rows that is small enough it
-    is broadcast, and no comment is shuffled for the join.
+    `seen` has post_id, cell, rank and at most `max_seen` rows.
     """
-    order = seen.select("post_id", "cell", "rank")
-    if max_seen is not None and max_seen <= BROADCAST_ROWS:
-        order = F.broadcast(order)
-    joined = comments.join(order, "post_id")
+    joined = _join_found(comments, seen.select("post_id", "cell", "rank"), max_seen)
     return one_per_key(joined, ["comment_id"], [F.asc("cell"), F.asc("rank"), F.asc("post_id")]).drop("cell", "rank")
 
 

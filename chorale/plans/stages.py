@@ -74,7 +74,7 @@ def validate(val: DataFrame, features: Sequence[Feature], ask: Ask, store: str,
 
 
 def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, pilot: tuple[int, int] | None = None,
-             labelled: DataFrame | None = None, retry_errors: bool = False) -> None:
+             labelled: DataFrame | None = None, retry_errors: bool = False, commits: int = 1) -> None:
     """Scores what the store still lacks. `pilot` is (size, seed); each pilot run advances by its size.
 
     `labelled`: rows people labelled, left out of scoring. Features share the scan of a full run; in a
@@ -83,7 +83,7 @@ def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, p
     if labelled is not None:
         df = sampling.without_ids(df, labelled)
     if pilot is None:
-        scoring.score_into_store(df, store, features, ask, retry_errors)
+        scoring.score_into_store(df, store, features, ask, retry_errors, commits)
         return
     size, seed = pilot
     for feature in features:

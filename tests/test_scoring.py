@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from chorale.functions.lexicon import lexicon_scorer
 from chorale.functions.responses import cast_label, with_value
 from chorale.operators import metrics, scoring
-from chorale.operators.prompts import example_list, few_shot_text, prompt_column
+from chorale.operators.prompts import example_list, few_shot_text, prompt_column, prompt_factory
 from chorale.registry import FEATURES, RELEVANCE, SENTIMENT, STANCE, TONE, select_features
 
 R, S, T = RELEVANCE.name, SENTIMENT.name, TONE.name
@@ -100,6 +100,15 @@ def test_client_failures_become_sentinels(spark):
     assert answers.count() == 8
 
 
+def test_model_gets_rubric_examples_and_text(spark):
+    def connect():
+        return lambda prompt: json.dumps({R: 5 if "[1,2]" in prompt and prompt.endswith("hello\n") else 0})
+
+    factory = prompt_factory(connect, [RELEVANCE], "a topic", {R: "[1,2]"})
+    got = scoring.call_client(texts(spark, [("a", "hello"), ("b", "x")]), [RELEVANCE], factory).collect()
+    assert {r.comment_id: r.response for r in got} == {"a": f'{{"{R}": 5}}', "b": f'{{"{R}": 0}}'}
+
+
 def counting_ask(log):
     def ask(queue):
         log.append(queue.count())
@@ -116,6 +125,14 @@ def test_resume_pays_once(spark, tmp_path):
     assert sorted(r.comment_id for r in scoring.read_store(spark, store).collect()) == list("abcde")
 
 
+def test_shares_are_committed_one_by_one(spark, tmp_path):
+    store, log = str(tmp_path / "s"), []
+    df = spark.range(50).select(F.col("id").cast("string").alias("comment_id"), F.lit("x").alias("text_content"))
+    scoring.score_into_store(df, store, [RELEVANCE], counting_ask(log), commits=3)
+    assert len(log) == 3 and sum(log) == 50 and min(log) > 0
+    assert scoring.read_store(spark, store).select("comment_id").distinct().count() == 50
+
+
 def test_resume_per_feature(spark, tmp_path):
     df = texts(spark, [("a", "x"), ("b", "x"), ("c", "x")])
     done = spark.createDataFrame([("a", R), ("a", STANCE.name), ("b", R)], "comment_id string, feature string")
