@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
+from chorale.functions.text import text_content
+from chorale.operators.cleaning import drop_comment_noise, drop_post_noise
 from chorale.operators.scoring import score_into_store
 from chorale.registry import Feature
 
@@ -37,3 +39,15 @@ def score_stream(stream: DataFrame, store: str, checkpoint: str, features: Seque
 
     return (stream.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
+
+
+def clean_stream(comments: DataFrame, posts: DataFrame) -> DataFrame:
+    """Arriving comments, cleaned and with their text assembled from the stored posts.
+
+    `posts` has one row per post (see `merge_runs`). Every micro-batch joins the posts as stored when
+    it runs. A comment that comes before its post is not in the store afterwards, so the next batch run
+    over the processed table scores it.
+    """
+    kept = drop_post_noise(posts).select("post_id", "post_title", "post_body")
+    joined = drop_comment_noise(comments).join(kept, "post_id")
+    return joined.select("comment_id", text_content().alias("text_content"))

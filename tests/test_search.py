@@ -126,3 +126,12 @@ def test_author_defaults(spark):
     assert (got["b"].author_name, got["b"].author_id, got["b"].account_age_days) == ("[suspended]", "[unavailable]", -1)
     assert got["d"].author_name == "[deleted]" and got["d"].author_post_karma == 0
     assert spark.range(1).select(age_days(F.lit(0.0), datetime(1970, 1, 2))).first()[0] == 1
+
+
+def test_preset_queries(spark):
+    from chorale import presets
+
+    texts = ["Israel and the war", "war in gaza", "gaza beach", "war", "ANTI-SEMITIC trope about Israel", "palestinefree islamophobia"]
+    found = {q: hits(spark, getattr(presets, q), texts) for q in ("SECURITY", "GEOPOLITICAL", "MEDIA", "ANY_MENTION")}
+    assert found == {"SECURITY": {0, 1}, "GEOPOLITICAL": {4}, "MEDIA": {4, 5}, "ANY_MENTION": {1, 2, 5}}
+    assert (len(presets.COMMUNITIES), len(presets.QUERIES)) == (18, 5)

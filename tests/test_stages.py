@@ -11,7 +11,7 @@ from chorale.plans import stages
 from chorale.registry import RELEVANCE, SENTIMENT, TONE
 from chorale.schema import RAW_COMMENTS, RAW_POSTS
 from chorale.sources import files, labels, raw
-from chorale.streaming.scoring import landing_stream, score_stream
+from chorale.streaming.scoring import clean_stream, landing_stream, score_stream
 
 R = RELEVANCE.name
 
@@ -235,3 +235,14 @@ def test_second_pass_features_share_a_scan(spark, tmp_path):
     answers = scoring.read_store(spark, store)
     assert answers.count() == 2
     assert scoring.feature_table(answers, TONE).first()[TONE.name] == "Other"
+
+
+def test_stream_of_raw_comments(spark, tmp_path):
+    land, store = str(tmp_path / "land"), str(tmp_path / "store")
+    comments(spark, [("c1", "p1", "one"), ("c2", "p1", "[removed]"), ("c3", "p2", "noise post"), ("c4", "p9", "no post")]).write.parquet(land)
+    stored = posts(spark, [("p1", "T", None), ("p2", "", "[deleted]")])
+    stream = clean_stream(landing_stream(spark, land, RAW_COMMENTS), stored)
+    score_stream(stream, store, str(tmp_path / "cp"), [RELEVANCE], ask).awaitTermination()
+    rows = scoring.read_store(spark, store).collect()
+    n = len("Post Title:\n\nT\n\nPost Body:\n\n\n\nComment Body:\n\none")
+    assert [(r.comment_id, r.response) for r in rows] == [("c1", f'{{"{R}": {n % 6}}}')]
