@@ -46,31 +46,32 @@ def compare(truth: DataFrame, predictions: dict[str, DataFrame], features: Seque
     `truth` holds the human labels (comment_id and feature columns), `predictions` a feature table per
     name. A labelled comment without prediction counts as an error with the sentinel.
     """
-    parts = []
+    def label(f: Feature) -> Column:
+        return cast_label(F.col(f.name).cast("string"), f)
+
+    known = truth.select("comment_id", *[label(f).alias(f"truth_{f.name}") for f in features])
+    known = known.filter(F.coalesce(*[F.col(f"truth_{f.name}").cast("string") for f in features]).isNotNull())
+    ids, wide = known.select("comment_id"), known
     for f in features:
-        label = cast_label(F.col(f.name).cast("string"), f)
-        known = truth.select("comment_id", label.alias("truth")).filter(F.col("truth").isNotNull())
-        guess = predictions[f.name].select("comment_id", F.col(f.name).alias("guess"), "is_error")
+        guess = predictions[f.name].select(
+            "comment_id", F.col(f.name).alias(f"guess_{f.name}"), F.col("is_error").alias(f"error_{f.name}"))
         # Labels are few and predictions many: cut the many down before the outer join shuffles them.
-        guess = guess.join(known.select("comment_id"), "comment_id", "left_semi")
-        pair = known.join(guess, "comment_id", "left").select(
-            F.lit(f.name).alias("feature"), F.lit(f.kind).alias("kind"),
-            F.lit(f.cutoff).cast("int").alias("cutoff"), F.lit(f.threshold).alias("threshold"),
-            F.col("truth"), F.coalesce("guess", F.lit(f.sentinel)).alias("guess"),
-            F.coalesce("is_error", F.lit(True)).alias("is_error"),
-        )
-        text = f.kind == CATEGORICAL
-        number = (lambda c: F.lit(None).cast("double")) if text else (lambda c: F.col(c).cast("double"))
-        string = (lambda c: F.col(c)) if text else (lambda c: F.lit(None).cast("string"))
-        parts.append(pair.select(
-            "feature", "kind", "cutoff", "threshold", "is_error",
-            number("truth").alias("truth_number"), number("guess").alias("guess_number"),
-            string("truth").alias("truth_text"), string("guess").alias("guess_text"),
-        ))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+        wide = wide.join(guess.join(ids, "comment_id", "left_semi"), "comment_id", "left")
+    pairs = wide.select(F.explode(F.array(*[_pair(f) for f in features])).alias("p")).select("p.*")
+    return pairs.filter(F.coalesce(F.col("truth_number").cast("string"), "truth_text").isNotNull())
+
+
+def _pair(f: Feature) -> Column:
+    truth, guess = F.col(f"truth_{f.name}"), F.coalesce(f"guess_{f.name}", F.lit(f.sentinel))
+    text = f.kind == CATEGORICAL
+    return F.struct(
+        F.lit(f.name).alias("feature"), F.lit(f.kind).alias("kind"), F.lit(f.cutoff).cast("int").alias("cutoff"),
+        F.lit(f.threshold).alias("threshold"), F.coalesce(f"error_{f.name}", F.lit(True)).alias("is_error"),
+        (F.lit(None) if text else truth).cast("double").alias("truth_number"),
+        (F.lit(None) if text else guess).cast("double").alias("guess_number"),
+        (truth if text else F.lit(None)).cast("string").alias("truth_text"),
+        (guess if text else F.lit(None)).cast("string").alias("guess_text"),
+    )
 
 
 def registry_frame(like: DataFrame, features: Sequence[Feature]) -> DataFrame:
