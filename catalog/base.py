@@ -34,11 +34,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# The first line of a text, without splitting the rest.
+POST_TITLE_LINE = "case when instr(text, chr(10)) > 0 then substr(text, 1, instr(text, chr(10)) - 1) else text end"
+
 # Conversations: turn 0 is a post, the other turns are its comments.
 POST_EXPRS = [
     "cast(conv_id as string) as post_id",
     "'src' || cast(conv_id % 20 as string) as post_subreddit",
-    "case when conv_id % 13 = 0 then '' when conv_id % 17 = 0 then null else case when instr(text, chr(10)) > 0 then substr(text, 1, instr(text, chr(10)) - 1) else text end end as post_title",
+    "case when conv_id % 13 = 0 then '' when conv_id % 17 = 0 then null else " + POST_TITLE_LINE + " end as post_title",
     "case when conv_id % 13 = 0 then '[removed]' when conv_id % 7 = 0 then null"
     " when instr(text, chr(10)) > 0 then substr(text, instr(text, chr(10)) + 1) else '' end as post_body",
     "(conv_id * 37) % 101 as post_score",
@@ -62,7 +65,7 @@ LATE_RUN = "case n % 3 when 0 then '20240201000000' else '20240301000000' end"
 DOC_POST_EXPRS = [
     "cast(doc_id as string) as post_id",
     "source as post_subreddit",
-    "case when instr(text, chr(10)) > 0 then substr(text, 1, instr(text, chr(10)) - 1) else text end as post_title",
+    POST_TITLE_LINE + " as post_title",
     "case when instr(text, chr(10)) > 0 then substr(text, instr(text, chr(10)) + 1) else '' end as post_body",
     "(doc_id * 37) % 101 as post_score",
     "(doc_id * 13) % 57 as post_num_comments",

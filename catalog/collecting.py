@@ -6,7 +6,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.base import Catalog, comments_base, comments_raw, doc_posts, posts_base, posts_raw, table
+from catalog.base import POST_TITLE_LINE, Catalog, comments_base, comments_raw, doc_posts, posts_base, posts_raw, table
 from chorale.functions.terms import all_of, any_of, phrase, prefix, searchable, term
 from chorale.functions.times import within_window
 from chorale.operators import searching
@@ -155,7 +155,7 @@ def running_unique_posts(spark, sf_dir):
 
 
 _SOURCE_POSTS = [
-    "conv_id as id", "'src' || cast(conv_id % 20 as string) as community", "substr(text, 1, 40) as title",
+    "conv_id as id", "'src' || cast(conv_id % 20 as string) as community", POST_TITLE_LINE + " as title",
     "text as body", "'https://forum.example/' || cast(conv_id as string) as url", "(conv_id * 37) % 101 as score",
     "cast(conv_id % 100 as double) / 100e0 as upvote_ratio", "(conv_id * 13) % 57 as num_comments",
     "conv_id % 3 as num_crossposts", "conv_id % 2 as total_awards", "conv_id % 4 <> 0 as is_self",

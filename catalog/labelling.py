@@ -229,7 +229,7 @@ def score_pandas_scorer(spark, sf_dir):
             return f'{{"{feature}": {min(5, breaks // 3)}}}'
         return client
 
-    answers = scoring.call_client(docs(spark, sf_dir), [RELEVANCE], factory, tasks=8)
+    answers = scoring.call_client(docs(spark, sf_dir), [RELEVANCE], factory)
     scored_rows = scoring.feature_table(answers.withColumn("scored_at", F.lit(None)), RELEVANCE)
     return scored_rows.select("comment_id", RELEVANCE.name, "is_error")
 
@@ -426,7 +426,7 @@ def embed_texts(spark, sf_dir):
     def factory():
         return lambda texts: [[float(len(t)), float(t.count("\n"))] for t in texts]
 
-    vectors = scoring.embed(docs(spark, sf_dir), factory, tasks=8)
+    vectors = scoring.embed(docs(spark, sf_dir), factory)
     return vectors.select("comment_id", F.get("embedding", F.lit(0)).alias("chars"), F.get("embedding", F.lit(1)).alias("breaks"))
 
 

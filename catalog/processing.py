@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from catalog.base import Catalog, comments_base, comments_raw, posts_base, posts_raw
 from chorale.functions.text import NOISE
 from chorale.operators import cleaning, explore
+from chorale.operators.joins import hot_keys
 
 catalog = Catalog()
 _NOISE = str(NOISE)
@@ -61,7 +62,7 @@ def dedup_first_comments(spark, sf_dir):
 def join_comments_posts(spark, sf_dir):
     raw = comments_raw(spark, sf_dir)
     posts = cleaning.merge_runs(posts_raw(spark, sf_dir), "post_id").drop("extraction_id")
-    joined = cleaning.join_posts(cleaning.merge_runs(raw, "comment_id"), posts)
+    joined = cleaning.join_posts(cleaning.merge_runs(raw, "comment_id"), posts, hot=hot_keys(raw, "post_id"))
     return joined.select("comment_id", "post_id", "post_subreddit", "comment_score", "post_score")
 
 

@@ -122,9 +122,10 @@ def unique_texts(df: DataFrame) -> DataFrame:
     return one_per_key(df, [ID], [F.asc("text_content")])
 
 
-def append_answers(answers: DataFrame, path: str) -> None:
-    """Adds answers to the store; a folder per feature, nothing is read back or rewritten."""
-    (answers.withColumn("scored_at", F.current_timestamp())
+def append_answers(answers: DataFrame, path: str, features: Sequence[Feature]) -> None:
+    """Adds the features' answers to the store; a folder per feature, nothing is read back or rewritten."""
+    (answers.filter(F.col("feature").isin(*[f.name for f in features]))
+     .withColumn("scored_at", F.current_timestamp())
      .select("comment_id", "response", "scored_at", "feature")
      .write.mode("append").partitionBy("feature").parquet(path))
 
@@ -141,7 +142,7 @@ def score_into_store(df: DataFrame, store_path: str, features: Sequence[Feature]
         if commits > 1:
             part = part.filter(F.pmod(F.xxhash64(ID), F.lit(commits)) == share)
         done = answered(read_store(df.sparkSession, store_path), features, retry_errors)
-        append_answers(ask(resume_queue(unique_texts(part), done, features)), store_path)
+        append_answers(ask(resume_queue(unique_texts(part), done, features)), store_path, features)
 
 
 def feature_table(store: DataFrame, feature: Feature, retried: bool = False) -> DataFrame:

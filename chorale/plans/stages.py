@@ -90,7 +90,7 @@ def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, p
         done = scoring.answered(scoring.read_store(df.sparkSession, store), [feature], retry_errors)
         queue = scoring.resume_queue(scoring.unique_texts(df.select("comment_id", "text_content")), done)
         queue = sampling.pilot_cut(queue, size, seed).withColumn("wanted", F.array(F.lit(feature.name)))
-        scoring.append_answers(ask(queue), store)
+        scoring.append_answers(ask(queue), store, [feature])
 
 
 def publish_feature(spark: SparkSession, store: str, feature: Feature, folder: str, retried: bool = False,

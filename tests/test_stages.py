@@ -214,7 +214,7 @@ def test_replay_after_partial_commit(spark, tmp_path):
     """A batch that died with some answers visible: the replay asks for the rest only."""
     store = str(tmp_path / "store")
     df = spark.createDataFrame([("a", "x"), ("b", "x")], "comment_id string, text_content string")
-    scoring.append_answers(ask(df.filter("comment_id = 'a'")), store)
+    scoring.append_answers(ask(df.filter("comment_id = 'a'")), store, [RELEVANCE])
     asked = []
 
     def counted(queue):
