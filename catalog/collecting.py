@@ -6,10 +6,11 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from catalog.base import POST_TITLE_LINE, Catalog, comments_base, comments_raw, doc_posts, posts_base, posts_raw, table
+from catalog.base import POST_TITLE_LINE, Catalog, comments_base, comments_raw, doc_posts, posts_raw, table
 from chorale.functions.terms import all_of, any_of, phrase, prefix, searchable, term
 from chorale.functions.times import within_window
 from chorale.operators import searching
+from chorale.operators.cleaning import merge_runs
 
 catalog = Catalog()
 
@@ -114,8 +115,6 @@ def search_first_seen_posts(spark, sf_dir):
       from filed f join seen s on f.post_id = s.post_id) where rn = 1""")
 def search_first_seen_comments(spark, sf_dir):
     """Every comment is also filed under the next post, so that two found posts may claim it."""
-    from chorale.operators.cleaning import merge_runs
-
     posts = merge_runs(posts_raw(spark, sf_dir), "post_id")
     seen = searching.first_seen_posts(searching.search_hits(posts, GRID, K))
     once = comments_base(spark, sf_dir)
@@ -127,8 +126,6 @@ def search_first_seen_comments(spark, sf_dir):
 @catalog.add("search_comments_of_posts", _hits("posts_v") + """
     select comment_id, post_id, extraction_id from comments_raw where post_id in (select post_id from hits)""")
 def search_comments_of_posts(spark, sf_dir):
-    from chorale.operators.cleaning import merge_runs
-
     hits = searching.search_hits(merge_runs(posts_raw(spark, sf_dir), "post_id"), GRID, K)
     found = searching.comments_of(comments_raw(spark, sf_dir), hits, GRID.size * K)
     return found.select("comment_id", "post_id", "extraction_id")

@@ -8,7 +8,7 @@ from catalog.base import Catalog, docs, response_expr, table, truth
 from chorale.functions.lexicon import lexicon_answers, lexicon_scorer
 from chorale.functions.responses import parse_response, with_value
 from chorale.operators import assembly, explore, metrics, sampling, scoring
-from chorale.operators.prompts import few_shot_text, prompt_parts
+from chorale.operators.prompts import example_list, few_shot_text, prompt_column, prompt_parts
 from chorale.registry import FEATURES, FRAME, QUALITY, RELEVANCE, SENTIMENT, STANCE, TONE
 from chorale.session import work_dir
 from chorale.streaming.scoring import landing_stream, score_stream
@@ -169,8 +169,6 @@ _SHOTS = f"""
 
 @catalog.add("fewshot_list", _SHOTS + "select examples from examples")
 def fewshot_list(spark, sf_dir):
-    from chorale.operators.prompts import example_list
-
     return example_list(sampling.seeded_sample(truth(spark, sf_dir), 4, SEED), RELEVANCE)
 
 
@@ -180,8 +178,6 @@ def fewshot_list(spark, sf_dir):
     select comment_id, cast(length(p) as int) as n_chars, md5(p) as prompt_md5 from prompts""")
 def fewshot_prompt(spark, sf_dir):
     """The whole prompt of every document, shown by length and digest."""
-    from chorale.operators.prompts import prompt_column
-
     shots = few_shot_text(sampling.seeded_sample(truth(spark, sf_dir), 4, SEED), RELEVANCE)
     prompt = prompt_column(F.col("text_content"), RELEVANCE, "the test corpus", shots)
     return docs(spark, sf_dir).select(
@@ -297,7 +293,7 @@ def labels_union_predictions(spark, sf_dir):
     return scoring.labels_and_predictions(predicted_relevance(spark, sf_dir), truth(spark, sf_dir), RELEVANCE)
 
 
-_PAIRS_SQL = _ORDINAL_SQL.replace(", parsed as", ", parsed as", 1) + """
+_PAIRS_SQL = _ORDINAL_SQL + """
     , pairs as (select t.comment_id, t.content_relevance_score as y, coalesce(p.y, -1) as g, p.y is null as e
       from truth t join parsed p on t.comment_id = p.comment_id)
     """
@@ -307,7 +303,8 @@ def _pairs(spark, sf_dir):
     return metrics.compare(truth(spark, sf_dir), {RELEVANCE.name: predicted_relevance(spark, sf_dir)}, [RELEVANCE])
 
 
-@catalog.add("metric_adjacent", _PAIRS_SQL + "select avg(case when abs(y - g) <= 1 then 1e0 else 0e0 end) as adjacent_accuracy, count(*) as n_rows from pairs")
+@catalog.add("metric_adjacent", _PAIRS_SQL + """
+    select avg(case when abs(y - g) <= 1 then 1e0 else 0e0 end) as adjacent_accuracy, count(*) as n_rows from pairs""")
 def metric_adjacent(spark, sf_dir):
     value = metrics.adjacent_accuracy(F.col("truth_number"), F.col("guess_number"))
     return _pairs(spark, sf_dir).agg(value.alias("adjacent_accuracy"), F.count("*").alias("n_rows"))

@@ -1,7 +1,8 @@
 """Word-list scorers: whole-text, deterministic, offline answers in the form a model would give.
 
-They stand in wherever no model is at hand and keep the scoring path testable. One pattern pass collects all listed words of a text; the lists are then counted
-on that short array. Nothing leaves the JVM.
+They stand in wherever no model is at hand and keep the scoring path testable. One pattern pass
+collects all listed words of a text; the lists are then counted on that short array. Nothing leaves
+the JVM.
 """
 
 from __future__ import annotations

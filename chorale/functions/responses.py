@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from chorale.registry import CATEGORICAL, Feature
+from chorale.registry import CATEGORICAL, CONTINUOUS, Feature
 
 
 def parse_response(response: Column, feature: Feature) -> Column:
     """The value under the feature's name as its type; null for anything unreadable.
 
     A number cut to its integer part and a numeric string without fraction are integers;
-    a string such as "3.7" is not.
+    a string such as "3.7" is not. Only finite numbers are values.
     """
-    return F.try_variant_get(F.try_parse_json(response), f"$.{feature.name}", feature.spark_type)
+    value = F.try_variant_get(F.try_parse_json(response), f"$.{feature.name}", feature.spark_type)
+    if feature.kind == CONTINUOUS:
+        return F.nullif(F.nullif(F.nullif(value, F.lit(float("nan"))), F.lit(float("inf"))), F.lit(float("-inf")))
+    return value
 
 
 def out_of_domain(value: Column, feature: Feature) -> Column:

@@ -38,9 +38,9 @@ def test_known_departures(spark):
 
 
 def test_continuous_and_categorical_answers(spark):
-    got, errors, outside = values(spark, SENTIMENT, of(S, "-0.45", '"0.5"', "1", "true", "2.5", '"x"', "null") + ["", "{}"])
-    assert got == [-0.45, 0.5, 1.0, 1.0, 2.5, 0.0, 0.0, 0.0, 0.0]
-    assert errors == [False] * 5 + [True] * 4 and outside == [False] * 4 + [True] + [False] * 4
+    got, errors, outside = values(spark, SENTIMENT, of(S, "-0.45", '"0.5"', "1", "true", "2.5", '"x"', "null", "NaN", '"nan"', '"-inf"') + ["", "{}"])
+    assert got == [-0.45, 0.5, 1.0, 1.0, 2.5] + [0.0] * 7
+    assert errors == [False] * 5 + [True] * 7 and outside == [False] * 4 + [True] + [False] * 7
     got, errors, outside = values(spark, TONE, of(T, '"Hostile"', '"Angry"', "3", "null") + ["{}"])
     assert got == ["Hostile", "Angry", "3", "ERROR", "ERROR"]
     assert errors == [False] * 3 + [True] * 2 and outside == [False, True, True, False, False]

@@ -4,8 +4,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from chorale.functions.terms import all_of, any_of, matched_words, phrase, prefix, term
-from chorale.functions.times import age_days, iso_utc, window_start, within_window
+from chorale.functions.times import age_days, iso_utc, utc_timestamp, window_start, within_window
 from chorale.operators import searching
+from chorale.schema import AUTHORS, RAW_POSTS
 
 
 def hits(spark, query, texts):
@@ -51,6 +52,7 @@ def test_iso_stamp_in_any_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", zone)
         got = [r[0] for r in df.select(iso_utc(F.col("s"))).collect()]
         assert got == ["2024-01-01T00:00:00+00:00", "2024-01-01T00:00:00.500000+00:00", None]
+        assert df.select(F.unix_micros(utc_timestamp(F.col("s")))).first()[0] == 1704067200 * 1_000_000
     spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
@@ -109,8 +111,6 @@ def test_flair_and_projection(spark):
     kinds = "string string string string string bigint double bigint bigint bigint boolean boolean boolean boolean bigint string string double".split()
     df = spark.createDataFrame(rows, ", ".join(f"{f} {k}" for f, k in zip(fields, kinds)))
     out = searching.project_posts(df, F.lit("q"), F.lit("top"), "now")
-    from chorale.schema import RAW_POSTS
-
     assert [(f.name, f.dataType) for f in out.schema] == [(f.name, f.dataType) for f in RAW_POSTS]
     assert [r.post_flair for r in out.collect()] == [None, None, "News"]
 
@@ -118,7 +118,7 @@ def test_flair_and_projection(spark):
 def test_author_defaults(spark):
     authors = spark.createDataFrame(
         [("1", "ann", 3, 4, 1704067200.0, False), ("2", "bob", 3, 4, 1704067200.0, True), ("3", "cy", 3, 4, None, False)],
-        "author_id string, author_name string, author_post_karma bigint, author_comment_karma bigint, author_created_utc double, is_suspended boolean")
+        AUTHORS)
     rows = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3"), ("d", None), ("e", "9")], "comment_id string, author_id string")
     got = {r.comment_id: r for r in searching.with_authors(rows, authors, datetime(2024, 1, 3, 12), "comment_id").collect()}
     assert [got[k].author_status for k in "abcde"] == ["Active", "Suspended", "Error", "Deleted", "Deleted"]
@@ -135,3 +135,13 @@ def test_preset_queries(spark):
     found = {q: hits(spark, getattr(presets, q), texts) for q in ("SECURITY", "GEOPOLITICAL", "MEDIA", "ANY_MENTION")}
     assert found == {"SECURITY": {0, 1}, "GEOPOLITICAL": {4}, "MEDIA": {4, 5}, "ANY_MENTION": {1, 2, 5}}
     assert (len(presets.COMMUNITIES), len(presets.QUERIES)) == (18, 5)
+
+
+@pytest.mark.parametrize("bound", [None, 10])
+def test_comments_of_found_posts(spark, bound):
+    seen = spark.createDataFrame([("p1", 3, 1), ("p2", 0, 1)], "post_id string, cell int, rank int")
+    filed = spark.createDataFrame([("a", "p1"), ("a", "p2"), ("b", "p1"), ("c", "p9"), ("d", None)], "comment_id string, post_id string")
+    got = searching.first_seen_comments(filed, seen, bound).select("comment_id", "post_id").collect()
+    assert sorted(tuple(r) for r in got) == [("a", "p2"), ("b", "p1")]
+    of = searching.comments_of(filed, seen.unionAll(seen), bound).select("comment_id", "post_id").collect()
+    assert sorted(tuple(r) for r in of) == [("a", "p1"), ("a", "p2"), ("b", "p1")]

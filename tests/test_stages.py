@@ -1,4 +1,6 @@
 import json
+import sys
+import types
 from datetime import datetime
 
 import pytest
@@ -246,3 +248,34 @@ def test_stream_of_raw_comments(spark, tmp_path):
     rows = scoring.read_store(spark, store).collect()
     n = len("Post Title:\n\nT\n\nPost Body:\n\n\n\nComment Body:\n\none")
     assert [(r.comment_id, r.response) for r in rows] == [("c1", f'{{"{R}": {n % 6}}}')]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from chorale.__main__ import main
+
+    def connect():
+        """Three for everything; nested, so that it travels to the workers by value."""
+        return lambda prompt: '{"content_relevance_score": 3}'
+
+    module = types.ModuleType("cli_model")
+    module.connect = connect
+    sys.modules["cli_model"] = module
+    root = str(tmp_path)
+    raw.write_run(posts(spark, [("p", "t", "b")]), f"{root}/raw", "posts", "20240101000000")
+    raw.write_run(comments(spark, [(f"c{i}", "p", "x" * i) for i in range(1, 9)]), f"{root}/raw", "comments", "20240101000000")
+    main(["process", f"{root}/raw", f"{root}/table"])
+    main(["sample", f"{root}/table", f"{root}/t.json", f"{root}/v.json", "--rows", "4", "--ratio", "0.5"])
+    rows = [{"comment_id": "c1", "text_content": "t", R: 4}, {"comment_id": "c2", "text_content": "u", R: 2}]
+    (tmp_path / "labelled.json").write_text(json.dumps(rows))
+    model = ["--model", "cli_model:connect", "--topic", "x", "--tasks", "2"]
+    sheet = f"{root}/labelled.json"
+    main(["validate", sheet, sheet, f"{root}/va", f"{root}/rep", "--run", "r1", *model])
+    gate = ["--passed-in", "r1", "--reports", f"{root}/rep"]
+    main(["generate", f"{root}/table", sheet, f"{root}/answers", "--pilot", "3", *gate, *model])
+    assert scoring.read_store(spark, f"{root}/answers").count() == 3
+    main(["generate", f"{root}/table", sheet, f"{root}/answers", "--commits", "2", *model])
+    main(["publish", f"{root}/answers", f"{root}/features"])
+    main(["filter", f"{root}/table", f"{root}/features/{R}.parquet", f"{root}/relevant"])
+    main(["join", f"{root}/table", f"{root}/features", f"{root}/wide"])
+    assert spark.read.parquet(f"{root}/wide").filter(f"{R} = 3").count() == 8
+    assert "relevant comments: 8" in capsys.readouterr().out
