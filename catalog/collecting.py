@@ -11,6 +11,8 @@ from chorale.functions.terms import all_of, any_of, phrase, prefix, searchable,
 from chorale.functions.times import within_window
 from chorale.operators import searching
 from chorale.operators.cleaning import merge_runs
+from chorale.session import work_dir
+from chorale.sources.raw import read_runs, write_run
 
 catalog = Catalog()
 
@@ -183,6 +185,23 @@ def project_posts(spark, sf_dir):
     return searching.project_posts(source, F.lit("q"), F.lit("top"), "2025-01-01T00:00:00+00:00")
 
 
+_TWO_RUNS = [("20240101000000", 0), ("20240201000000", 5)]
+
+
+@catalog.add("raw_runs_round_trip", f"""
+    , source as (select {', '.join(_SOURCE_POSTS)} from conversations where turn = 0)
+    select cast(id as string) as post_id, title as post_title, score as post_score, '20240101000000' as extraction_id from source
+    union all select cast(id as string), title, score + 5, '20240201000000' from source""")
+def raw_runs_round_trip(spark, sf_dir):
+    """Two runs written as runs and read back as one table, the run known from the file name."""
+    folder = work_dir(spark, "raw")
+    source = table(spark, sf_dir, "conversations").filter("turn = 0").selectExpr(*_SOURCE_POSTS)
+    for run, more in _TWO_RUNS:
+        posts = searching.project_posts(source, F.lit("q"), F.lit("top"), "2025-01-01T00:00:00+00:00")
+        write_run(posts.withColumn("post_score", F.col("post_score") + more), folder, "posts", run)
+    return read_runs(spark, folder, "posts").select("post_id", "post_title", "post_score", "extraction_id")
+
+
 @catalog.add("project_comments", f"""
     select id as comment_id, cast(post_id as string) as post_id, body as comment_body, score as comment_score,
       score_hidden as comment_score_hidden, created_utc as comment_created_utc, {_ISO} as comment_created_utc_date

@@ -11,6 +11,7 @@ from chorale.operators import assembly, explore, metrics, sampling, scoring
 from chorale.operators.prompts import example_list, few_shot_text, prompt_column, prompt_parts
 from chorale.registry import FEATURES, FRAME, QUALITY, RELEVANCE, SENTIMENT, STANCE, TONE
 from chorale.session import work_dir
+from chorale.sources.labels import read_sheet, write_sheet
 from chorale.streaming.scoring import landing_stream, score_stream
 
 catalog = Catalog()
@@ -457,3 +458,44 @@ def stream_incremental_scores(spark, sf_dir):
         query.awaitTermination()
     answers = scoring.read_store(spark, f"{folder}/answers")
     return scoring.feature_table(answers, RELEVANCE).select("comment_id", RELEVANCE.name, "is_error")
+
+
+# --- through stored files
+
+@catalog.add("resume_per_feature", f"""
+    , done as (
+      select cast(doc_id as string) as comment_id, 'content_relevance_score' as feature from labels
+      union all select cast(doc_id as string), 'discourse_tone' from labels where toxic = 1)
+    , open as (
+      select d.comment_id, f.feature from docs d, (values (1, 'content_relevance_score'), (2, 'discourse_tone')) as f(i, feature)
+      where not exists (select 1 from done x where x.comment_id = d.comment_id and x.feature = f.feature))
+    select comment_id, string_agg(feature, ',' order by feature) as wanted from open group by comment_id""")
+def resume_per_feature(spark, sf_dir):
+    """What each document still lacks of two features; those that lack nothing are gone."""
+    labelled = table(spark, sf_dir, "labels").select(F.col("doc_id").cast("string").alias("comment_id"), "toxic")
+    done = labelled.select("comment_id", F.lit(RELEVANCE.name).alias("feature")).unionAll(
+        labelled.filter("toxic = 1").select("comment_id", F.lit(TONE.name).alias("feature")))
+    queue = scoring.resume_queue(docs(spark, sf_dir), done, [RELEVANCE, TONE])
+    return queue.select("comment_id", F.concat_ws(",", "wanted").alias("wanted"))
+
+
+@catalog.add("score_store_resume", _SCORES + """
+    select comment_id, discourse_tone, false as is_error, 1 as n_answers from scores""")
+def score_store_resume(spark, sf_dir):
+    """Scored into a store in two shares, then asked again for everything: one answer per document."""
+    store = f"{work_dir(spark, 'answers')}/store"
+    ask = lambda queue: scoring.call_columns(queue, scoring.each({TONE.name: SCORERS[TONE.name]}))
+    for commits in (2, 1):
+        scoring.score_into_store(docs(spark, sf_dir), store, [TONE], ask, commits=commits)
+    answers = scoring.feature_table(scoring.read_store(spark, store), TONE)
+    return answers.groupBy("comment_id", TONE.name, "is_error").agg(F.count("*").cast("int").alias("n_answers"))
+
+
+@catalog.add("label_sheet_round_trip", _SPLIT_SQL + """
+    select comment_id, text_content, cast(null as string) as discourse_tone from split where split = 'val'""")
+def label_sheet_round_trip(spark, sf_dir):
+    """The validation sheet as JSON and back, labels still empty."""
+    path = f"{work_dir(spark, 'sheets')}/val.json"
+    split = sampling.label_split(docs(spark, sf_dir), N, SEED, RATIO, TRAIN_IDS, VAL_IDS)
+    write_sheet(split.filter(F.col("split") == "val"), path, [TONE.name])
+    return read_sheet(spark, path, [TONE.name]).select("comment_id", "text_content", TONE.name)

@@ -38,7 +38,7 @@ def whole_words(patterns: Sequence[str]) -> str:
 
 
 def _quote(text: str) -> str:
-    return re.sub(r"([^a-z0-9_ ])", r"\\\1", text.lower())
+    return re.sub(r"([^\w\s])", r"\\\1", text.lower())
 
 
 @dataclass(frozen=True)
@@ -48,6 +48,10 @@ class Word:
     text: str
     open_end: bool = False
 
+    def __post_init__(self) -> None:
+        if not self.text.strip():
+            raise ValueError("an empty word matches nothing")
+
     @property
     def pattern(self) -> str:
         body = r"\s+".join(_quote(part) for part in self.text.split())

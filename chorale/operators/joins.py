@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROWS_PER_TASK = 4_000_000
+ROWS_PER_TASK = 1_000_000
 MAX_HOT_KEYS = 1_000
 NULL_FAN = 1_000
 

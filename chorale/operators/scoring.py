@@ -159,8 +159,12 @@ def feature_table(store: DataFrame, feature: Feature, retried: bool = False) ->
 
 
 def labels_and_predictions(predicted: DataFrame, labels: DataFrame, feature: Feature) -> DataFrame:
-    """Feature table of human labels plus predictions for all other comments, with `origin`."""
-    human = labels.filter(F.col(feature.name).isNotNull()).select(ID, feature.name).withColumn("origin", F.lit("human"))
+    """Feature table of human labels plus predictions for all other comments, with `origin`.
+
+    A comment labelled twice keeps its smaller label, so that ids stay unique.
+    """
+    human = labels.filter(F.col(feature.name).isNotNull()).select(ID, feature.name)
+    human = one_per_key(human, [ID], [F.asc(feature.name)]).withColumn("origin", F.lit("human"))
     rest = without_ids(predicted.select(ID, feature.name), human).withColumn("origin", F.lit("predicted"))
     return human.unionByName(rest)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from chorale.operators import assembly, cleaning, metrics, sampling, scoring, searching
 from chorale.operators.prompts import labelled_only
-from chorale.registry import FEATURES, RELEVANCE, Feature
+from chorale.registry import RELEVANCE, Feature
 from chorale.schema import RAW_COMMENTS, RAW_POSTS
 from chorale.sources import files, labels, raw, reports
 
@@ -111,6 +111,6 @@ def filter_relevant(spark: SparkSession, table: str, scores: str, out: str, cuto
 
 def join_all_features(spark: SparkSession, table: str, folder: str, out: str) -> DataFrame:
     """The wide table: every feature of the folder that the base does not have yet."""
-    tables = {n: t for n, t in files.feature_folders(spark, folder).items() if n in FEATURES or n in t.columns}
+    tables = {n: t for n, t in files.feature_folders(spark, folder).items() if n in t.columns}
     files.write_table(assembly.join_features(files.read_table(spark, table), tables), out, inputs=(table,))
     return files.read_table(spark, out)

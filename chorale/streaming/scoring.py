@@ -21,7 +21,11 @@ from chorale.registry import Feature
 
 def landing_stream(spark: SparkSession, folder: str, schema: StructType, files_per_batch: int = 1000,
                    pattern: str | None = None) -> DataFrame:
-    """Parquet files as they arrive."""
+    """Parquet files as they arrive.
+
+    A batch reads the id column of the whole answer store once. `files_per_batch` should make a batch's
+    texts outweigh that: the larger the store, the larger the batches.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)

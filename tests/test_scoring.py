@@ -166,7 +166,7 @@ def test_python_sees_only_needed_columns(spark, tmp_path):
 
 def test_human_label_wins(spark):
     predicted = spark.createDataFrame([("a", 1), ("b", 2)], f"comment_id string, {R} int")
-    human = spark.createDataFrame([("a", 5), ("c", 4), ("d", None)], f"comment_id string, {R} int")
+    human = spark.createDataFrame([("a", 5), ("a", 6), ("c", 4), ("d", None)], f"comment_id string, {R} int")
     got = {(r.comment_id, r[R], r.origin) for r in scoring.labels_and_predictions(predicted, human, RELEVANCE).collect()}
     assert got == {("a", 5, "human"), ("c", 4, "human"), ("b", 2, "predicted")}
 

@@ -36,6 +36,12 @@ def test_group_needs_parts():
         any_of()
 
 
+def test_words_are_taken_literally(spark):
+    assert hits(spark, any_of("c++", phrase("a.b (c)"), "été"), ["C++ code", "c", "a.b (c)", "axb (c)", "l'été", "ete"]) == {0, 2, 4}
+    with pytest.raises(ValueError):
+        term(" ")
+
+
 def test_word_edges_are_ascii(spark):
     assert hits(spark, term("rep"), ["éreprep", "é rep", "érep", "rep"]) == {1, 2, 3}
 
