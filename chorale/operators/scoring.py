@@ -117,9 +117,13 @@ def resume_queue(df: DataFrame, done: DataFrame, features: Sequence[Feature] | N
     )
 
 
-def unique_texts(df: DataFrame) -> DataFrame:
-    """One row per id, so a comment delivered twice is paid for once."""
-    return one_per_key(df, [ID], [F.asc("text_content")])
+def unique_texts(df: DataFrame, unique: bool = False) -> DataFrame:
+    """Id and text, one row per id, so a comment delivered twice is paid for once.
+
+    `unique` says that the ids are unique already, as in a processed table; nothing is done then.
+    """
+    texts = df.select(ID, "text_content")
+    return texts if unique else one_per_key(texts, [ID], [F.asc("text_content")])
 
 
 def append_answers(answers: DataFrame, path: str, features: Sequence[Feature]) -> None:
@@ -131,18 +135,19 @@ def append_answers(answers: DataFrame, path: str, features: Sequence[Feature]) -
 
 
 def score_into_store(df: DataFrame, store_path: str, features: Sequence[Feature],
-                     ask: Callable[[DataFrame], DataFrame], retry_errors: bool = False, commits: int = 1) -> None:
+                     ask: Callable[[DataFrame], DataFrame], retry_errors: bool = False, commits: int = 1,
+                     unique: bool = False) -> None:
     """Asks for what the store lacks and appends the answers. Run twice, the second run asks nothing.
 
     With several `commits` the ids are split by hash and each share is stored before the next is
     asked for: a job that fails loses at most one share of paid answers, for one more scan per share.
     """
     for share in range(commits):
-        part = df.select(ID, "text_content")
+        part = df
         if commits > 1:
             part = part.filter(F.pmod(F.xxhash64(ID), F.lit(commits)) == share)
         done = answered(read_store(df.sparkSession, store_path), features, retry_errors)
-        append_answers(ask(resume_queue(unique_texts(part), done, features)), store_path, features)
+        append_answers(ask(resume_queue(unique_texts(part, unique), done, features)), store_path, features)
 
 
 def feature_table(store: DataFrame, feature: Feature, retried: bool = False) -> DataFrame:

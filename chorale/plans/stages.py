@@ -74,21 +74,22 @@ def validate(val: DataFrame, features: Sequence[Feature], ask: Ask, store: str,
 
 
 def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, pilot: tuple[int, int] | None = None,
-             labelled: DataFrame | None = None, retry_errors: bool = False, commits: int = 1) -> None:
+             labelled: DataFrame | None = None, retry_errors: bool = False, commits: int = 1,
+             unique: bool = True) -> None:
     """Scores what the store still lacks. `pilot` is (size, seed); each pilot run advances by its size.
 
     `labelled`: rows people labelled, left out of scoring. Features share the scan of a full run; in a
-    pilot every feature has a queue of its own.
+    pilot every feature has a queue of its own. `unique`: ids of `df` are unique, as in a processed table.
     """
     if labelled is not None:
         df = sampling.without_ids(df, labelled)
     if pilot is None:
-        scoring.score_into_store(df, store, features, ask, retry_errors, commits)
+        scoring.score_into_store(df, store, features, ask, retry_errors, commits, unique)
         return
     size, seed = pilot
     for feature in features:
         done = scoring.answered(scoring.read_store(df.sparkSession, store), [feature], retry_errors)
-        queue = scoring.resume_queue(scoring.unique_texts(df.select("comment_id", "text_content")), done)
+        queue = scoring.resume_queue(scoring.unique_texts(df, unique), done)
         queue = sampling.pilot_cut(queue, size, seed).withColumn("wanted", F.array(F.lit(feature.name)))
         scoring.append_answers(ask(queue), store, [feature])
 

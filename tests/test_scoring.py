@@ -125,6 +125,14 @@ def test_resume_pays_once(spark, tmp_path):
     assert sorted(r.comment_id for r in scoring.read_store(spark, store).collect()) == list("abcde")
 
 
+def test_unique_ids_skip_the_merge(spark, tmp_path):
+    df = texts(spark, [("a", "x"), ("b", "x")])
+    assert "Window" not in scoring.unique_texts(df, unique=True)._jdf.queryExecution().optimizedPlan().toString()
+    store, log = str(tmp_path / "s"), []
+    scoring.score_into_store(df, store, [RELEVANCE], counting_ask(log), unique=True)
+    assert log == [2]
+
+
 def test_shares_are_committed_one_by_one(spark, tmp_path):
     store, log = str(tmp_path / "s"), []
     df = spark.range(50).select(F.col("id").cast("string").alias("comment_id"), F.lit("x").alias("text_content"))
