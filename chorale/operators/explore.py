@@ -13,9 +13,9 @@ def value_counts(df: DataFrame, column: str) -> DataFrame:
 
 
 def share_at_least(df: DataFrame, column: str, cutoff: float) -> DataFrame:
-    """Rows, rows at or above the cutoff, and their share; nulls stay in the denominator."""
+    """Rows, rows at or above the cutoff, and their share; nulls stay in the denominator. No rows, no share."""
     hits = F.count_if(F.col(column) >= cutoff)
-    return df.agg(F.count("*").alias("n_rows"), hits.alias("n_relevant"), (hits / F.count("*")).alias("share"))
+    return df.agg(F.count("*").alias("n_rows"), hits.alias("n_relevant"), F.try_divide(hits, F.count("*")).alias("share"))
 
 
 def lookup(df: DataFrame, **keys: str) -> DataFrame:

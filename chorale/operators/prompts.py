@@ -29,7 +29,7 @@ def example_list(train: DataFrame, feature: Feature) -> DataFrame:
     ordered = F.array_sort(F.collect_list(shot))
     shown = F.transform(ordered, lambda s: F.struct(s["text_content"].alias("text_content"),
                                                     s[feature.name].alias(feature.name)))
-    return labelled_only(train, feature).agg(F.to_json(shown).alias("examples"))
+    return labelled_only(train, feature).agg(F.to_json(shown, {"ignoreNullFields": "false"}).alias("examples"))
 
 
 def few_shot_text(train: DataFrame, feature: Feature) -> str:

@@ -45,6 +45,7 @@ def search_hits(posts: DataFrame, grid: SearchGrid, k: int, as_of: datetime | No
                 window: str = "all") -> DataFrame:
     """Best `k` posts of each grid cell: post_id, cell, rank, extraction_query, extraction_sort.
 
+    `posts` has one row per post. With `as_of`, only posts of the window that ends there are searched.
     A post reads its text once per query, whatever the number of sorts; a cell is an exploded literal,
     so no grid frame is joined. The text is dropped before anything is shuffled.
     """

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,9 +22,10 @@ def collect(posts: DataFrame, comments: DataFrame, grid: searching.SearchGrid, k
     """Searches the corpus and stores what was found as one run; returns its id.
 
     The found posts are stored first and the comments chosen from the stored table, so the search
-    runs once.
+    runs once. `moment` is UTC unless it says otherwise.
     """
     spark = posts.sparkSession
+    moment = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
     run = raw.run_id(moment)
     bound = grid.size * k
     hits = searching.search_hits(posts, grid, k, as_of=moment, window=window)

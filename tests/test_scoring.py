@@ -68,6 +68,8 @@ def test_few_shot_list_and_prompt(spark):
     assert json.loads(text) == [{"text_content": "one é", R: 5}, {"text_content": 'two\n"q"', R: 2}]
     assert "é" in text
     assert example_list(train.filter("false"), RELEVANCE).first()[0] == "[]"
+    blank = train.withColumn("text_content", F.lit(None).cast("string")).filter("comment_id = 'a'")
+    assert json.loads(few_shot_text(blank, RELEVANCE)) == [{"text_content": None, R: 5}]
     prompt = train.select(prompt_column(F.col("text_content"), RELEVANCE, "a topic", text)).first()[0]
     assert text in prompt and prompt.index(text) < prompt.index('two\n"q"\n'[-4:]) and "a topic" in prompt
     big = spark.range(501).select(F.col("id").cast("string").alias("comment_id"), F.lit("t").alias("text_content"), F.lit("1").alias(R))

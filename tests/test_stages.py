@@ -119,6 +119,7 @@ def test_explore(spark):
     df = spark.createDataFrame([("a", 5), ("b", 1), ("c", None)], f"comment_id string, {R} int")
     assert {tuple(r) for r in explore.value_counts(df, R).collect()} == {(5, 1), (1, 1), (None, 1)}
     assert tuple(explore.share_at_least(df, R, 3).first()) == (3, 1, pytest.approx(1 / 3))
+    assert tuple(explore.share_at_least(df.filter("false"), R, 3).first()) == (0, 0, None)
     assert explore.first_value(explore.lookup(df, comment_id="a"), R) == 5
     assert explore.first_value(df.filter("false"), R) is None
     assert [r.comment_id for r in explore.head(df, ["comment_id"], 2).collect()] == ["a", "b"]
@@ -149,6 +150,7 @@ def test_whole_chain(spark, tmp_path):
     table = stages.process(spark, f"{root}/raw", f"{root}/processed")
     assert sorted(r.comment_id for r in table.collect()) == ["c1", "c3"]
     assert len(table.columns) == 29
+    assert {r.extraction_time for r in table.collect()} == {"2024-01-03T00:00:00+00:00"}
 
     args = (spark, f"{root}/processed", f"{root}/train.json", f"{root}/val.json", [R], 2, 123, 0.5)
     assert stages.draw_samples(*args) and not stages.draw_samples(*args)
