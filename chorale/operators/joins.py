@@ -30,7 +30,8 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how
 
     A hot key's left rows get a slot from the hash of `spread_by`; its right rows are copied once per
     slot. All other keys have the one slot 0. `how` is inner or left. Null keys of a left join match
-    nothing and are spread too. `hot` may come from a cheaper frame with the same keys, since it only
+    nothing and are spread too. Both sides look the hot keys up, so `left` (or `hot`) must give the
+    same rows whenever it is read, as files do and unseeded random columns do not. `hot` may come from a cheaper frame with the same keys, since it only
     steers balance. Its at most MAX_HOT_KEYS narrow rows are broadcast.
     """
     if how not in ("inner", "left"):

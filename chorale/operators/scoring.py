@@ -163,6 +163,14 @@ def feature_table(store: DataFrame, feature: Feature, retried: bool = False) ->
     return rows.select(ID, feature.name, "is_error", "out_of_domain", F.col("response").alias("raw_response"))
 
 
+def require_answers(table: DataFrame) -> DataFrame:
+    """The feature table itself, or an error when any answer could not be read. Costs one count."""
+    failed = table.filter("is_error").count()
+    if failed:
+        raise ValueError(f"{failed} comments have no readable answer")
+    return table
+
+
 def labels_and_predictions(predicted: DataFrame, labels: DataFrame, feature: Feature) -> DataFrame:
     """Feature table of human labels plus predictions for all other comments, with `origin`.
 

@@ -100,6 +100,10 @@ def test_client_failures_become_sentinels(spark):
     got = {r.comment_id: (r[R], r.is_error) for r in scoring.feature_table(answers, RELEVANCE).collect()}
     assert got == {"a": (3, False), "b": (-1, True), "c": (-1, True), "d": (-1, True)}
     assert answers.count() == 8
+    with pytest.raises(ValueError, match="3 comments"):
+        scoring.require_answers(scoring.feature_table(answers, RELEVANCE))
+    good = scoring.feature_table(answers.filter("comment_id = 'a'"), RELEVANCE)
+    assert scoring.require_answers(good) is good
 
 
 def test_model_gets_rubric_examples_and_text(spark):
