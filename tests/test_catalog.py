@@ -5,7 +5,8 @@ from compare import differences, duck
 
 import __spark_entry__ as entry
 
-NAMES = list(entry.queries())
+# The corpus operators have tests of their own.
+NAMES = [name for c in entry._CATALOGS for name in c.queries]
 
 
 @pytest.fixture(scope="module")
@@ -14,7 +15,7 @@ def con(sf_dir):
 
 
 def test_every_query_has_sql():
-    assert set(entry.oracle_sql()) == set(NAMES)
+    assert set(NAMES) <= set(entry.oracle_sql())
 
 
 @pytest.mark.parametrize("name", NAMES)
