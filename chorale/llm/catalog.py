@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.llm import decontaminate, materialise, mixing, quality, simhash
+from chorale.llm import (
+    decontaminate, language, materialise, mixing, neighbours, paragraphs, quality, simhash, templates, urlfilter,
+)
 from chorale.session import work_dir
 
 
@@ -15,6 +17,41 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.report(templates.recurring(_table(spark, sf_dir, "documents")))
+
+
+# Captures and a list's log, shaped from `pages` alike in both engines: the fetch time from the page's
+# number, and for every third host, and every fifth first directory of a host, up to three entries.
+def _log(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    host, path = urlfilter.host_of(F.col("url")), urlfilter.path_of(F.col("url"))
+    first = F.concat(host, F.lit("/"), F.substring_index(F.substring(path, 2, 1_000_000), "/", 1), F.lit("/"))
+    keys = pages.filter(host != "").select(F.explode(F.array(
+        F.struct(host.alias("key"), F.lit(3).alias("share")), F.struct(first.alias("key"), F.lit(5).alias("share")))).alias("k"))
+    number = lambda k: F.conv(F.substring(F.md5(F.concat("key", F.lit(k))), 1, 6), 16, 10).cast("long")
+    keys = keys.select("k.*").distinct().filter(number("x") % F.col("share") == 0)
+    entries = F.explode(F.array(*[F.struct(F.lit(a).alias("action"), number(k).alias("n"))
+                                  for a, k in (("add", "a"), ("remove", "b"), ("add", "c"))]))
+    return keys.withColumn("e", entries).select(
+        "key", "e.action", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("e.n") % 31_536_000).alias("listed_at"))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", F.timestamp_seconds(
+        F.lit(1_704_067_200) + (F.col("page_id") * 7_919) % 525_600 * 60))
+    return urlfilter.screened(captures, _log(spark, pages)).select(
+        "page_id", F.unix_timestamp("fetched_at").alias("fetched"), "blocked", F.array_join("matches", " ").alias("matches"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return paragraphs.repeats(_table(spark, sf_dir, "documents"))
+
+
+def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return groups.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
@@ -25,6 +62,41 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "source", "size", "source_size", "target", "taken")
 
 
+OP2_SQL = r"""
+with parts as (
+  select page_id, url, 1704067200 + (page_id * 7919) % 525600 * 60 as fetched,
+         rtrim(lower(regexp_replace(regexp_replace(regexp_extract(trim(url),
+           '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)', 1), '^.*@', ''), ':\d*$', '')), '.') as host,
+         coalesce(nullif(regexp_extract(trim(url),
+           '^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//[^/?#]*(/[^?#]*)', 1), ''), '/') as path
+  from (select distinct page_id, url from pages)),
+listed as (
+  select distinct host as key, 3 as share from parts where host <> ''
+  union select distinct host || '/' || split_part(substr(path, 2), '/', 1) || '/', 5 from parts where host <> ''),
+log as (
+  select key, action, 1704067200 + ('0x' || substr(md5(key || k), 1, 6))::bigint % 31536000 as since
+  from listed, (values ('add', 'a'), ('remove', 'b'), ('add', 'c')) as e(action, k)
+  where ('0x' || substr(md5(key || 'x'), 1, 6))::bigint % share = 0),
+spans as (
+  select key, action, since, lead(since) over (partition by key order by since, action) as until
+  from (select distinct * from log)),
+asks as (
+  select distinct page_id, url, fetched, unnest(
+    list_transform(range(1, len(string_split(host, '.')) + 1),
+                   lambda i: array_to_string(string_split(host, '.')[i:], '.'))
+    || list_transform(range(1, len(string_split(path, '/')) + 1),
+                   lambda i: host || array_to_string(string_split(path, '/')[1:i], '/')
+                        || case when i < len(string_split(path, '/')) then '/' else '' end)) as key
+  from parts where host <> ''),
+hits as (
+  select a.page_id, a.url, a.fetched, string_agg(distinct a.key, ' ' order by a.key) as matches
+  from asks a join spans s on a.key = s.key and s.action = 'add' and s.since <= a.fetched
+    and (s.until is null or s.until > a.fetched)
+  group by all)
+select p.page_id, p.fetched, h.matches is not null as blocked, coalesce(h.matches, '') as matches
+from parts p left join hits h using (page_id, url, fetched)
+"""
+
 OP6_SQL = r"""
 with sizes as (
   select doc_id, source, md5('7:' || cast(doc_id as varchar)) as k,
@@ -69,6 +141,13 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise.materialise(_table(spark, sf_dir, "documents"), work_dir(spark, "training"))
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    found = language.predicted(docs, language.fit(docs, ~held_out))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(_table(spark, sf_dir, "documents"))
 
@@ -78,9 +157,11 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_training_order": op7_training_order,
-            "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
+    return {"op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter,
+            "op3_substring_dedup": op3_substring_dedup, "op4_nearest": op4_nearest,
+            "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_training_order": op7_training_order,
+            "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_mixing": OP6_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
