@@ -4,15 +4,17 @@ Nearness is the largest inner product. Vectors get one more component that bring
 length of the longest, so the largest inner product with a query is the smallest angle. Each tree
 splits by hyperplanes halfway between two vectors of a bounded sample, at the sample's median. Every
 vector is put into one leaf of every tree. A query walks all trees with one shared priority queue, the
-widest margin first, until the leaves it took hold about `search` vectors, and all vectors of these
-leaves are scored exactly, in double precision.
+widest margin first, until the leaves it took hold `share` times as many vectors as there are, counted
+once for each leaf, and all vectors of these leaves are scored exactly, in double precision. The share is
+the price of recall: on near-isotropic vectors of 64 components eight trees reach 0.95 of the true 20
+nearest only at 1.1, which is two thirds of all vectors; clustered vectors need far less.
 
 Equal vectors are one class, indexed once with its smallest `top` + 1 ids: no other member can be among
 a query's `top` nearest, as ties go to smaller ids.
 
 Edge cases: vectors that are null, zero, hold a null or non-finite component or don't have the most
 common length take no part, as query or candidate; a null id takes no part; a repeated row is the same
-candidate; fewer candidates than `top` are all returned when `search` covers them; an empty table gives
+candidate; fewer candidates than `top` than `least` are all looked at; an empty table gives
 an empty result; other columns are never read.
 """
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from chorale.llm.common import by_groups, stored
 
-TOP, TREES, SEARCH, SAMPLE, LEAF_ROWS = 20, 16, 4_000, 20_000, 128
+TOP, TREES, SHARE, LEAST, SAMPLE, LEAF_ROWS = 20, 8, 1.1, 4_000, 20_000, 1_024
 
 
 @dataclass
@@ -104,7 +106,7 @@ def usable(vector: Column, size: int | None = None) -> Column:
     return F.coalesce(good if size is None else good & (F.size(vector) == size), F.lit(False))
 
 
-def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES, search: int = SEARCH,
+def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES, share: float = SHARE, least: int = LEAST,
             sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row for which `asks` holds.
 
@@ -132,8 +134,7 @@ def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES
     deepest = max(0, int(np.log2(len(points) / 8)))
     levels = min(deepest, max(0, int(np.ceil(np.log2(total / leaf_rows)))))
     forest = grow(points, longest, levels, trees)
-    # Leaves of different trees share vectors; `search` counts a vector once for each leaf it is in.
-    wanted = search / total if total > search else float("inf")
+    wanted = max(share, trees * least / total) if total > least else float("inf")
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
