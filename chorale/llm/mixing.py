@@ -117,16 +117,15 @@ def mixed(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3),
     Rows are found again by id, source, size and, among rows alike in these, by a number: such rows have
     the same size and so the same weight in the mix, whichever text gets which number.
     """
-    alike = ["__id", "__source", "__size"]
+    alike = ["id", "source", "size"]
     plan = (mix(docs, seed, weights, epochs).filter("times > 0")
-            .select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"),
-                    "times", "finish", (F.col("source_size") / F.col("target")).alias("lap")))
-    plan = plan.withColumn("__copy", F.row_number().over(Window.partitionBy(*alike).orderBy("finish")))
-    plan = plan.select([F.col(c).alias(f"{c}_p") for c in [*alike, "__copy"]] + ["times", "finish", "lap"])
-    rows = (docs.withColumn("__id", F.col("doc_id").cast("long")).withColumn("__source", F.col("source").cast("string"))
-            .withColumn("__size", word_count(F.col("text"))))
-    rows = rows.withColumn("__copy", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("text"))))
-    same = [F.col(c).eqNullSafe(F.col(f"{c}_p")) for c in [*alike, "__copy"]]
+            .withColumn("lap", F.col("source_size") / F.col("target")).withColumnRenamed("doc_id", "id"))
+    plan = plan.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy("finish")))
+    plan = plan.select([F.col(c).alias(f"plan_{c}") for c in [*alike, "copy"]] + ["times", "finish", "lap"])
+    # The whole row as one column, so that no name of its columns can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
+                       F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
+    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("row.text"))))
+    same = [F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in [*alike, "copy"]]
     laps = F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda e: F.col("finish") + e * F.col("lap"))
-    return (rows.join(plan, same).withColumn("__at", F.explode(laps)).orderBy("__at", "__id")
-            .select(*[F.col(c) for c in docs.columns]))
+    return rows.join(plan, same).withColumn("at", F.explode(laps)).orderBy("at", "id").select("row.*")

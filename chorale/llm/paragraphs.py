@@ -182,10 +182,9 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with their removed paragraphs cut out; nothing else of a row changes."""
-    spans = (found.filter("removed").groupBy(F.col("doc_id").alias("__doc"))
-             .agg(F.collect_set("paragraph").alias("__gone")))
-    lines = F.split("text", "\n")
-    kept = F.array_join(F.filter(lines, lambda line, k: ~F.array_contains("__gone", k)), "\n")
-    return (docs.join(spans, F.col("doc_id").cast("long") == F.col("__doc"), "left")
-            .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-            .select(*docs.columns))
+    spans = found.filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return rows.join(spans, "doc_id", "left").select(
+        *[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

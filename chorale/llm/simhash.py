@@ -296,8 +296,10 @@ def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> D
     Rows with a null doc_id are kept: nothing tells them apart from others in a report.
     """
     groups = similar_documents(docs, shingle, similarity)
-    keep = stored(groups.filter("doc_id = component_id").select(F.col("doc_id").alias("__keep")).distinct(), "kept")
-    first = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "text")
-    kept = (docs.join(keep, F.col("doc_id") == F.col("__keep"), "left_semi")
-            .withColumn("__copy", F.row_number().over(first)).filter("__copy = 1").drop("__copy"))
-    return kept.unionByName(docs.filter("doc_id is null"))
+    keep = stored(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
+    # The whole row as one column, so that no name of its columns can clash.
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
+    text = F.col("row.text").cast("string")
+    first = Window.partitionBy("doc_id").orderBy(F.xxhash64(text), text)
+    kept = rows.join(keep, "doc_id", "left_semi").withColumn("n", F.row_number().over(first)).filter("n = 1")
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))

@@ -107,7 +107,7 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, ali
     final = stored(local.join(whole, ["leaf", "template"], "left").select(
         "leaf", "masked", F.coalesce("wide", "template").alias("template")), "templates")
     placed = stored(found.join(final, ["leaf", "masked"]).select(
-        "doc_id", F.xxhash64("masked").alias("line"), "leaf", "template"), "placed")
+        "doc_id", F.xxhash64("masked").alias("line"), "leaf", "template").distinct(), "placed")
     often = stored(placed.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template")
                    .agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "recurring")
     return placed.join(often, ["leaf", "template"]).select("doc_id", "line", "template", "docs")
@@ -122,9 +122,10 @@ def report(found: DataFrame) -> DataFrame:
 
 def without_templates(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents without the lines of recurring templates; nothing else of a row changes."""
-    gone = found.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~F.array_contains(
-        "__gone", F.xxhash64(_masked(line)))), "\n")
-    return (docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("__doc")), "left")
-            .withColumn("text", F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept))
-            .select(*docs.columns))
+    gone = found.groupBy(F.col("doc_id").alias("doc")).agg(F.collect_set("line").alias("gone"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"))
+    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line: ~F.array_contains(
+        "gone", F.xxhash64(_masked(line)))), "\n")
+    text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
+    return rows.join(gone, F.col("id").eqNullSafe(F.col("doc")), "left").select(
+        *[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
