@@ -83,7 +83,7 @@ def search_in_community(spark, sf_dir):
 
 
 @catalog.add("search_time_window", """
-    select event_id, user_id, event_type, value from events where ts >= timestamp '2024-01-15 00:00:00'""")
+    select event_id, user_id, event_type, value from events where ts >= timestamp '2024-01-15 00:00:00' and ts <= timestamp '2024-01-22 00:00:00'""")
 def search_time_window(spark, sf_dir):
     recent = within_window(F.col("ts"), datetime(2024, 1, 22), "week", epoch=False)
     return table(spark, sf_dir, "events").filter(recent).select("event_id", "user_id", "event_type", "value")
@@ -97,7 +97,7 @@ def search_grid_topk(spark, sf_dir):
     return hits.select("post_id", "cell", "rank", number.cast("int").alias("query_no"), "extraction_sort")
 
 
-@catalog.add("search_first_seen_posts", _hits("(select * from doc_posts where post_created_utc >= 1704067200 + 86400 * 7)") + """
+@catalog.add("search_first_seen_posts", _hits("(select * from doc_posts where post_created_utc >= 1704067200 + 86400 * 7 and post_created_utc <= 1736294400)") + """
     select post_id, cell, cast(rk as int) as rank, sort_name as extraction_sort from (
       select *, row_number() over (partition by post_id order by cell, rk) as rn from hits) where rn = 1""")
 def search_first_seen_posts(spark, sf_dir):

@@ -41,14 +41,19 @@ def window_start(as_of: datetime, window: str) -> datetime | None:
 
 
 def within_window(column: Column, as_of: datetime, window: str, epoch: bool = True) -> Column:
-    """Bare column against a literal, so the test reaches the scan. `epoch`: seconds, else timestamp_ntz."""
+    """From the window's start to `as_of`, both included; `all` has no start.
+
+    Bare column against literals, so the test reaches the scan. `epoch`: seconds, else timestamp_ntz.
+    """
+    def literal(moment: datetime) -> Column:
+        if epoch:
+            utc = moment if moment.tzinfo else moment.replace(tzinfo=timezone.utc)
+            return F.lit(utc.timestamp())
+        return F.expr(f"TIMESTAMP_NTZ '{moment.replace(tzinfo=None).isoformat(sep=' ')}'")
+
     start = window_start(as_of, window)
-    if start is None:
-        return F.lit(True)
-    if epoch:
-        utc = start if start.tzinfo else start.replace(tzinfo=timezone.utc)
-        return column >= F.lit(utc.timestamp())
-    return column >= F.expr(f"TIMESTAMP_NTZ '{start.replace(tzinfo=None).isoformat(sep=' ')}'")
+    ended = column <= literal(as_of)
+    return ended if start is None else (column >= literal(start)) & ended
 
 
 def age_days(created_seconds: Column, as_of: datetime) -> Column:

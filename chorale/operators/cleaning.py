@@ -29,11 +29,15 @@ def concat_strict(*frames: DataFrame) -> DataFrame:
 
 
 def merge_runs(df: DataFrame, key: str, keep: str = "last", ties: Sequence[str] = ()) -> DataFrame:
-    """One row per key over overlapping runs: of the latest (or first) run, then the smallest `ties`."""
+    """One row per key over overlapping runs: of the latest (or first) run, then the smallest `ties`.
+
+    Rows without a key are no duplicates of each other: all of them stay.
+    """
     if keep not in ("first", "last"):
         raise ValueError("keep must be first or last")
     run = F.desc("extraction_id") if keep == "last" else F.asc("extraction_id")
-    return one_per_key(df, [key], [run, *[F.asc(c) for c in ties]])
+    merged = one_per_key(df.filter(F.col(key).isNotNull()), [key], [run, *[F.asc(c) for c in ties]])
+    return merged.unionByName(df.filter(F.col(key).isNull()))
 
 
 def drop_comment_noise(df: DataFrame) -> DataFrame:

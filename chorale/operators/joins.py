@@ -6,20 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_PER_TASK = 1_000_000
-MAX_HOT_KEYS = 1_000
 NULL_FAN = 1_000
 
 
 def hot_keys(df: DataFrame, key: str, rows_per_task: int = ROWS_PER_TASK) -> DataFrame:
     """Keys with more than `rows_per_task` rows and the number of tasks (`fan`) each should get.
 
-    Reads only the key column and combines before its shuffle. At most MAX_HOT_KEYS rows, the largest
-    first: a key beyond that is joined the ordinary way, so the bound costs balance, never rows.
+    Reads only the key column and combines before its shuffle. Fewer keys than rows / `rows_per_task`
+    can be that large, which bounds the result; raise `rows_per_task` with the table.
     """
     return (
         df.groupBy(key).agg(F.count("*").alias("__rows"))
         .filter((F.col("__rows") > rows_per_task) & F.col(key).isNotNull())
-        .orderBy(F.desc("__rows"), key).limit(MAX_HOT_KEYS)
         .select(key, F.ceil(F.col("__rows") / rows_per_task).cast("int").alias("fan"))
     )
 
@@ -32,7 +30,7 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, spread_by: str, how
     slot. All other keys have the one slot 0. `how` is inner or left. Null keys of a left join match
     nothing and are spread too. Both sides look the hot keys up, so `left` (or `hot`) must give the
     same rows whenever it is read, as files do and unseeded random columns do not. `hot` may come from a cheaper frame with the same keys, since it only
-    steers balance. Its at most MAX_HOT_KEYS narrow rows are broadcast.
+    steers balance. Its narrow rows, fewer than rows / `rows_per_task`, are broadcast.
     """
     if how not in ("inner", "left"):
         raise ValueError("how must be inner or left")

@@ -10,9 +10,6 @@ from pyspark.sql import functions as F
 from chorale.functions.responses import cast_label
 from chorale.registry import CATEGORICAL, Feature
 
-# Examples live in every prompt, so their number is a setting, never a property of the data.
-MAX_EXAMPLES = 500
-
 
 def labelled_only(df: DataFrame, feature: Feature) -> DataFrame:
     """Rows with a usable label for the feature, cast to its type."""
@@ -32,11 +29,14 @@ def example_list(train: DataFrame, feature: Feature) -> DataFrame:
     return labelled_only(train, feature).agg(F.to_json(shown, {"ignoreNullFields": "false"}).alias("examples"))
 
 
-def few_shot_text(train: DataFrame, feature: Feature) -> str:
-    """The example list as driver text; refuses a train set too large to be a prompt."""
+def few_shot_text(train: DataFrame, feature: Feature, max_examples: int | None = None) -> str:
+    """The example list as driver text, since a prompt is one text.
+
+    `max_examples`: refuse a train set larger than the model's context can hold; None takes any.
+    """
     rows = labelled_only(train, feature)
-    if len(rows.select("comment_id").take(MAX_EXAMPLES + 1)) > MAX_EXAMPLES:
-        raise ValueError(f"more than {MAX_EXAMPLES} examples; draw a smaller train sample")
+    if max_examples is not None and len(rows.select("comment_id").take(max_examples + 1)) > max_examples:
+        raise ValueError(f"more than {max_examples} examples; draw a smaller train sample")
     return example_list(rows, feature).first()["examples"]
 
 

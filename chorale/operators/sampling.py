@@ -61,7 +61,11 @@ def _smallest_keys(narrow: DataFrame, n: int) -> DataFrame:
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, rank: str | None = None) -> DataFrame:
-    """Exactly n rows without replacement, or all when there are fewer; `rank` names their order column."""
+    """Exactly n rows without replacement, or all when there are fewer; `rank` names their order column.
+
+    Rows without an id can't be found again and are never drawn.
+    """
+    df = df.filter(F.col(ID).isNotNull())
     order = [F.asc("__key"), F.asc(ID)]
     narrow = df.select(ID, sample_key(seed).alias("__key"))
     if n <= GROUP_LIMIT:

@@ -69,7 +69,7 @@ def validate(val: DataFrame, features: Sequence[Feature], ask: Ask, store: str,
     spark = val.sparkSession
     scoring.score_into_store(val, store, features, ask)
     answers = scoring.read_store(spark, store)
-    guesses = {f.name: scoring.feature_table(answers, f) for f in features}
+    guesses = {f.name: scoring.feature_table(answers, f, retried=True) for f in features}
     reports.append_report(metrics.report(metrics.compare(val, guesses, features), features), report_path, run)
     return reports.read_reports(spark, report_path).filter(F.col("run") == run)
 
@@ -95,9 +95,12 @@ def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, p
         scoring.append_answers(ask(queue), store, [feature])
 
 
-def publish_feature(spark: SparkSession, store: str, feature: Feature, folder: str, retried: bool = False,
+def publish_feature(spark: SparkSession, store: str, feature: Feature, folder: str, retried: bool = True,
                     labelled: DataFrame | None = None) -> None:
-    """The typed feature table of the store, with human labels in place of predictions where given."""
+    """The typed feature table of the store, one row per id, with human labels in place of predictions where given.
+
+    `retried=False` saves a shuffle; only right for a store that never asked an id twice.
+    """
     table = scoring.feature_table(scoring.read_store(spark, store), feature, retried)
     if labelled is not None:
         table = scoring.labels_and_predictions(table, labelled_only(labelled, feature), feature)

@@ -29,11 +29,11 @@ def write_sheet(df: DataFrame, path: str, features: Sequence[str],
 
 def read_sheet(spark: SparkSession, path: str, features: Sequence[str],
                columns: Sequence[str] = LABEL_SHEET_COLUMNS) -> DataFrame:
-    """A filled-in sheet. Labels are kept as the text that was typed; `labelled_only` casts them."""
+    """A filled-in sheet. A file that is no JSON is an error. Labels are kept as the text that was typed; `labelled_only` casts them."""
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no label sheet at {path}; draw and label a sample first")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, *features)])
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
 
 
 def sheets_exist(spark: SparkSession, *paths: str) -> bool:
