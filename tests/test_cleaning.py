@@ -118,3 +118,19 @@ def test_filters_sit_below_the_join(spark, tmp_path):
     df = cleaning.drop_comment_noise(cleaning.join_posts(spark.read.parquet(str(tmp_path / "c")), posts.drop("extraction_id")))
     scan = plan(df).split("FileScan parquet")[1].split("DataFilters: ")[1].split("Format")[0]
     assert "comment_body" in scan and "[deleted]" in scan
+
+
+def test_merge_keeps_rows_without_key(spark):
+    from chorale.operators.cleaning import merge_runs
+
+    rows = [("a", "1", "x"), ("a", "2", "y"), (None, "1", "p"), (None, "2", "q")]
+    merged = merge_runs(spark.createDataFrame(rows, "comment_id string, extraction_id string, body string"), "comment_id")
+    assert sorted(r["body"] for r in merged.collect()) == ["p", "q", "y"]
+
+
+def test_sample_is_full_despite_null_ids(spark):
+    from chorale.operators.sampling import seeded_sample
+
+    rows = [(None if k % 5 == 0 else f"c{k}", "t") for k in range(50)]
+    df = spark.createDataFrame(rows, "comment_id string, text_content string")
+    assert all(seeded_sample(df, n, seed).count() == n for seed in (1, 2) for n in (30, 40))
