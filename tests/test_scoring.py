@@ -74,7 +74,8 @@ def test_few_shot_list_and_prompt(spark):
     assert text in prompt and prompt.index(text) < prompt.index('two\n"q"\n'[-4:]) and "a topic" in prompt
     big = spark.range(501).select(F.col("id").cast("string").alias("comment_id"), F.lit("t").alias("text_content"), F.lit("1").alias(R))
     with pytest.raises(ValueError):
-        few_shot_text(big, RELEVANCE)
+        few_shot_text(big, RELEVANCE, max_examples=500)
+    assert len(json.loads(few_shot_text(big, RELEVANCE))) == 501
 
 
 def flaky():
