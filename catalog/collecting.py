@@ -145,6 +145,22 @@ def search_found_posts_wide(spark, sf_dir):
     return wide.select("post_id", "post_subreddit", "post_title", "post_body", "extraction_sort", "extraction_time")
 
 
+_QUERY_TEXT = "case q " + " ".join(
+    "when {} then '{}'".format(n, str(q).replace("'", "''")) for n, q in enumerate(QUERIES)) + " end"
+
+
+@catalog.add("search_lineage", _hits("doc_posts") + f"""
+    , seen as (select post_id, q, sort_name from (
+      select *, row_number() over (partition by post_id order by cell, rk) as rn from hits) where rn = 1)
+    select post_id, {_QUERY_TEXT} as extraction_query, sort_name as extraction_sort from seen""")
+def search_lineage(spark, sf_dir):
+    """Which query and order found each post."""
+    posts = doc_posts(spark, sf_dir)
+    seen = searching.first_seen_posts(searching.search_hits(posts, GRID, K))
+    wide = searching.with_search_lineage(posts, seen, "2025-01-01T00:00:00+00:00", GRID.size * K)
+    return wide.select("post_id", "extraction_query", "extraction_sort")
+
+
 @catalog.add("running_unique_posts", _hits("doc_posts") + """
     , marked as (select cell, row_number() over (partition by post_id order by cell, rk) as rn from hits)
     select cell, count(*) as hits, count(*) filter (rn = 1) as new_posts,
@@ -202,6 +218,18 @@ def raw_runs_round_trip(spark, sf_dir):
     return read_runs(spark, folder, "posts").select("post_id", "post_title", "post_score", "extraction_id")
 
 
+@catalog.add("comment_runs_round_trip", f"""
+    , source as (select {', '.join(_SOURCE_COMMENTS)} from conversations where turn > 0)
+    select id as comment_id, body as comment_body, score as comment_score, '20240101000000' as extraction_id from source
+    union all select id, body, score + 5, '20240201000000' from source""")
+def comment_runs_round_trip(spark, sf_dir):
+    folder = work_dir(spark, "raw-comments")
+    comments = project_comments(spark, sf_dir)
+    for run, more in _TWO_RUNS:
+        write_run(comments.withColumn("comment_score", F.col("comment_score") + more), folder, "comments", run)
+    return read_runs(spark, folder, "comments").select("comment_id", "comment_body", "comment_score", "extraction_id")
+
+
 @catalog.add("project_comments", f"""
     select id as comment_id, cast(post_id as string) as post_id, body as comment_body, score as comment_score,
       score_hidden as comment_score_hidden, created_utc as comment_created_utc, {_ISO} as comment_created_utc_date

@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 from pyspark.sql import functions as F
 
 from catalog.base import Catalog, docs, response_expr, table, truth
 from chorale.functions.lexicon import lexicon_answers, lexicon_scorer
 from chorale.functions.responses import parse_response, with_value
 from chorale.operators import assembly, explore, metrics, sampling, scoring
-from chorale.operators.prompts import example_list, few_shot_text, prompt_column, prompt_parts
+from chorale.operators.prompts import (
+    example_list, few_shot_text, labelled_only, prompt_column, prompt_factory, prompt_parts,
+)
+from chorale.plans import stages
 from chorale.registry import FEATURES, FRAME, QUALITY, RELEVANCE, SENTIMENT, STANCE, TONE
 from chorale.session import work_dir
+from chorale.sources import files, reports
 from chorale.sources.labels import read_sheet, write_sheet
 from chorale.streaming.scoring import landing_stream, score_stream
 
@@ -66,10 +73,13 @@ _SCORES = _SPLIT + ", scores as (select comment_id, text_content, doc_id, " + ",
     f"{_value_sql(n)} as {n}" for n in LISTS) + " from texts)\n"
 
 
-def scored(spark, sf_dir, *names):
-    """Documents with the typed value of each named feature, in one pass over the texts."""
+def scored(spark, sf_dir, *names, only=None):
+    """Documents (with a doc_id of `only`) with the typed value of each named feature, in one pass over the texts."""
     answers = lexicon_answers([FEATURES[n] for n in names], LISTS, STEP)
-    df = docs(spark, sf_dir).select("comment_id", answers(F.col("text_content")).alias("a"))
+    df = docs(spark, sf_dir)
+    if only is not None:
+        df = df.join(only, "doc_id", "left_semi")
+    df = df.select("comment_id", answers(F.col("text_content")).alias("a"))
     return df.select("comment_id", *[
         F.coalesce(parse_response(F.col("a")[i]["response"], FEATURES[n]), F.lit(FEATURES[n].sentinel)).alias(n)
         for i, n in enumerate(names)])
@@ -129,6 +139,26 @@ def sample_large(spark, sf_dir):
     return sampling.seeded_sample(docs(spark, sf_dir), 2000, SEED, rank="rank").select("comment_id", "rank")
 
 
+@catalog.add("sample_below_size", f"""
+    select comment_id, cast(rk as int) as rank from (
+      select comment_id, row_number() over (order by {_KEY}, comment_id) as rk from docs) where rk <= 150""")
+def sample_below_size(spark, sf_dir):
+    return sampling.seeded_sample(docs(spark, sf_dir), 150, SEED, rank="rank").select("comment_id", "rank")
+
+
+_SOME_ID = "case when doc_id % 5 = 0 then null else cast(doc_id as string) end as comment_id"
+
+
+@catalog.add("sample_with_null_ids", f"""
+    , partly as (select {_SOME_ID}, text as text_content from documents)
+    select comment_id, text_content from (
+      select *, row_number() over (order by {_KEY}, comment_id) as rk from partly where comment_id is not null) where rk <= 120""")
+def sample_with_null_ids(spark, sf_dir):
+    """A fifth of the rows have no id; the sample has its full size."""
+    some = table(spark, sf_dir, "documents").selectExpr(_SOME_ID, "text as text_content")
+    return sampling.seeded_sample(some, 120, SEED)
+
+
 _DONE = "(select cast(doc_id as string) as comment_id from labels)"
 
 
@@ -185,6 +215,72 @@ def fewshot_prompt(spark, sf_dir):
         "comment_id", F.length(prompt).alias("n_chars"), F.md5(prompt).alias("prompt_md5"))
 
 
+_POLES = ("one side", "the other side")
+_SHOWN = (RELEVANCE, SENTIMENT, TONE)
+
+
+def _prompted_sql(feature):
+    before, behind = prompt_parts(feature, "the test corpus", "@@", _POLES)[0].split("@@")
+    examples = f"(select list_of from shown where feature = '{feature.name}')" if feature in _SHOWN else "'[]'"
+    return (f"select comment_id, '{feature.name}' as feature, {_quoted(before)} || {examples} || {_quoted(behind)}"
+            f" || text_content || {_quoted(_TAIL)} as p from docs")
+
+
+def _shown_sql(feature):
+    value = f"'\"' || {feature.name} || '\"'" if feature.labels else feature.name
+    return (f"select '{feature.name}' as feature, '[' || string_agg('{{\"text_content\":' || to_json(text_content) || "
+            f"',\"{feature.name}\":' || {value} || '}}', ',' order by comment_id) || ']' as list_of from shots where rk <= 4")
+
+
+def _values(feature):
+    return feature.labels or tuple(value for value, _ in feature.levels)
+
+
+def _choice_sql(feature):
+    values = _values(feature)
+    quote = '"' if feature.labels else ""
+    return (f"when '{feature.name}' then '{{\"{feature.name}\": {quote}' || "
+            f"({list(values)})[v % {len(values)} + 1] || '{quote}}}'")
+
+
+@catalog.add("score_prompted_features", f"""
+    , shots as (select *, row_number() over (order by {_KEY}, comment_id) as rk from truth)
+    , shown as ({' union all '.join(map(_shown_sql, _SHOWN))})
+    , prompts as ({' union all '.join(map(_prompted_sql, FEATURES.values()))})
+    , drawn as (select comment_id, feature, cast('0x' || substr(md5(p), 1, 6) as bigint) as v from prompts)
+    select comment_id, feature, case feature {' '.join(map(_choice_sql, FEATURES.values()))} end as response from drawn""")
+def score_prompted_features(spark, sf_dir):
+    """The model path for all features: examples, whole prompts, a client per task. The model here picks by the prompt's digest."""
+    shots = sampling.seeded_sample(truth(spark, sf_dir), 4, SEED)
+    examples = {f.name: few_shot_text(shots, f) if f in _SHOWN else "[]" for f in FEATURES.values()}
+    values = {f.name: _values(f) for f in FEATURES.values()}
+    quoted = {f.name for f in FEATURES.values() if f.labels}
+
+    def connect():
+        def model(prompt: str) -> str:
+            name = re.search(r'such as \{"(\w+)":', prompt)[1]
+            drawn = int(hashlib.md5(prompt.encode()).hexdigest()[:6], 16)
+            value = values[name][drawn % len(values[name])]
+            return f'{{"{name}": "{value}"}}' if name in quoted else f'{{"{name}": {value}}}'
+        return model
+
+    features = list(FEATURES.values())
+    factory = prompt_factory(connect, features, "the test corpus", examples, _POLES)
+    return scoring.call_client(docs(spark, sf_dir), features, factory).drop("error")
+
+
+@catalog.add("labelled_only_rows", """
+    select comment_id, discourse_tone from truth where cast(comment_id as bigint) % 3 <> 0""")
+def labelled_only_rows(spark, sf_dir):
+    """Rows with a label; in a third of the sheet it is missing."""
+    return labelled_only(_gappy(truth(spark, sf_dir)), TONE).select("comment_id", TONE.name)
+
+
+def _gappy(sheet):
+    """A sheet in which a third of the rows have no tone."""
+    return sheet.withColumn(TONE.name, F.when(F.col("comment_id").cast("bigint") % 3 != 0, F.col(TONE.name)))
+
+
 # --- scoring: one query per feature, then all in one pass, then through Python workers
 
 def _score_query(name):
@@ -318,7 +414,10 @@ def metric_binary(spark, sf_dir):
 
 
 def _lexicon_tables(spark, sf_dir, names):
-    return {n: scored(spark, sf_dir, n).withColumn("is_error", F.lit(False)) for n in names}
+    """Only labelled documents are scored, all features in one pass."""
+    ids = table(spark, sf_dir, "labels").select("doc_id").distinct()
+    table_ = scored(spark, sf_dir, *names, only=ids).withColumn("is_error", F.lit(False))
+    return dict.fromkeys(names, table_)
 
 
 _JUDGED = (RELEVANCE.name, SENTIMENT.name, TONE.name)
@@ -499,3 +598,86 @@ def label_sheet_round_trip(spark, sf_dir):
     split = sampling.label_split(docs(spark, sf_dir), N, SEED, RATIO, TRAIN_IDS, VAL_IDS)
     write_sheet(split.filter(F.col("split") == "val"), path, [TONE.name])
     return read_sheet(spark, path, [TONE.name]).select("comment_id", "text_content", TONE.name)
+
+
+def _ask(*names):
+    """Word-list answers for the named features."""
+    return lambda queue: scoring.call_columns(queue, scoring.each({n: SCORERS[n] for n in names}))
+
+
+@catalog.add("retry_then_publish", _SCORES + """
+    select d.comment_id, d.n_chars, s.content_relevance_score from docs d join scores s on d.comment_id = s.comment_id""")
+def retry_then_publish(spark, sf_dir):
+    """A third of the first answers can't be read and is asked again; published once an id, then joined."""
+    root = work_dir(spark, "retry")
+
+    def failing(queue):
+        bad = F.col("comment_id").cast("bigint") % 3 == 0
+        return _ask(RELEVANCE.name)(queue).withColumn("response", F.when(bad, "no answer").otherwise(F.col("response")))
+
+    base = docs(spark, sf_dir)
+    stages.generate(base, [RELEVANCE], failing, f"{root}/answers")
+    stages.generate(base, [RELEVANCE], _ask(RELEVANCE.name), f"{root}/answers", retry_errors=True)
+    stages.publish_feature(spark, f"{root}/answers", RELEVANCE, f"{root}/features")
+    tables = files.feature_folders(spark, f"{root}/features")
+    return assembly.join_features(base, tables).select("comment_id", "n_chars", RELEVANCE.name)
+
+
+@catalog.add("labelled_per_feature", _SCORES + """
+    select d.comment_id, coalesce(t.content_relevance_score, s.content_relevance_score) as content_relevance_score,
+      case when t.comment_id is null then 'predicted' else 'human' end as relevance_origin,
+      case when cast(t.comment_id as bigint) % 3 <> 0 then t.discourse_tone else s.discourse_tone end as discourse_tone,
+      case when cast(t.comment_id as bigint) % 3 <> 0 then 'human' else 'predicted' end as tone_origin
+    from docs d join scores s on d.comment_id = s.comment_id left join truth t on d.comment_id = t.comment_id""")
+def labelled_per_feature(spark, sf_dir):
+    """Rows labelled for one feature only are scored for the other; every id is in both published tables."""
+    root, features = work_dir(spark, "labelled"), [RELEVANCE, TONE]
+    sheet = _gappy(truth(spark, sf_dir))
+    stages.generate(docs(spark, sf_dir), features, _ask(RELEVANCE.name, TONE.name), f"{root}/answers", labelled=sheet)
+    for feature in features:
+        stages.publish_feature(spark, f"{root}/answers", feature, f"{root}/features", labelled=sheet)
+    found = files.feature_folders(spark, f"{root}/features")
+    first = found[RELEVANCE.name].withColumnRenamed("origin", "relevance_origin")
+    second = found[TONE.name].withColumnRenamed("origin", "tone_origin")
+    return first.join(second, "comment_id", "full")
+
+
+@catalog.add("validate_two_runs", """
+    , n as (select count(*) as n_rows from truth)
+    select r.run, 'content_relevance_score' as feature, n_rows, case r.run when 'bad' then n_rows else 0 end as n_errors,
+      n_rows as n_train, case r.run when 'bad' then 0e0 else 1e0 end as metric_strict,
+      case r.run when 'bad' then 'FAILURE' else 'SUCCESS' end as verdict_strict
+    from n, (values ('bad'), ('good')) as r(run)""")
+def validate_two_runs(spark, sf_dir):
+    """A useless scorer, then a perfect one on the same stores: the second run is judged by its own answers."""
+    root, sheet = work_dir(spark, "validate"), truth(spark, sf_dir)
+
+    def useless(queue):
+        return queue.select("comment_id", F.lit(RELEVANCE.name).alias("feature"), F.lit("no answer").alias("response"))
+
+    def perfect(queue):
+        value = F.to_json(F.struct(RELEVANCE.name))
+        known = sheet.select("comment_id", value.alias("response"), F.lit(RELEVANCE.name).alias("feature"))
+        return queue.select("comment_id").join(known, "comment_id")
+
+    for run, ask in (("bad", useless), ("good", perfect)):
+        stages.validate(sheet, [RELEVANCE], ask, f"{root}/answers", f"{root}/reports", run, train=sheet)
+    return reports.read_reports(spark, f"{root}/reports").select(
+        "run", "feature", "n_rows", "n_errors", "n_train", "metric_strict", "verdict_strict")
+
+
+@catalog.add("filtered_joined_round_trip", _SCORES + """
+    select d.comment_id, d.n_chars, s.content_relevance_score, s.discourse_tone,
+      (select count(*) from scores where content_relevance_score >= 3) as n_kept
+    from docs d join scores s on d.comment_id = s.comment_id where s.content_relevance_score >= 3""")
+def filtered_joined_round_trip(spark, sf_dir):
+    """Processed, feature, filtered and wide tables, each written and read back; a second write of one is skipped."""
+    root = work_dir(spark, "tables")
+    files.write_table(docs(spark, sf_dir).select("comment_id", "n_chars"), f"{root}/processed")
+    stages.generate(docs(spark, sf_dir), [RELEVANCE, TONE], _ask(RELEVANCE.name, TONE.name), f"{root}/answers")
+    for feature in (RELEVANCE, TONE):
+        stages.publish_feature(spark, f"{root}/answers", feature, f"{root}/features")
+    n = stages.filter_relevant(spark, f"{root}/processed", f"{root}/features/{RELEVANCE.name}.parquet", f"{root}/kept")
+    files.write_once(files.read_table(spark, f"{root}/processed"), f"{root}/kept")
+    wide = stages.join_all_features(spark, f"{root}/kept", f"{root}/features", f"{root}/wide")
+    return wide.select("comment_id", "n_chars", RELEVANCE.name, TONE.name, F.lit(n).cast("long").alias("n_kept"))

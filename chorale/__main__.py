@@ -1,5 +1,6 @@
 """The stages from the command line, for spark-submit or `python -m chorale`.
 
+    collect   POSTS COMMENTS RAW               one search run over a stored corpus
     process   RAW OUT                          runs to the processed table
     sample    TABLE TRAIN VAL                  label sheets
     validate  TRAIN VAL ANSWERS REPORTS        scores the validation sheet and reports
@@ -17,17 +18,21 @@ from __future__ import annotations
 import argparse
 import importlib
 from collections.abc import Callable, Sequence
+from datetime import datetime, timezone
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
 from chorale import presets
 from chorale.operators import explore, metrics, scoring
 from chorale.operators.prompts import few_shot_text, prompt_factory
+from chorale.operators.searching import SORTS, SearchGrid
 from chorale.plans import stages
 from chorale.registry import FIRST_PASS, Feature, select_features
 from chorale.sources import files, labels, reports
 
 _PATHS = {
+    "collect": "posts comments raw",
     "process": "raw out", "sample": "table train val", "validate": "train val answers reports",
     "generate": "table train answers", "publish": "answers features", "filter": "table scores out",
     "join": "table features out",
@@ -44,6 +49,9 @@ def _arguments() -> argparse.ArgumentParser:
             parsers[name].add_argument(path)
     for name in ("sample", "validate", "generate", "publish"):
         parsers[name].add_argument("--feature", nargs="+", dest="names", default=list(FIRST_PASS))
+    parsers["collect"].add_argument("--limit", type=int, default=presets.SEARCH_LIMIT)
+    parsers["collect"].add_argument("--window", default=presets.TIME_WINDOW)
+    parsers["collect"].add_argument("--active", action="store_true", help="only the active communities and queries")
     parsers["process"].add_argument("--keep", choices=("first", "last"), default="last")
     parsers["sample"].add_argument("--rows", type=int, default=presets.SAMPLE_SIZE)
     parsers["sample"].add_argument("--seed", type=int, default=presets.SAMPLE_SEED)
@@ -53,6 +61,7 @@ def _arguments() -> argparse.ArgumentParser:
     for name in ("validate", "generate"):
         parsers[name].add_argument("--model", required=True)
         parsers[name].add_argument("--topic", required=True)
+        parsers[name].add_argument("--poles", nargs=2, metavar=("LOW", "HIGH"), default=presets.STANCE_POLES)
         parsers[name].add_argument("--tasks", type=int)
         parsers[name].add_argument("--in-flight", type=int, default=8)
     parsers["validate"].add_argument("--run", required=True)
@@ -62,7 +71,9 @@ def _arguments() -> argparse.ArgumentParser:
     parsers["generate"].add_argument("--retry-errors", action="store_true")
     parsers["generate"].add_argument("--passed-in", metavar="RUN", help="only features that passed this validation run")
     parsers["generate"].add_argument("--reports", help="folder of the validation reports, with --passed-in")
-    parsers["publish"].add_argument("--retried", action="store_true")
+    for name in ("generate", "publish"):
+        parsers[name].add_argument("--labelled", nargs="+", default=[], metavar="SHEET",
+                                   help="label sheets whose labels stand instead of predictions")
     return parser
 
 
@@ -70,15 +81,28 @@ def _ask(args: argparse.Namespace, features: Sequence[Feature], train: DataFrame
     module, _, attribute = args.model.partition(":")
     connect = getattr(importlib.import_module(module), attribute)
     examples = {f.name: few_shot_text(train, f) for f in features}
-    factory = prompt_factory(connect, features, args.topic, examples)
+    factory = prompt_factory(connect, features, args.topic, examples, tuple(args.poles))
     return lambda queue: scoring.call_client(queue, features, factory, args.tasks, args.in_flight)
 
 
+def _labelled(spark: SparkSession, args: argparse.Namespace) -> DataFrame | None:
+    sheets = [labels.read_sheet(spark, path, args.names) for path in args.labelled]
+    return reduce(DataFrame.unionByName, sheets) if sheets else None
+
+
 def main(argv: Sequence[str] | None = None) -> None:
     args = _arguments().parse_args(argv)
     spark = SparkSession.builder.appName(f"chorale {args.stage}").getOrCreate()
     features = select_features(getattr(args, "names", []))
-    if args.stage == "process":
+    if args.stage == "collect":
+        communities, queries, sorts = (
+            (presets.ACTIVE_COMMUNITIES, presets.ACTIVE_QUERIES, presets.ACTIVE_SORTS) if args.active
+            else (presets.COMMUNITIES, presets.QUERIES, SORTS))
+        run = stages.collect(files.read_table(spark, args.posts), files.read_table(spark, args.comments),
+                             SearchGrid(communities, queries, sorts), args.limit, args.raw,
+                             datetime.now(timezone.utc), args.window)
+        print("run", run)
+    elif args.stage == "process":
         stages.process(spark, args.raw, args.out, args.keep)
     elif args.stage == "sample":
         wrote = stages.draw_samples(spark, args.table, args.train, args.val, args.names, args.rows, args.seed,
@@ -86,7 +110,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         print("sheets written" if wrote else "both sheets exist; nothing done")
     elif args.stage == "validate":
         train, val = (labels.read_sheet(spark, p, args.names) for p in (args.train, args.val))
-        stages.validate(val, features, _ask(args, features, train), args.answers, args.reports, args.run).show(truncate=False)
+        stages.validate(val, features, _ask(args, features, train), args.answers, args.reports, args.run,
+                        train).show(truncate=False)
     elif args.stage == "generate":
         train = labels.read_sheet(spark, args.train, args.names)
         if args.passed_in:
@@ -95,10 +120,11 @@ def main(argv: Sequence[str] | None = None) -> None:
         pilot = (args.pilot, args.pilot_seed) if args.pilot else None
         if features:
             stages.generate(files.read_table(spark, args.table), features, _ask(args, features, train), args.answers,
-                            pilot, retry_errors=args.retry_errors, commits=args.commits)
+                            pilot, _labelled(spark, args), retry_errors=args.retry_errors, commits=args.commits)
     elif args.stage == "publish":
         for feature in features:
-            stages.publish_feature(spark, args.answers, feature, args.features, args.retried)
+            stages.publish_feature(spark, args.answers, feature, args.features,
+                                 labelled=_labelled(spark, args))
     elif args.stage == "filter":
         print("relevant comments:", stages.filter_relevant(spark, args.table, args.scores, args.out))
     else:

@@ -52,9 +52,13 @@ def compare(truth: DataFrame, predictions: dict[str, DataFrame], features: Seque
     known = truth.select("comment_id", *[label(f).alias(f"truth_{f.name}") for f in features])
     known = known.filter(F.coalesce(*[F.col(f"truth_{f.name}").cast("string") for f in features]).isNotNull())
     ids, wide = known.select("comment_id"), known
+    # Features that come in one table are joined in one go.
+    together: dict[int, list[Feature]] = {}
     for f in features:
-        guess = predictions[f.name].select(
-            "comment_id", F.col(f.name).alias(f"guess_{f.name}"), F.col("is_error").alias(f"error_{f.name}"))
+        together.setdefault(id(predictions[f.name]), []).append(f)
+    for group in together.values():
+        guess = predictions[group[0].name].select("comment_id", *[c for f in group for c in (
+            F.col(f.name).alias(f"guess_{f.name}"), F.col("is_error").alias(f"error_{f.name}"))])
         # Labels are few and predictions many: cut the many down before the outer join shuffles them.
         wide = wide.join(guess.join(ids, "comment_id", "left_semi"), "comment_id", "left")
     pairs = wide.select(F.explode(F.array(*[_pair(f) for f in features])).alias("p")).select("p.*")
@@ -84,10 +88,10 @@ def registry_frame(like: DataFrame, features: Sequence[Feature]) -> DataFrame:
     }))
 
 
-def report(pairs: DataFrame, features: Sequence[Feature]) -> DataFrame:
+def report(pairs: DataFrame, features: Sequence[Feature], train: DataFrame | None = None) -> DataFrame:
     """One row per feature: counts, all metrics of its kind, the headline metric and the verdict.
 
-    One grouped pass with map-side combine. A feature without labelled rows reports NO_DATA.
+    `train`: rows whose labels serve as examples; `n_train` counts them per feature, null without it. One grouped pass with map-side combine. A feature without labelled rows reports NO_DATA.
     """
     t, g, ok = F.col("truth_number"), F.col("guess_number"), ~F.col("is_error")
     near, side = F.abs(t - g) <= TOLERANCE, (t >= F.col("cutoff")) == (g >= F.col("cutoff"))
@@ -107,6 +111,8 @@ def report(pairs: DataFrame, features: Sequence[Feature]) -> DataFrame:
         when(CATEGORICAL, same).alias("exact_sentinel"), when(CATEGORICAL, same & ok).alias("exact_strict"),
     )
     full = registry_frame(pairs, features).join(measured, "feature", "left").fillna(0, ["n_rows", "n_errors"])
+    full = full.join(_train_rows(train, features), "feature", "left") if train is not None else full.withColumn(
+        "n_train", F.lit(None).cast("long"))
     for form in ("sentinel", "strict"):
         headline = (
             F.when(F.col("kind") == ORDINAL, F.col(f"adjacent_{form}"))
@@ -118,6 +124,15 @@ def report(pairs: DataFrame, features: Sequence[Feature]) -> DataFrame:
     return full
 
 
+def _train_rows(train: DataFrame, features: Sequence[Feature]) -> DataFrame:
+    """Usable labels per feature."""
+    usable = [F.count_if(cast_label(F.col(f.name).cast("string"), f).isNotNull()) if f.name in train.columns
+              else F.lit(0).cast("long") for f in features]
+    counts = train.agg(F.array(*[F.struct(F.lit(f.name).alias("feature"), n.alias("n_train"))
+                                 for f, n in zip(features, usable, strict=True)]).alias("c"))
+    return counts.select(F.inline("c"))
+
+
 def verdict(kind: Column, metric: Column, threshold: Column) -> Column:
     """An error must not exceed its threshold; an accuracy must reach it."""
     passed = F.when(kind == CONTINUOUS, metric <= threshold).otherwise(metric >= threshold)

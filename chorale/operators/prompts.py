@@ -40,33 +40,39 @@ def few_shot_text(train: DataFrame, feature: Feature, max_examples: int | None =
     return example_list(rows, feature).first()["examples"]
 
 
-def rubric_text(feature: Feature, topic: str) -> str:
+def rubric_text(feature: Feature, topic: str, poles: tuple[str, str] | None = None) -> str:
+    """`poles`: what the low and the high end of a scale between two sides stand for."""
+    if feature.between_poles and poles is None:
+        raise ValueError(f"{feature.name} needs the names of its two poles")
     lines = [f"You assess comments in a study of public opinion on {topic}.", feature.task, ""]
     lines += [f"{value}: {meaning}" for value, meaning in feature.levels]
     example = f'"{feature.labels[0]}"' if feature.kind == CATEGORICAL else feature.levels[1][0]
     lines += ["", f'Answer with one JSON object such as {{"{feature.name}": {example}}}.']
-    return "\n".join(lines)
+    text = "\n".join(lines)
+    return text.replace("{first}", poles[0]).replace("{second}", poles[1]) if feature.between_poles else text
 
 
-def prompt_parts(feature: Feature, topic: str, examples: str) -> tuple[str, str]:
+def prompt_parts(feature: Feature, topic: str, examples: str,
+                 poles: tuple[str, str] | None = None) -> tuple[str, str]:
     """Everything before the text, and everything after it."""
-    head = f"{rubric_text(feature, topic)}\n\nExamples labelled by experts:\n{examples}\n\nText:\n"
+    head = f"{rubric_text(feature, topic, poles)}\n\nExamples labelled by experts:\n{examples}\n\nText:\n"
     return head, "\n"
 
 
-def prompt_column(text: Column, feature: Feature, topic: str, examples: str) -> Column:
-    head, tail = prompt_parts(feature, topic, examples)
+def prompt_column(text: Column, feature: Feature, topic: str, examples: str,
+                  poles: tuple[str, str] | None = None) -> Column:
+    head, tail = prompt_parts(feature, topic, examples, poles)
     return F.concat(F.lit(head), text, F.lit(tail))
 
 
 def prompt_factory(connect: Callable[[], Callable[[str], str]], features: Sequence[Feature], topic: str,
-                   examples: Mapping[str, str]) -> Callable[[], Callable[[str, str], str]]:
+                   examples: Mapping[str, str], poles: tuple[str, str] | None = None) -> Callable[[], Callable[[str, str], str]]:
     """A client factory for `call_client` around a model that maps a prompt to its answer.
 
     `connect` is called once per task and opens the model; `examples` holds each feature's few-shot
     text, `[]` for none.
     """
-    parts = {f.name: prompt_parts(f, topic, examples[f.name]) for f in features}
+    parts = {f.name: prompt_parts(f, topic, examples[f.name], poles) for f in features}
 
     def factory() -> Callable[[str, str], str]:
         model = connect()

@@ -13,12 +13,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chorale.operators.ranking import top_k
+from chorale.operators.ranking import one_per_key
 
 # Picked ids up to this many are broadcast; a larger sample is joined as Spark sees fit.
 BROADCAST_ROWS = 100_000
-# Spark's default bound for cutting a row_number filter down in the map tasks.
-GROUP_LIMIT = 1_000
 ID = "comment_id"
 
 
@@ -47,40 +45,34 @@ def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.filter(F.col(ID).isNotNull()).join(ids.select(ID), ID, "left_anti")
 
 
-def _smallest_keys(narrow: DataFrame, n: int) -> DataFrame:
-    """A superset of the n smallest keys, little larger than n: exact, and no sort of the whole pool.
+def _ranked(narrow: DataFrame, n: int) -> DataFrame:
+    """The n rows with the smallest keys and their `__rank`, without a sort of the whole pool.
 
-    Rows are counted by the first four hex digits of the key; whole digit groups are kept up to the
-    one in which the n-th row falls.
+    Rows are counted by the first four hex digits of the key. Only digit groups up to the one in which
+    the n-th row falls are ranked, each on its own, behind the number of rows in the groups before it.
     """
-    head = F.substring("__key", 1, 4)
-    per_head = narrow.groupBy(head.alias("h")).agg(F.count("*").alias("c"))  # at most 65,536 rows
-    before = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("h")) - F.col("c")
-    last = per_head.withColumn("before", before).filter(F.col("before") < n).agg(F.max("h"))
-    return narrow.filter(head <= last.scalar())
+    heads = narrow.groupBy(F.substring("__key", 1, 4).alias("__head")).agg(F.count("*").alias("c"))  # at most 65,536 rows
+    before = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("__head")) - F.col("c")
+    heads = heads.select("__head", before.alias("__before")).filter(F.col("__before") < n)
+    own = Window.partitionBy("__head").orderBy("__key", ID)
+    kept = narrow.withColumn("__head", F.substring("__key", 1, 4)).join(F.broadcast(heads), "__head")
+    rank = (F.col("__before") + F.row_number().over(own)).cast("int")
+    return kept.select(ID, rank.alias("__rank")).filter(F.col("__rank") <= n)
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, rank: str | None = None) -> DataFrame:
-    """Exactly n rows without replacement, or all when there are fewer; `rank` names their order column.
+    """Exactly n comments without replacement, or all when there are fewer; `rank` names their order column.
 
-    Rows without an id can't be found again and are never drawn.
+    Ids are ranked on their own and the wide rows fetched by them, where they lie. Rows without an id
+    can't be found again and are never drawn; of several rows with one id one is drawn.
     """
     df = df.filter(F.col(ID).isNotNull())
-    order = [F.asc("__key"), F.asc(ID)]
-    narrow = df.select(ID, sample_key(seed).alias("__key"))
-    if n <= GROUP_LIMIT:
-        picked = top_k(narrow, n, order, spread_by=ID)
-    else:
-        picked = _smallest_keys(narrow, n).distinct().orderBy(*order).limit(n)
-    picked = picked.select(ID).distinct()
+    picked = _ranked(df.select(ID).distinct().withColumn("__key", sample_key(seed)), n)
     if n <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
-    # Copies of an id may bring back more rows than were picked, so the cut is made once more; every
-    # task keeps at most n rows for it.
-    rows = df.join(picked, ID).withColumn("__key", sample_key(seed)).orderBy(*order).limit(n)
-    if rank:
-        rows = rows.withColumn(rank, F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)))
-    return rows.drop("__key")
+    content = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
+    rows = one_per_key(df.withColumn("__content", content).join(picked, ID), [ID], [F.asc("__content")]).drop("__content")
+    return rows.withColumnRenamed("__rank", rank) if rank else rows.drop("__rank")
 
 
 def pilot_cut(queue: DataFrame, size: int, seed: int) -> DataFrame:

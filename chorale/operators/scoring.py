@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chorale.functions.responses import parse_response, with_value
+from chorale.functions.responses import cast_label, parse_response, with_value
 from chorale.operators.ranking import one_per_key
 from chorale.operators.sampling import ID, without_ids
 from chorale.registry import Feature
@@ -38,7 +38,7 @@ def call_client(queue: DataFrame, features: Sequence[Feature], factory: ClientFa
     `queue` has comment_id, text_content and optionally `wanted`, the feature names still open for
     the row. One scan feeds all features; each task holds one client and keeps `in_flight` calls
     open. Only the needed columns reach Python. A fixed number of tasks is not merged by AQE.
-    A failed call is a missing answer, not a failed job.
+    A failed call is a missing answer, not a failed job; `error` tells what the client raised.
     """
     names = [f.name for f in features]
     wanted = F.col("wanted") if "wanted" in queue.columns else F.array(*[F.lit(n) for n in names])
@@ -49,11 +49,11 @@ def call_client(queue: DataFrame, features: Sequence[Feature], factory: ClientFa
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         client = factory()
 
-        def ask(call: tuple[str, str, str]) -> str | None:
+        def ask(call: tuple[str, str, str]) -> tuple[str | None, str | None]:
             try:
-                return client(call[1], call[2])
-            except Exception:  # noqa: BLE001 - any client error means no answer
-                return None
+                return client(call[1], call[2]), None
+            except Exception as failure:  # noqa: BLE001 - any client error means no answer
+                return None, f"{type(failure).__name__}: {failure}"
 
         with ThreadPoolExecutor(in_flight) as pool:
             for batch in batches:
@@ -61,10 +61,11 @@ def call_client(queue: DataFrame, features: Sequence[Feature], factory: ClientFa
                 answers = list(pool.map(ask, calls))
                 yield pd.DataFrame({
                     ID: [c[0] for c in calls], "feature": [c[1] for c in calls],
-                    "response": pd.Series(answers, dtype="object"),
+                    "response": pd.Series([a for a, _ in answers], dtype="object"),
+                    "error": pd.Series([e for _, e in answers], dtype="object"),
                 })
 
-    return rows.mapInPandas(run, f"{ID} string, feature string, response string")
+    return rows.mapInPandas(run, f"{ID} string, feature string, response string, error string")
 
 
 def each(scorers: Mapping[str, ColumnScorer]) -> ColumnAnswers:
@@ -128,17 +129,20 @@ def unique_texts(df: DataFrame, unique: bool = False) -> DataFrame:
 
 def append_answers(answers: DataFrame, path: str, features: Sequence[Feature]) -> None:
     """Adds the features' answers to the store; a folder per feature, nothing is read back or rewritten."""
+    error = F.col("error") if "error" in answers.columns else F.lit(None).cast("string").alias("error")
     (answers.filter(F.col("feature").isin(*[f.name for f in features]))
      .withColumn("scored_at", F.current_timestamp())
-     .select("comment_id", "response", "scored_at", "feature")
+     .select("comment_id", "response", error, "scored_at", "feature")
      .write.mode("append").partitionBy("feature").parquet(path))
 
 
 def score_into_store(df: DataFrame, store_path: str, features: Sequence[Feature],
                      ask: Callable[[DataFrame], DataFrame], retry_errors: bool = False, commits: int = 1,
-                     unique: bool = False) -> None:
+                     unique: bool = False, skip: DataFrame | None = None) -> None:
     """Asks for what the store lacks and appends the answers. Run twice, the second run asks nothing.
 
+    `skip`: further (comment_id, feature) pairs that need no answer.
+
     With several `commits` the ids are split by hash and each share is stored before the next is
     asked for: a job that fails loses at most one share of paid answers, for one more scan per share.
     """
@@ -147,9 +151,19 @@ def score_into_store(df: DataFrame, store_path: str, features: Sequence[Feature]
         if commits > 1:
             part = part.filter(F.pmod(F.xxhash64(ID), F.lit(commits)) == share)
         done = answered(read_store(df.sparkSession, store_path), features, retry_errors)
+        if skip is not None:
+            done = done.unionByName(skip)
         append_answers(ask(resume_queue(unique_texts(part, unique), done, features)), store_path, features)
 
 
+def labelled_pairs(labelled: DataFrame, features: Sequence[Feature]) -> DataFrame:
+    """(comment_id, feature) for every usable label: a row labelled for one feature still lacks the others."""
+    named = [F.when(cast_label(F.col(f.name).cast("string"), f).isNotNull(), f.name)
+             for f in features if f.name in labelled.columns]
+    names = F.array_compact(F.array(*named)) if named else F.array().cast("array<string>")
+    return labelled.filter(F.col(ID).isNotNull()).select(ID, F.explode(names).alias("feature"))
+
+
 def feature_table(store: DataFrame, feature: Feature, retried: bool = False) -> DataFrame:
     """comment_id, the typed feature column, is_error, out_of_domain, raw_response.
 

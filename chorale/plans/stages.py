@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
@@ -51,26 +52,39 @@ def process(spark: SparkSession, raw_folder: str, out: str, keep: str = "last")
 def draw_samples(spark: SparkSession, table: str, train_sheet: str, val_sheet: str, features: Sequence[str],
                  n: int, seed: int, val_ratio: float, train_ids: Sequence[str] = (),
                  val_ids: Sequence[str] = ()) -> bool:
-    """Train and validation sheets for labelling. Existing sheets are never touched."""
+    """Train and validation sheets for labelling. Existing sheets are never touched.
+
+    Listed ids that the table does not hold are named in a warning.
+    """
     if labels.sheets_exist(spark, train_sheet, val_sheet):
         return False
-    split = sampling.label_split(files.read_table(spark, table), n, seed, val_ratio, train_ids, val_ids)
-    split = split.cache()  # n rows, used for both sheets
+    rows = files.read_table(spark, table)
+    listed = [*train_ids, *val_ids]
+    # At most as many ids as the caller listed.
+    absent = [r[0] for r in sampling.missing_ids(rows, listed).toLocalIterator()] if listed else []
+    if absent:
+        warnings.warn(f"ids not found in {table}: {', '.join(sorted(absent))}", stacklevel=2)
+    split = sampling.label_split(rows, n, seed, val_ratio, train_ids, val_ids)
     for name, path in (("train", train_sheet), ("val", val_sheet)):
         if not files.path_exists(spark, path):
             labels.write_sheet(split.filter(F.col("split") == name), path, features)
-    split.unpersist()
     return True
 
 
 def validate(val: DataFrame, features: Sequence[Feature], ask: Ask, store: str, report_path: str,
-             run: str) -> DataFrame:
-    """Scores the labelled validation rows once, compares, and appends the report."""
+             run: str, train: DataFrame | None = None) -> DataFrame:
+    """Scores the labelled validation rows anew for this run, compares, and appends the report.
+
+    Every run has a store of its own below `store`, so a new scorer is never judged by old answers; the
+    same run started again asks only for what it lacks. `train`: the few-shot rows, counted in the report.
+    """
     spark = val.sparkSession
+    store = f"{store.rstrip('/')}/run={run}"
     scoring.score_into_store(val, store, features, ask)
     answers = scoring.read_store(spark, store)
     guesses = {f.name: scoring.feature_table(answers, f, retried=True) for f in features}
-    reports.append_report(metrics.report(metrics.compare(val, guesses, features), features), report_path, run)
+    report = metrics.report(metrics.compare(val, guesses, features), features, train)
+    reports.append_report(report, report_path, run)
     return reports.read_reports(spark, report_path).filter(F.col("run") == run)
 
 
@@ -79,17 +93,18 @@ def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, p
              unique: bool = True) -> None:
     """Scores what the store still lacks. `pilot` is (size, seed); each pilot run advances by its size.
 
-    `labelled`: rows people labelled, left out of scoring. Features share the scan of a full run; in a
+    `labelled`: rows people labelled, left out of scoring for the features they have a label for. Features share the scan of a full run; in a
     pilot every feature has a queue of its own. `unique`: ids of `df` are unique, as in a processed table.
     """
-    if labelled is not None:
-        df = sampling.without_ids(df, labelled)
+    skip = None if labelled is None else scoring.labelled_pairs(labelled, features)
     if pilot is None:
-        scoring.score_into_store(df, store, features, ask, retry_errors, commits, unique)
+        scoring.score_into_store(df, store, features, ask, retry_errors, commits, unique, skip)
         return
     size, seed = pilot
     for feature in features:
         done = scoring.answered(scoring.read_store(df.sparkSession, store), [feature], retry_errors)
+        if skip is not None:
+            done = done.unionByName(skip.filter(F.col("feature") == feature.name))
         queue = scoring.resume_queue(scoring.unique_texts(df, unique), done)
         queue = sampling.pilot_cut(queue, size, seed).withColumn("wanted", F.array(F.lit(feature.name)))
         scoring.append_answers(ask(queue), store, [feature])

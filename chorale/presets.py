@@ -49,3 +49,6 @@ PILOT_SIZE = 25
 PILOT_SEED = 111
 SAVE_EVERY = 5
 LEGACY_SAMPLE_SIZE = 20
+
+# What 1 and 5 mean on the stance scale.
+STANCE_POLES = ("Pro-Palestine", "Pro-Israel")

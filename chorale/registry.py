@@ -33,8 +33,9 @@ class Feature:
         return SENTINEL[self.kind]
 
     @property
-    def lower_is_better(self) -> bool:
-        return self.kind == CONTINUOUS
+    def between_poles(self) -> bool:
+        """The rubric names the two ends of the scale, {first} and {second}, which the study supplies."""
+        return "{first}" in self.task
 
 
 # Feature names, scales, category names, cutoff and validation thresholds.
@@ -53,13 +54,13 @@ RELEVANCE = Feature(
 )
 STANCE = Feature(
     "political_stance", ORDINAL, 0.9, low=1, high=5,
-    task="Place the comment between the two sides of the topic. Judge the position, not the temper.",
+    task="Place the comment between {first} and {second}. Judge the position, not the temper.",
     levels=(
-        ("1", "strongly with the first side"),
-        ("2", "leans to the first side"),
+        ("1", "strongly {first}"),
+        ("2", "leans {first}"),
         ("3", "balanced or purely factual"),
-        ("4", "leans to the second side"),
-        ("5", "strongly with the second side"),
+        ("4", "leans {second}"),
+        ("5", "strongly {second}"),
     ),
 )
 QUALITY = Feature(

@@ -59,6 +59,7 @@ AUTHORS = _struct(
 RESPONSES = _struct(
     ("comment_id", _S),
     ("response", _S),
+    ("error", _S),
     ("scored_at", T.TimestampType()),
     ("feature", _S),
 )

@@ -1,4 +1,4 @@
-"""Label sheets: JSON arrays a person fills in, and their way back."""
+"""Label sheets: JSON a person fills in, one object a line, and their way back."""
 
 from __future__ import annotations
 
@@ -12,28 +12,26 @@ from chorale.operators.sampling import label_sheet
 from chorale.schema import LABEL_SHEET_COLUMNS
 from chorale.sources.files import path_exists
 
-# A person cannot label more; it bounds the one row a sheet is written from.
-MAX_SHEET_ROWS = 100_000
-
 
 def write_sheet(df: DataFrame, path: str, features: Sequence[str],
                 columns: Sequence[str] = LABEL_SHEET_COLUMNS) -> None:
-    """One indented JSON array with an explicit null per label slot, in id order."""
-    sheet = label_sheet(df, columns, features)
-    if sheet.limit(MAX_SHEET_ROWS + 1).count() > MAX_SHEET_ROWS:
-        raise ValueError("a label sheet is a small sample; draw one first")
-    rows = F.array_sort(F.collect_list(F.struct(*sheet.columns)))
-    text = F.to_json(rows, {"ignoreNullFields": "false", "pretty": "true"})
-    sheet.agg(text.alias("value")).write.mode("errorifexists").text(path)
+    """A folder of JSON lines with an explicit null per label slot, in id order; any number of rows."""
+    sheet = label_sheet(df, columns, features).orderBy("comment_id")
+    sheet.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
 def read_sheet(spark: SparkSession, path: str, features: Sequence[str],
                columns: Sequence[str] = LABEL_SHEET_COLUMNS) -> DataFrame:
-    """A filled-in sheet. A file that is no JSON is an error. Labels are kept as the text that was typed; `labelled_only` casts them."""
+    """A filled-in sheet: JSON lines, or one JSON array. A file that is neither is an error.
+
+    Labels are kept as the text that was typed; `labelled_only` casts them.
+    """
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no label sheet at {path}; draw and label a sample first")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in (*columns, *features)])
-    return spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    begin = spark.read.text(path).select(F.trim("value").alias("v")).filter("v <> ''").first()
+    is_array = begin is not None and begin["v"].startswith("[")
+    return spark.read.schema(schema).option("multiLine", is_array).option("mode", "FAILFAST").json(path)
 
 
 def sheets_exist(spark: SparkSession, *paths: str) -> bool:

@@ -68,4 +68,6 @@ def test_label_sheet_has_empty_slots(spark, pool):
 
 def test_large_sample_does_not_sort_the_pool(spark, pool):
     text = sampling.seeded_sample(pool, 2000, 7)._jdf.queryExecution().executedPlan().toString()
-    assert "Subquery" in text and "rangepartitioning" not in text
+    assert "rangepartitioning" not in text and "TakeOrdered" not in text
+    # The one task of its own sees the digit groups, not the rows.
+    assert text.count("SinglePartition") == 1

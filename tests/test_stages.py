@@ -100,9 +100,11 @@ def test_sheet_round_trip(spark, tmp_path):
     labels.write_sheet(df, path, [R, TONE.name])
     part = next((tmp_path / "sheet.json").glob("part-*"))
     text = part.read_text(encoding="utf-8")
-    assert json.loads(text) == [{"comment_id": "a", "text_content": "é \"x\"\n", R: None, TONE.name: None},
+    assert [json.loads(line) for line in text.splitlines()] == [{"comment_id": "a", "text_content": "é \"x\"\n", R: None, TONE.name: None},
                                 {"comment_id": "b", "text_content": "y", R: None, TONE.name: None}]
     assert "é" in text and "\n" in text
+    assert [tuple(r) for r in labels.read_sheet(spark, path, [R], ["comment_id"]).orderBy("comment_id").collect()] == [
+        ("a", None), ("b", None)]
     filled = tmp_path / "filled.json"
     filled.write_text(json.dumps([{"comment_id": "a", "text_content": "t", R: 3}, {"comment_id": "b", "text_content": "u", R: None}]))
     rows = labels.read_sheet(spark, str(filled), [R]).orderBy("comment_id").collect()
@@ -184,6 +186,21 @@ def test_labelled_rows_are_left_out_and_kept_as_truth(spark, tmp_path):
     assert {(r.comment_id, r[R], r.origin) for r in rows} == {("a", 5, "human"), ("b", 2, "predicted")}
 
 
+def test_a_missing_label_leaves_the_row_to_the_scorer(spark):
+    sheet = spark.createDataFrame([("a", "5", None), ("b", "??", "Hostile"), (None, "1", "Other")],
+                                  f"comment_id string, {R} string, {TONE.name} string")
+    pairs = scoring.labelled_pairs(sheet, [RELEVANCE, TONE])
+    assert {tuple(r) for r in pairs.collect()} == {("a", R), ("b", TONE.name)}
+    assert scoring.labelled_pairs(sheet.select("comment_id"), [RELEVANCE]).count() == 0
+
+
+def test_missing_manual_ids_are_named(spark, tmp_path):
+    table = str(tmp_path / "t")
+    spark.createDataFrame([("a", "x"), ("b", "y")], "comment_id string, text_content string").write.parquet(table)
+    with pytest.warns(UserWarning, match="zz"):
+        stages.draw_samples(spark, table, str(tmp_path / "tr"), str(tmp_path / "va"), [R], 2, 1, 0.5, ["zz", "a"])
+
+
 def test_stream_pays_once(spark, tmp_path):
     land, store, log = str(tmp_path / "land"), str(tmp_path / "store"), []
     schema = "comment_id string, text_content string"
