@@ -6,6 +6,11 @@ whose values agree in a band are compared by the exact Jaccard similarity of the
 at `similarity` or more are linked, and components of links are classes. A class's first paragraph
 (smallest doc_id, then place) stays, its other paragraphs are removals.
 
+A passage may also sit in the middle of paragraphs that differ otherwise. Paragraphs of `LONG_WORDS` words
+or more are therefore cut where the words themselves say so: before a word whose three-word hash is the
+smallest among its `REACH` neighbours on either side. The cuts inside a passage are the same wherever it
+stands. In the paragraphs that stay, pieces between cuts that repeat word for word are classes as well.
+
 8 bands of 3 values find a pair at 0.8 with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, at 0.9 with
 0.99996. Equal paragraphs are one node, so a passage with very many copies is compared once. A large
 bucket is split into a grid of tasks, and a task emits a spanning forest, not all pairs.
@@ -18,6 +23,7 @@ table gives an empty result; other columns are kept by `without_repeats` and nev
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +36,8 @@ from chorale.llm.common import by_groups, components, stored
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 10, 0.8
 BANDS, ROWS = 8, 3
+# Pieces of long paragraphs have more than REACH words, 2 * REACH + 1 on average.
+LONG_WORDS, REACH = 50, 6
 BUCKET_ROWS = 1_000
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -59,6 +67,26 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     return out
 
 
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def pieces_of(line: str, at: int, words: list[bytes]) -> tuple[list[int], list[int], list[int]]:
+    """Starts, ends (characters of the text) and hashes of a long paragraph's pieces; shorter ones have none."""
+    if len(words) < LONG_WORDS:
+        return [], [], []
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    triple = shingles(words, 3)
+    edge = np.full(REACH, np.iinfo(np.uint64).max)
+    least = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, triple, edge]), REACH).min(axis=1)
+    # Strictly less than those before it, so a run of one word has no cut.
+    cuts = np.flatnonzero((triple < least[:len(triple)]) & (triple <= least[REACH + 1:REACH + 1 + len(triple)]))
+    bounds = [0, *cuts[cuts > 0].tolist(), len(words)]
+    spans = [m.span() for m in _WORD.finditer(line)]
+    kept = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > REACH]
+    return ([at + spans[a][0] for a, _ in kept], [at + spans[b - 1][1] for _, b in kept],
+            [xxhash.xxh64_intdigest(own[a:b].tobytes(), 11) for a, b in kept])
+
+
 def minhashes(flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """BANDS * ROWS minima for each run of `flat` that begins at `starts`."""
     out = np.empty((len(starts), len(_SEEDS)), np.uint64)
@@ -82,23 +110,28 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for begin in range(0, len(batch), 500):
-                rows, flat, starts, at = [], [], [], 0
+                rows, flat, starts, cut, at = [], [], [], [], 0
                 part = batch.iloc[begin:begin + 500]
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     for number, start, end, words in paragraphs_of(text, min_words):
                         own = shingles(words)
                         rows.append((doc, number, start, end, unit_of(words)))
+                        cut.append(pieces_of(text[start:end], start, words))
                         flat.append(own)
                         starts.append(at)
                         at += len(own)
                 if rows:
                     out = pd.DataFrame(rows, columns=["doc_id", "paragraph", "start", "end", "unit"])
                     out["unit"] = out["unit"].to_numpy(np.uint64).view(np.int64)
+                    for k, name in enumerate(("piece_starts", "piece_ends")):
+                        out[name] = [np.array(c[k], np.int32) for c in cut]
+                    out["pieces"] = [np.array(c[2], np.uint64).view(np.int64) for c in cut]
                     out["bands"] = list(bands_of(minhashes(np.concatenate(flat), np.array(starts))))
                     yield out
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(
         "doc_id is not null and text is not null")
-    return narrow.mapInPandas(run, "doc_id long, paragraph int, start int, end int, unit long, bands array<long>")
+    return narrow.mapInPandas(run, "doc_id long, paragraph int, start int, end int, unit long, piece_starts array<int>, "
+                                   "piece_ends array<int>, pieces array<long>, bands array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -155,8 +188,9 @@ def _links(members: DataFrame, similarity: float, bucket_rows: int) -> DataFrame
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
             bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Every paragraph of a class of two or more: doc_id, paragraph, start, end, class_doc_id,
-    class_paragraph (the one that stays), copies (size of the class), removed.
+    """Every paragraph of a class of two or more, and every repeated piece of the paragraphs that stay: doc_id,
+    paragraph, start, end, whole (false for a piece), class_doc_id, class_paragraph (the one that stays), copies
+    (size of the class), removed.
     """
     units = stored(_units(docs, min_words), "paragraphs")
     banded = units.select("unit", F.explode("bands").alias("value"))
@@ -175,16 +209,42 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     classes = stored(named.groupBy("class").agg(F.count("*").alias("copies"), first.alias("first"))
                      .filter("copies > 1"), "repeated")
     here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
-    return named.join(classes, "class").select(
-        "doc_id", "paragraph", "start", "end", F.col("first.doc_id").alias("class_doc_id"),
+    lines = stored(named.join(classes, "class").select(
+        "doc_id", "paragraph", "start", "end", F.lit(True).alias("whole"), F.col("first.doc_id").alias("class_doc_id"),
+        F.col("first.paragraph").alias("class_paragraph"), "copies", (~here).alias("removed")), "lines")
+    return lines.unionByName(_repeated_pieces(units, lines))
+
+
+def _repeated_pieces(units: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pieces that stand in two places or more of the paragraphs which `lines` doesn't remove."""
+    left = units.filter(F.size("pieces") > 0).join(
+        lines.filter("removed").select("doc_id", "paragraph"), ["doc_id", "paragraph"], "left_anti")
+    zipped = F.explode(F.arrays_zip("piece_starts", "piece_ends", "pieces"))
+    pieces = stored(left.select("doc_id", "paragraph", zipped.alias("p")).select(
+        "doc_id", "paragraph", F.col("p.piece_starts").alias("start"), F.col("p.piece_ends").alias("end"),
+        F.col("p.pieces").alias("piece")), "pieces")
+    first = F.min(F.struct("doc_id", "paragraph", "start"))
+    classes = stored(pieces.groupBy("piece").agg(F.count("*").alias("copies"), first.alias("first"))
+                     .filter("copies > 1"), "repeated-pieces")
+    here = F.struct("doc_id", "paragraph", "start") == F.col("first")
+    return pieces.join(classes, "piece").select(
+        "doc_id", "paragraph", "start", "end", F.lit(False).alias("whole"), F.col("first.doc_id").alias("class_doc_id"),
         F.col("first.paragraph").alias("class_paragraph"), "copies", (~here).alias("removed"))
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The documents with their removed paragraphs cut out; nothing else of a row changes."""
-    spans = found.filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    """The documents with their removed paragraphs and pieces cut out; nothing else of a row changes."""
+    # A paragraph goes with its line feed.
+    span = F.struct("start", (F.col("end") + F.col("whole").cast("int")).alias("end"))
+    spans = found.filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    kept = F.array_join(F.filter(F.split("row.text", "\n"), lambda line, k: ~F.array_contains("gone", k)), "\n")
+    whole = F.col("row.text").cast("string")
+    begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
+    cut = F.aggregate("gone", begin, lambda a, s: F.struct(
+        F.concat(a["kept"], F.substring(whole, a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at")))
+    rest = F.concat(cut["kept"], F.substring(whole, cut["at"] + 1, F.length(whole)))
+    # Without its last paragraph a text doesn't end in the line feed before it.
+    kept = F.when(cut["at"] > F.length(whole), F.regexp_replace(rest, "\n$", "")).otherwise(rest)
     text = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(kept)
     return rows.join(spans, "doc_id", "left").select(
         *[text.alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -135,7 +135,8 @@ def test_url_lists_over_time(spark):
 
 def test_paragraphs_against_brute_force(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    got = {(r["doc_id"], r["paragraph"]): (r["class_doc_id"], r["class_paragraph"]) for r in paragraphs.repeats(docs).collect()}
+    found = paragraphs.repeats(docs).collect()
+    got = {(r["doc_id"], r["paragraph"]): (r["class_doc_id"], r["class_paragraph"]) for r in found if r["whole"]}
     units, place = {}, defaultdict(list)
     for doc, text in docs.select("doc_id", "text").collect():
         for number, _, _, words in paragraphs.paragraphs_of(text):
@@ -154,6 +155,42 @@ def test_paragraphs_against_brute_force(spark, sf_dir):
     want = {p: min(c) for c in classes.values() if len(c) > 1 for p in c}
     missed = sum(got.get(p) != w for p, w in want.items())
     assert missed <= 0.01 * len(want) and set(got) <= set(want)
+    # Every piece stands word for word in the paragraph named as the one that stays, and in `copies` places.
+    texts = dict(docs.select("doc_id", "text").collect())
+    pieces = [(texts[r["doc_id"]][r["start"]:r["end"]].lower().split(), r) for r in found if not r["whole"]]
+    for words, r in pieces:
+        assert len(words) > paragraphs.REACH
+        home = texts[r["class_doc_id"]].split("\n")[r["class_paragraph"]].lower().split()
+        assert f" {' '.join(words)} " in f" {' '.join(home)} "
+        assert r["copies"] == sum(other == words for other, _ in pieces)
+
+
+def test_passage_in_the_middle_of_paragraphs(spark):
+    """A passage of 60 words within paragraphs that have nothing else in common."""
+    passages = [prose(900 + k, 60)[:-1] for k in range(20)]
+    texts = [f"{prose(1_000 + k, 80)} {passages[k % 20]} {prose(2_000 + k, 90)}" for k in range(60)]
+    docs = documents(spark, [*texts, *[prose(3_000 + k, 200) for k in range(20)]])
+    found = paragraphs.repeats(docs)
+    rows = found.collect()
+    hit = {r["doc_id"] for r in rows}
+    assert len(hit) >= 57 and not any(i >= 60 for i in hit) and not any(r["whole"] for r in rows)
+    for r in rows:
+        assert texts[r["doc_id"]][r["start"]:r["end"]] in passages[r["doc_id"] % 20]
+    after = dict(paragraphs.without_repeats(docs, found).select("doc_id", "text").collect())
+    for i, text in enumerate(texts):
+        own = sorted((r["start"], r["end"]) for r in rows if r["doc_id"] == i and r["removed"])
+        want, at = "", 0
+        for a, b in own:
+            want, at = want + text[at:a], b
+        assert after[i] == want + text[at:]
+    assert all(after[i] == texts[i] for i in range(20))
+
+
+def test_removed_paragraphs_go_with_their_line_feed(spark):
+    same = prose(5, 12)
+    docs = documents(spark, [same, f"a\n{same}\nb", f"c\n{same}", f"{same}\n{same}", f"\n{same}"])
+    after = dict(paragraphs.without_repeats(docs, paragraphs.repeats(docs)).select("doc_id", "text").collect())
+    assert after == {0: same, 1: "a\nb", 2: "c", 3: "", 4: ""}
 
 
 def test_paragraph_edges(spark, odd, none):
