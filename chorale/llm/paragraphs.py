@@ -58,7 +58,14 @@ def unit_of(words: list[bytes]) -> int:
 
 def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
     """Hashes of the shingles, in order, repeats included: a mix of the hashes of their words."""
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return _runs(hashes_of(words), size)
+
+
+def hashes_of(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _runs(own: np.ndarray, size: int) -> np.ndarray:
     n = max(1, len(own) - size + 1)
     out = np.zeros(n, np.uint64)
     for k in range(min(size, len(own))):
@@ -70,17 +77,19 @@ def shingles(words: list[bytes], size: int = SHINGLE) -> np.ndarray:
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def pieces_of(line: str, at: int, words: list[bytes]) -> tuple[list[int], list[int], list[int]]:
-    """Starts, ends (characters of the text) and hashes of a long paragraph's pieces; shorter ones have none."""
-    if len(words) < LONG_WORDS:
+def pieces_of(line: str, at: int, own: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """own: hashes of the words. Starts, ends (characters of the text) and hashes of a long paragraph's pieces; shorter ones have none."""
+    if len(own) < LONG_WORDS:
         return [], [], []
-    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    triple = shingles(words, 3)
+    triple = _runs(own, 3)
     edge = np.full(REACH, np.iinfo(np.uint64).max)
-    least = np.lib.stride_tricks.sliding_window_view(np.concatenate([edge, triple, edge]), REACH).min(axis=1)
+    wide, n = np.concatenate([edge, triple, edge]), len(triple)
+    before, behind = wide[:n], wide[REACH + 1:REACH + 1 + n]
+    for k in range(1, REACH):
+        before, behind = np.minimum(before, wide[k:k + n]), np.minimum(behind, wide[REACH + 1 + k:REACH + 1 + k + n])
     # Strictly less than those before it, so a run of one word has no cut.
-    cuts = np.flatnonzero((triple < least[:len(triple)]) & (triple <= least[REACH + 1:REACH + 1 + len(triple)]))
-    bounds = [0, *cuts[cuts > 0].tolist(), len(words)]
+    cuts = np.flatnonzero((triple < before) & (triple <= behind))
+    bounds = [0, *cuts[cuts > 0].tolist(), len(own)]
     spans = [m.span() for m in _WORD.finditer(line)]
     kept = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > REACH]
     return ([at + spans[a][0] for a, _ in kept], [at + spans[b - 1][1] for _, b in kept],
@@ -114,9 +123,10 @@ def _units(docs: DataFrame, min_words: int) -> DataFrame:
                 part = batch.iloc[begin:begin + 500]
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
                     for number, start, end, words in paragraphs_of(text, min_words):
-                        own = shingles(words)
+                        hashes = hashes_of(words)
+                        own = _runs(hashes, SHINGLE)
                         rows.append((doc, number, start, end, unit_of(words)))
-                        cut.append(pieces_of(text[start:end], start, words))
+                        cut.append(pieces_of(text[start:end], start, hashes))
                         flat.append(own)
                         starts.append(at)
                         at += len(own)
