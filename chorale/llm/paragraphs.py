@@ -161,8 +161,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return texts.join(wanted, "doc_id").select("text", "units").mapInPandas(run, "unit long, shingles binary")
 
 
-def _links(members: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
-    """members: value, unit, shingles."""
+def jaccard_links(members: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
+    """Edges (a, b) between units of one value at `similarity` or more. members: value, unit, shingles."""
     # Large buckets: fewer than rows / bucket_rows of them.
     large = stored(members.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
                    .select("value", F.ceil(F.col("n") * 2 / bucket_rows).cast("int").alias("blocks")), "buckets")
@@ -211,7 +211,7 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     wanted = (units.select("unit", "doc_id").join(asked, "unit").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
               .groupBy("doc_id").agg(F.collect_list("unit").alias("units")))
     sets = stored(_sets(docs, stored(wanted, "wanted"), min_words).dropDuplicates(["unit"]), "sets")
-    roots = stored(components(_links(members.join(sets, "unit"), similarity, bucket_rows)), "roots")
+    roots = stored(components(jaccard_links(members.join(sets, "unit"), similarity, bucket_rows)), "roots")
     placed = units.select("doc_id", "paragraph", "start", "end", "unit")
     named = stored(placed.join(roots.withColumnRenamed("node", "unit"), "unit", "left")
                    .withColumn("class", F.coalesce("root", "unit")).drop("unit", "root"), "classes")

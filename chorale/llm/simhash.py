@@ -29,11 +29,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chorale.llm.common import by_groups, components, forest, stored, words_of
+from chorale.llm.paragraphs import jaccard_links, shingles
 
 GOLAY_BITS, GOLAY_RADIUS = 23, 3
 GOLAY_POLYNOMIAL = 0xAE3
 # Rows of one side of a comparison task; larger anchors are split into a grid of tasks.
 ROWS_PER_TASK = 20_000
+# Shingle sets of one exact comparison task.
+GROUP_ROWS = 1_000
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,7 @@ class Covering:
 
 HALVES = Covering(parts=2, extra=9, threshold=2)
 EIGHTS = Covering(parts=8, extra=0, threshold=1)
+ELEVENS = Covering(parts=11, extra=0, threshold=1)
 
 
 @lru_cache
@@ -251,42 +255,80 @@ def labelled(rows: DataFrame, low: DataFrame, roots: DataFrame, key: str) -> Dat
     return rows.join(named, key).select("doc_id", key, "component_id")
 
 
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles; a text without words has none."""
+    words = words_of(text)
+    return np.unique(shingles(words, shingle)) if words else np.empty(0, np.uint64)
+
+
+def node_of(own: np.ndarray) -> np.int64:
+    return np.uint64(xxhash.xxh64_intdigest(own.tobytes(), 5)).astype(np.int64)
+
+
+def wide_print(own: np.ndarray) -> bytes:
+    """256 bits over a shingle set: each hash is spread to four words, then the majority of each bit."""
+    deep = np.empty((len(own), 4), np.uint64)
+    for k in range(4):
+        mixed = own + np.uint64((k + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+        mixed = (mixed ^ (mixed >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        mixed = (mixed ^ (mixed >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        deep[:, k] = mixed ^ (mixed >> np.uint64(31))
+    return majority(deep.view(np.uint8).reshape(-1, 32))
+
+
 def document_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, node, seek, bits): fingerprints that reach a similarity of 0.8, which 64 bits at 4 do not.
+    """(doc_id, node, bits): the identity of the shingle set and its 256 bits, which find candidates only.
 
-    seek: 8 x 23 bits over the distinct words. One changed word alters one word and five shingles, so
-    at a shingle similarity of 0.8 about 6 % of these bits differ, and with a threshold of 1 in each
-    of eight parts almost all such pairs meet. bits: 256 bits over the distinct shingles; these decide.
+    At a similarity of 0.8 about 15 % of the bits differ, wherever the edits are. With 11 parts of 23 bits and a
+    threshold of 1, pairs beyond the threshold often meet as well.
     """
-    def prints(text: str | None) -> tuple[bytes, bytes]:
-        words = words_of(text)
-        wide = b"".join(xxhash.xxh3_128_digest(w) + xxhash.xxh64_digest(w) for w in set(words))
-        runs = {b" ".join(words[k:k + shingle]) for k in range(max(1, len(words) - shingle + 1))} if words else ()
-        deep = b"".join(xxhash.xxh3_128_digest(r, 1) + xxhash.xxh3_128_digest(r, 2) for r in runs)
-        shape = lambda blob, n: np.frombuffer(blob, np.uint8).reshape(-1, n)
-        return majority(shape(wide, 24))[:EIGHTS.parts * EIGHTS.bits // 8], majority(shape(deep, 32))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            both = [prints(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "seek": [x[0] for x in both],
-                                "bits": [x[1] for x in both]})
+            sets = [shingle_set(t, shingle) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": [node_of(x) for x in sets],
+                                "bits": [wide_print(x) for x in sets]})
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, seek binary, bits binary").withColumn("node", F.xxhash64("seek", "bits"))
+        run, "doc_id long, node long, bits binary")
 
 
-def bits_at(similarity: float, bits: int = 256, slack: float = 0.5) -> int:
+def bits_at(similarity: float, bits: int = 256, slack: float = 3) -> int:
     """Differing bits expected at a Jaccard similarity, plus `slack` standard deviations."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
     return int(bits * share + slack * np.sqrt(bits * share * (1 - share)))
 
 
+def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(unit, shingles) of the wanted nodes. wanted: node and the doc_id of a row that has it, or null."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = []
+            for text, nodes in zip(batch["text"], batch["nodes"], strict=True):
+                own = shingle_set(text, shingle)
+                # A doc_id may stand for several texts.
+                if nodes is None or node_of(own) in nodes:
+                    found.append((node_of(own), own.tobytes()))
+            yield pd.DataFrame(found, columns=["unit", "shingles"])
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    by_id = stored(wanted.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "wanted")
+    rows = texts.join(by_id, "doc_id").select("text", "nodes").unionByName(
+        texts.filter("doc_id is null").select("text", F.lit(None).cast("array<long>").alias("nodes")))
+    return rows.mapInPandas(run, "unit long, shingles binary").dropDuplicates(["unit"])
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, node, component_id): documents grouped by estimated similarity of their shingle sets."""
+    """(doc_id, node, component_id): documents grouped by links of `similarity` or more of their shingle sets.
+
+    Pairs close by their bits only make candidate groups. Within one, sets are compared exactly, and components
+    are those of the exact links.
+    """
     rows = stored(document_prints(docs, shingle), "prints")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("seek").alias("seek"),
-                                            F.first("bits").alias("bits")), "distinct")
-    roots = components(links(nodes, EIGHTS, bits_at(similarity)))
+    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits")), "distinct")
+    near = stored(components(links(nodes.withColumn("seek", F.col("bits")), ELEVENS, bits_at(similarity))), "near")
+    members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
+    members = stored(members.join(nodes.select("node", F.col("low").alias("doc_id")), "node"), "members")
+    sets = stored(_sets(docs, members.select("node", "doc_id"), shingle), "sets")
+    asked = members.select(F.col("root").alias("value"), F.col("node").alias("unit")).join(sets, "unit")
+    roots = components(jaccard_links(asked, similarity, GROUP_ROWS))
     return labelled(rows.select("doc_id", "node"), nodes.select("node", "low"), roots, "node")
 
 

@@ -309,6 +309,24 @@ def test_one_of_each_group_stays(spark, odd):
     assert Counter(ids) == Counter([0, 3, 6, 7, None])
 
 
+def test_near_copies_by_exact_similarity(spark):
+    """An appended block at just over 0.8, few distinct words in the document; and pairs at just below 0.8."""
+    random, texts = np.random.default_rng(8), []
+    for k in range(80):
+        size = int(random.integers(60, 300))
+        words = [f"{k}w{x}" for x in (random.integers(0, 40, size) if k % 2 else range(size))]
+        runs = len({tuple(words[i:i + 5]) for i in range(size - 4)})
+        # runs / (runs + added): 0.8 or just above, then 0.77 or just below.
+        texts += [" ".join(words), " ".join(words + [f"{k}n{x}" for x in range(runs // 4 if k < 40 else -(-runs * 23 // 77))])]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(documents(spark, texts)).collect()}
+    linked = [found[2 * k] == found[2 * k + 1] for k in range(80)]
+    assert sum(linked[:40]) >= 39 and not any(linked[40:])
+    # Rows without an id are compared as well.
+    nulls = documents(spark, [texts[0], texts[1]]).withColumn("doc_id", F.lit(None).cast("long"))
+    both = simhash.similar_documents(nulls.unionByName(documents(spark, [texts[1]], start=9))).collect()
+    assert [r["component_id"] for r in both] == [9, 9, 9]
+
+
 # 6. Mixing
 
 def test_mixing_targets_and_caps(spark, odd, none):
