@@ -45,7 +45,7 @@ def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paragraphs.repeats(_table(spark, sf_dir, "documents"))
+    return paragraphs.passages(_table(spark, sf_dir, "documents")).drop("across")
 
 
 def op4_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,17 +6,18 @@ whose values agree in a band are compared by the exact Jaccard similarity of the
 at `similarity` or more are linked, and components of links are classes. A class's first paragraph
 (smallest doc_id, then place) stays, its other paragraphs are removals.
 
-A passage may also sit in the middle of paragraphs that differ otherwise. Paragraphs of `LONG_WORDS` words
-or more are therefore cut where the words themselves say so: before a word whose three-word hash is the
-smallest among its `REACH` neighbours on either side. The cuts inside a passage are the same wherever it
-stands. In the paragraphs that stay, pieces between cuts that repeat word for word are classes as well.
+A passage may also sit in the middle of paragraphs that differ otherwise, or be wrapped into other lines. The
+words of a whole text, line feeds or not, are therefore cut where they say so themselves: before a word whose
+three-word hash is the smallest among its `REACH` neighbours on either side. The cuts inside a passage are the
+same wherever it stands. Pieces between cuts that repeat word for word are classes as well, unless they lie
+wholly in paragraphs that go. A piece goes with the line feeds inside it; its paragraph is that of its first word.
 
 8 bands of 3 values find a pair at 0.8 with probability 1 - (1 - 0.8 ** 3) ** 8 = 0.997, at 0.9 with
 0.99996. Equal paragraphs are one node, so a passage with very many copies is compared once. A large
 bucket is split into a grid of tasks, and a task emits a spanning forest, not all pairs.
 
-Edge cases: null and empty texts have no paragraph; shorter paragraphs are left alone; very long texts
-are handled paragraph by paragraph; repeated rows are copies of each other, and of rows that share a
+Edge cases: null and empty texts have no paragraph; shorter paragraphs are only searched for pieces; texts of
+`REACH` words or fewer have no piece; repeated rows are copies of each other, and of rows that share a
 doc_id and place either may be the one that stays; rows with a null doc_id take no part; an empty
 table gives an empty result; other columns are kept by `without_repeats` and never read.
 """
@@ -36,8 +37,10 @@ from chorale.llm.common import by_groups, components, stored
 
 SHINGLE, MIN_WORDS, SIMILARITY = 5, 10, 0.8
 BANDS, ROWS = 8, 3
-# Pieces of long paragraphs have more than REACH words, 2 * REACH + 1 on average.
-LONG_WORDS, REACH = 50, 6
+# Pieces have more than REACH words, 2 * REACH + 1 on average.
+REACH = 6
+# The paragraph number of the row that holds the pieces of a text.
+WHOLE_TEXT = -1
 BUCKET_ROWS = 1_000
 _SEEDS = np.random.default_rng(42).integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
 
@@ -77,10 +80,10 @@ def _runs(own: np.ndarray, size: int) -> np.ndarray:
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def pieces_of(line: str, at: int, own: np.ndarray) -> tuple[list[int], list[int], list[int]]:
-    """own: hashes of the words. Starts, ends (characters of the text) and hashes of a long paragraph's pieces; shorter ones have none."""
-    if len(own) < LONG_WORDS:
-        return [], [], []
+def pieces_of(text: str, own: np.ndarray, line: np.ndarray) -> tuple[list[int], list[int], list[np.ndarray], list[int]]:
+    """own, line: hash and line number of each word. Starts, ends (in characters), line numbers and hashes of a text's pieces."""
+    if len(own) <= REACH:
+        return [], [], [], []
     triple = _runs(own, 3)
     edge = np.full(REACH, np.iinfo(np.uint64).max)
     wide, n = np.concatenate([edge, triple, edge]), len(triple)
@@ -90,9 +93,10 @@ def pieces_of(line: str, at: int, own: np.ndarray) -> tuple[list[int], list[int]
     # Strictly less than those before it, so a run of one word has no cut.
     cuts = np.flatnonzero((triple < before) & (triple <= behind))
     bounds = [0, *cuts[cuts > 0].tolist(), len(own)]
-    spans = [m.span() for m in _WORD.finditer(line)]
+    spans = [m.span() for m in _WORD.finditer(text)]
     kept = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > REACH]
-    return ([at + spans[a][0] for a, _ in kept], [at + spans[b - 1][1] for _, b in kept],
+    return ([spans[a][0] for a, _ in kept], [spans[b - 1][1] for _, b in kept],
+            [line[a:b][np.append(True, line[a + 1:b] != line[a:b - 1])] for a, b in kept],
             [xxhash.xxh64_intdigest(own[a:b].tobytes(), 11) for a, b in kept])
 
 
@@ -116,32 +120,46 @@ def bands_of(values: np.ndarray) -> np.ndarray:
 
 
 def _units(docs: DataFrame, min_words: int) -> DataFrame:
+    """A row for each paragraph, and one for each text with its pieces."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for begin in range(0, len(batch), 500):
-                rows, flat, starts, cut, at = [], [], [], [], 0
+                rows, flat, starts, whole, at = [], [], [], [], 0
                 part = batch.iloc[begin:begin + 500]
                 for doc, text in zip(part["doc_id"], part["text"], strict=True):
-                    for number, start, end, words in paragraphs_of(text, min_words):
+                    every, counts = [], []
+                    for number, start, end, words in paragraphs_of(text, 0):
                         hashes = hashes_of(words)
+                        every.append(hashes)
+                        counts.append(len(words))
+                        if len(words) < min_words:
+                            continue
                         own = _runs(hashes, SHINGLE)
                         rows.append((doc, number, start, end, unit_of(words)))
-                        cut.append(pieces_of(text[start:end], start, hashes))
                         flat.append(own)
                         starts.append(at)
                         at += len(own)
+                    pieces = pieces_of(text, np.concatenate(every), np.repeat(np.arange(len(counts)), counts))
+                    if pieces[0]:
+                        whole.append((doc, *pieces))
                 if rows:
                     out = pd.DataFrame(rows, columns=["doc_id", "paragraph", "start", "end", "unit"])
                     out["unit"] = out["unit"].to_numpy(np.uint64).view(np.int64)
-                    for k, name in enumerate(("piece_starts", "piece_ends")):
-                        out[name] = [np.array(c[k], np.int32) for c in cut]
-                    out["pieces"] = [np.array(c[2], np.uint64).view(np.int64) for c in cut]
                     out["bands"] = list(bands_of(minhashes(np.concatenate(flat), np.array(starts))))
-                    yield out
+                    yield out.assign(piece_starts=None, piece_ends=None, piece_lines=None, pieces=None)[_COLUMNS]
+                if whole:
+                    yield pd.DataFrame({
+                        "doc_id": [w[0] for w in whole], "paragraph": WHOLE_TEXT, "start": 0, "end": 0, "unit": 0,
+                        "piece_starts": [w[1] for w in whole], "piece_ends": [w[2] for w in whole],
+                        "piece_lines": [[x.tolist() for x in w[3]] for w in whole],
+                        "pieces": [np.array(w[4], np.uint64).view(np.int64) for w in whole], "bands": None})[_COLUMNS]
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(
         "doc_id is not null and text is not null")
     return narrow.mapInPandas(run, "doc_id long, paragraph int, start int, end int, unit long, piece_starts array<int>, "
-                                   "piece_ends array<int>, pieces array<long>, bands array<long>")
+                                   "piece_ends array<int>, piece_lines array<array<int>>, pieces array<long>, bands array<long>")
+
+
+_COLUMNS = ["doc_id", "paragraph", "start", "end", "unit", "piece_starts", "piece_ends", "piece_lines", "pieces", "bands"]
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
@@ -198,11 +216,18 @@ def jaccard_links(members: DataFrame, similarity: float, bucket_rows: int) -> Da
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
             bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Every paragraph of a class of two or more, and every repeated piece of the paragraphs that stay: doc_id,
+    """The rows of `passages` whose class stands within single paragraphs everywhere."""
+    return passages(docs, min_words, similarity, bucket_rows).filter("not across").drop("across")
+
+
+def passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,
+             bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Every paragraph of a class of two or more, and every repeated piece that doesn't lie in removed ones: doc_id,
     paragraph, start, end, whole (false for a piece), class_doc_id, class_paragraph (the one that stays), copies
-    (size of the class), removed.
+    (size of the class), removed, across (a piece of the class crosses a line feed).
     """
-    units = stored(_units(docs, min_words), "paragraphs")
+    both = stored(_units(docs, min_words), "paragraphs")
+    units, texts = both.filter(F.col("paragraph") != WHOLE_TEXT), both.filter(F.col("paragraph") == WHOLE_TEXT)
     banded = units.select("unit", F.explode("bands").alias("value"))
     shared = stored(banded.groupBy("value").agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
                     .filter("a < b").select("value"), "shared")
@@ -221,37 +246,42 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     here = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("paragraph") == F.col("first.paragraph"))
     lines = stored(named.join(classes, "class").select(
         "doc_id", "paragraph", "start", "end", F.lit(True).alias("whole"), F.col("first.doc_id").alias("class_doc_id"),
-        F.col("first.paragraph").alias("class_paragraph"), "copies", (~here).alias("removed")), "lines")
-    return lines.unionByName(_repeated_pieces(units, lines))
-
-
-def _repeated_pieces(units: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pieces that stand in two places or more of the paragraphs which `lines` doesn't remove."""
-    left = units.filter(F.size("pieces") > 0).join(
-        lines.filter("removed").select("doc_id", "paragraph"), ["doc_id", "paragraph"], "left_anti")
-    zipped = F.explode(F.arrays_zip("piece_starts", "piece_ends", "pieces"))
-    pieces = stored(left.select("doc_id", "paragraph", zipped.alias("p")).select(
-        "doc_id", "paragraph", F.col("p.piece_starts").alias("start"), F.col("p.piece_ends").alias("end"),
-        F.col("p.pieces").alias("piece")), "pieces")
+        F.col("first.paragraph").alias("class_paragraph"), "copies", (~here).alias("removed"),
+        F.lit(False).alias("across")), "lines")
+    return lines.unionByName(_repeated_pieces(texts, lines))
+
+
+def _repeated_pieces(texts: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pieces that stand in two places or more, except those wholly in paragraphs which `lines` removes."""
+    gone = lines.filter("removed").groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
+    zipped = F.arrays_zip("piece_starts", "piece_ends", "piece_lines", "pieces")
+    stays = lambda p: F.size(F.array_except(p["piece_lines"], "gone")) > 0
+    left = texts.join(gone, "doc_id", "left").select("doc_id", F.explode(
+        F.when(F.col("gone").isNull(), zipped).otherwise(F.filter(zipped, stays))).alias("p"))
+    pieces = stored(left.select(
+        "doc_id", F.col("p.piece_lines")[0].alias("paragraph"), F.col("p.piece_starts").alias("start"),
+        F.col("p.piece_ends").alias("end"), F.col("p.pieces").alias("piece"),
+        (F.size("p.piece_lines") > 1).alias("across")), "pieces")
     first = F.min(F.struct("doc_id", "paragraph", "start"))
-    classes = stored(pieces.groupBy("piece").agg(F.count("*").alias("copies"), first.alias("first"))
+    classes = stored(pieces.groupBy("piece").agg(F.count("*").alias("copies"), first.alias("first"), F.max("across").alias("across"))
                      .filter("copies > 1"), "repeated-pieces")
     here = F.struct("doc_id", "paragraph", "start") == F.col("first")
-    return pieces.join(classes, "piece").select(
+    return pieces.drop("across").join(classes, "piece").select(
         "doc_id", "paragraph", "start", "end", F.lit(False).alias("whole"), F.col("first.doc_id").alias("class_doc_id"),
-        F.col("first.paragraph").alias("class_paragraph"), "copies", (~here).alias("removed"))
+        F.col("first.paragraph").alias("class_paragraph"), "copies", (~here).alias("removed"), "across")
 
 
 def without_repeats(docs: DataFrame, found: DataFrame) -> DataFrame:
     """The documents with their removed paragraphs and pieces cut out; nothing else of a row changes."""
-    # A paragraph goes with its line feed.
+    # A paragraph goes with its line feed. A piece may reach into a paragraph that goes.
     span = F.struct("start", (F.col("end") + F.col("whole").cast("int")).alias("end"))
     spans = found.filter("removed").groupBy("doc_id").agg(F.array_sort(F.collect_set(span)).alias("gone"))
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     whole = F.col("row.text").cast("string")
     begin = F.struct(F.lit("").alias("kept"), F.lit(0).alias("at"))
     cut = F.aggregate("gone", begin, lambda a, s: F.struct(
-        F.concat(a["kept"], F.substring(whole, a["at"] + 1, s["start"] - a["at"])).alias("kept"), s["end"].alias("at")))
+        F.concat(a["kept"], F.substring(whole, a["at"] + 1, s["start"] - a["at"])).alias("kept"),
+        F.greatest(a["at"], s["end"]).alias("at")))
     rest = F.concat(cut["kept"], F.substring(whole, cut["at"] + 1, F.length(whole)))
     # Without its last paragraph a text doesn't end in the line feed before it.
     kept = F.when(cut["at"] > F.length(whole), F.regexp_replace(rest, "\n$", "")).otherwise(rest)

@@ -186,6 +186,28 @@ def test_passage_in_the_middle_of_paragraphs(spark):
     assert all(after[i] == texts[i] for i in range(20))
 
 
+def test_passages_across_line_feeds(spark):
+    """A passage of 80 words wrapped at 9 words in one document and at 13, or into lines of 4, in others."""
+    wrap = lambda words, n: "\n".join(" ".join(words[k:k + n]) for k in range(0, len(words), n))
+    texts, passages = [], [prose(5_000 + k, 80)[:-1].split() for k in range(10)]
+    for k, passage in enumerate(passages):
+        for j, n in enumerate((9, 13, 4)):
+            texts.append(wrap([*prose(6_000 + 3 * k + j, 30 + k).split(), *passage, *prose(7_000 + 3 * k + j, 25).split()], n))
+    docs = documents(spark, texts)
+    found = paragraphs.passages(docs)
+    rows = [r for r in found.collect() if r["removed"]]
+    assert not any(r["whole"] for r in rows)
+    for i, text in enumerate(texts):
+        words = [w for r in rows if r["doc_id"] == i for w in text[r["start"]:r["end"]].split()]
+        assert set(words) <= set(passages[i // 3])
+        # All but the words before the first cut and behind the last one.
+        assert not words if i % 3 == 0 else len(words) > 40
+    after = dict(paragraphs.without_repeats(docs, found).select("doc_id", "text").collect())
+    for i, text in enumerate(texts):
+        gone = Counter(w for r in rows if r["doc_id"] == i for w in text[r["start"]:r["end"]].split())
+        assert Counter(after[i].split()) == Counter(text.split()) - gone
+
+
 def test_removed_paragraphs_go_with_their_line_feed(spark):
     same = prose(5, 12)
     docs = documents(spark, [same, f"a\n{same}\nb", f"c\n{same}", f"{same}\n{same}", f"\n{same}"])
