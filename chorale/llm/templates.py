@@ -4,10 +4,11 @@ A line's tokens that hold a digit are variable and masked. The tree has a fixed
 tokens, then the leading tokens. In a leaf, lines are gathered into templates: a line joins the
 template with which it shares the most tokens in place, if at least `alike` of them, and positions that
 differ become variable too. A template found in `min_docs` documents or more recurs, and its lines are
-dropped from all of them (the first line of a template isn't kept: it is boilerplate).
+dropped from all of them (the first line of a template isn't kept: it is boilerplate). A masked line that
+stands as it is in `min_copies` documents or more is dropped likewise, whatever its template gathers.
 
-Only lines of leaves with `min_docs` documents or more can recur, and only those are gathered. Equal
-masked lines are one row. A large leaf is gathered in slices, whose templates are then gathered
+Only leaves with `min_docs` rows or more can have a recurring template, and only those are gathered; of the
+others, those with a repeated masked line are read. Equal masked lines are one row. A large leaf is gathered in slices, whose templates are then gathered
 themselves.
 
 Edge cases: null and empty texts have no line; blank lines are never dropped and not counted; a line
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 
 from chorale.llm.common import by_groups, stored
 
-DEPTH, ALIKE, MIN_DOCS = 3, 0.6, 10
+DEPTH, ALIKE, MIN_DOCS, MIN_COPIES = 3, 0.6, 10, 2
 SLICE_ROWS = 5_000
 VARIABLE = "<*>"
 # Blanks at the ends of a line and between tokens are not part of them.
@@ -86,13 +87,16 @@ def _gathered(rows: DataFrame, keys: list[str], alike: float) -> DataFrame:
 
 
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, alike: float = ALIKE,
-              slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """doc_id, line (hash of the masked line) and template of every line of a recurring template."""
+              slice_rows: int = SLICE_ROWS, min_copies: int = MIN_COPIES) -> DataFrame:
+    """doc_id, line (hash of the masked line), template and docs (how many have it) of every line of a
+    recurring template, and of every repeated masked line, which is its own template."""
     lines = _lines(docs, depth)
-    leaves = stored(lines.groupBy("leaf").agg(F.count("*").alias("__n")).filter(F.col("__n") >= min_docs)
-                    .select("leaf"), "leaves")
+    copies = lines.groupBy("leaf", F.xxhash64("masked").alias("line")).agg(F.count("*").alias("n"))
+    leaves = stored(copies.groupBy("leaf").agg((F.sum("n") >= min_docs).alias("gathers"), F.max("n").alias("most"))
+                    .filter(F.col("gathers") | (F.col("most") >= min_copies)).select("leaf", "gathers"), "leaves")
     found = stored(lines.join(leaves, "leaf"), "lines")
-    counted = stored(found.groupBy("leaf", "masked").agg(F.count("*").alias("n")), "masked")
+    every = stored(found.groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.first("gathers").alias("gathers")), "masked")
+    counted = every.filter("gathers")
     # Large leaves: fewer than rows / slice_rows of them.
     large = stored(counted.groupBy("leaf").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
                    .filter("slices > 1"), "large")
@@ -110,7 +114,14 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, ali
         "doc_id", F.xxhash64("masked").alias("line"), "leaf", "template").distinct(), "placed")
     often = stored(placed.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template")
                    .agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "recurring")
-    return placed.join(often, ["leaf", "template"]).select("doc_id", "line", "template", "docs")
+    # Repeated lines that no recurring template holds.
+    held = final.join(often, ["leaf", "template"]).select("leaf", "masked")
+    alone = every.filter(F.col("n") >= min_copies).join(held, ["leaf", "masked"], "left_anti").select("leaf", "masked")
+    exact = stored(found.join(alone, ["leaf", "masked"]).select("doc_id", "leaf", "masked").distinct(), "copies")
+    repeated = exact.groupBy("leaf", "masked").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_copies)
+    return placed.join(often, ["leaf", "template"]).select("doc_id", "line", "template", "docs").unionByName(
+        exact.join(repeated, ["leaf", "masked"]).select(
+            "doc_id", F.xxhash64("masked").alias("line"), F.col("masked").alias("template"), "docs"))
 
 
 def report(found: DataFrame) -> DataFrame:

@@ -94,6 +94,20 @@ def test_templates_recur(spark, odd, none):
     assert templates.recurring(none).count() == 0
 
 
+def test_lines_repeated_in_few_documents(spark):
+    own = [prose(300 + k, 12) for k in range(8)]
+    texts = [f"{own[0]}\n{own[1]}\nseen on day 4", f"{own[0]}\n{own[2]}\nseen on day 5", *[f"{own[3]}\n{own[4]}"] * 5, own[5], own[5]]
+    docs = documents(spark, texts)
+    # Rows of one doc_id are one document.
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") == 8, 7).otherwise(F.col("doc_id")))
+    found = templates.recurring(docs)
+    assert {(r["template"], r["docs"]) for r in found.collect()} == {
+        (own[0], 2), (own[3], 5), (own[4], 5), ("seen on day <*>", 2)}
+    assert found.count() == found.select("doc_id", "line").distinct().count() == 14
+    after = {r["doc_id"]: r["text"] for r in templates.without_templates(docs, found).collect()}
+    assert after == {0: own[1], 1: own[2], **{k: "" for k in range(2, 7)}, 7: own[5]}
+
+
 def test_gather_generalises_words_and_keeps_strangers_apart():
     lines = ["user anna logged in today", "user bert logged in today", "user anna says good night"]
     assert templates.gather(lines) == ["user <*> logged in today"] * 2 + ["user anna says good night"]
