@@ -2,8 +2,8 @@
 
 A line's tokens that hold a digit are variable and masked. The tree has a fixed depth: the number of
 tokens, then the leading tokens. In a leaf, lines are gathered into templates: a line joins the
-template with which it shares the most tokens in place, if at least `alike` of them, and positions that
-differ become variable too. A template found in `min_docs` documents or more recurs, and its lines are
+template with which it shares the largest part of its constant tokens in place (of the template's or its own,
+whichever are more), if at least `alike` of them, and positions that differ become variable too. A template found in `min_docs` documents or more recurs, and its lines are
 dropped from all of them (the first line of a template isn't kept: it is boilerplate). A masked line that
 stands as it is in `min_copies` documents or more is dropped likewise, whatever its template gathers.
 
@@ -55,11 +55,13 @@ def gather(lines: list[str], alike: float = ALIKE) -> list[str]:
     size, table = 0, np.empty((16, width), rows.dtype)
     for row in rows:
         known = table[:size]
-        same = ((known == row) | (known == 0)).sum(axis=1)
-        # Variable positions fit, but only constant ones say that a line belongs.
-        fit = np.where((known == 0).sum(axis=1) < width, same, 0)
+        # Only constant positions say that a line belongs; a template doesn't wear down to its leading tokens,
+        # since the constants of the line must be met as well.
+        same = ((known == row) & (known != 0)).sum(axis=1)
+        most = np.maximum((known != 0).sum(axis=1), (row != 0).sum())
+        fit = same / np.maximum(most, 1)
         best = int(fit.argmax()) if size else -1
-        if best < 0 or fit[best] < alike * width:
+        if best < 0 or fit[best] < alike - 1e-9:
             if size == len(table):
                 table = np.concatenate([table, np.empty_like(table)])
             table[size], best, size = row, size, size + 1

@@ -114,6 +114,17 @@ def test_gather_generalises_words_and_keeps_strangers_apart():
     assert templates.gather(["a"]) == ["a"]
 
 
+def test_templates_do_not_wear_down():
+    base = "the red fox k1 k2 k3 v1 v2 v3 v4"
+    twin = "the red fox k1 k2 k3 w1 w2 w3 w4"
+    strangers = ["the red fox a1 a2 a3 a4 a5 a6 a7", "the red fox b1 b2 b3 b4 b5 b6 b7"]
+    wide = "the red fox k1 k2 k3 <*> <*> <*> <*>"
+    assert templates.gather([base, twin, *strangers]) == [wide, wide, *strangers]
+    # Masked positions are no agreement either.
+    masked = ["set the limit <*> <*> <*> <*> a b c", "set the limit <*> <*> <*> <*> d e f"]
+    assert templates.gather(masked) == masked
+
+
 def test_sliced_leaves_give_the_same_lines(spark):
     names = ["anna", "bert", "carl", "dora"]
     docs = documents(spark, [f"access granted to {names[k % 4]}{'x' * (k // 4)} for the main hall" for k in range(40)])
