@@ -9,8 +9,10 @@ The vote table covers all documents and has at most 3 ** 8 rows. The scorer is f
 `sample` documents (2,000 by default), half with a posterior label of each kind, the smallest hashes
 of their ids first; no given label is used.
 
-Edge cases: null, empty and very short texts (under 25 words) get no vote and are kept with a score of
-1: nothing speaks against them. Repeated rows count as often as they appear; an empty table gives an
+Texts under 25 words or with hardly any blanks hold too little for the scorer's features: the labellers that
+need no length vote on them, and the posterior of their votes is their score; 1 without a bad vote.
+
+Edge cases: null, empty and blank texts get no vote and are kept with a score of 1. Repeated rows count as often as they appear; an empty table gives an
 empty result; if all posterior labels agree there is nothing to learn and the posterior itself decides;
 other columns are kept by `keep_good` and never read.
 """
@@ -31,8 +33,11 @@ from chorale.llm.common import stored
 SAMPLE = 2_000
 WIDTH = 4_096
 MIN_WORDS = 25
+# More bytes a word than this on average: blanks don't part words.
+RARE_BYTES = 40
 BARE_MARKS = re.compile(rb"(?<!\S)[!-/:-@\[-`{-~]+(?!\S)")
 SENTENCE_ENDS = re.compile(rb"[.!?](?=\s|$)")
+WIDE_ENDS = re.compile("。|！|？".encode())
 
 
 def _table(**classes: bytes) -> bytes:
@@ -49,28 +54,53 @@ CLASSES = _table(a=bytes(range(97, 123)) + bytes(range(128, 256)), A=bytes(range
                  **{"0": bytes(range(48, 58)), "_": b" \t\n\r\x0b\x0c"})
 
 
+def units_of(raw: bytes) -> list[bytes]:
+    """Words; where blanks are rare (encoded data, Chinese, Japanese, Thai), pairs of characters."""
+    words = raw.split()
+    if not _blanks_rare(raw, words):
+        return words
+    text = b"".join(words).decode("utf-8", "surrogatepass")
+    return [text[k:k + 2].encode("utf-8", "surrogatepass") for k in range(0, len(text), 2)]
+
+
+def _blanks_rare(raw: bytes, words: list[bytes]) -> bool:
+    return len(raw) > RARE_BYTES * len(words)
+
+
 def measures(raw: bytes) -> tuple[float, ...] | None:
-    """Shares the labellers look at; None for a text too short to judge."""
+    """Shares the labellers look at; None for a text without words."""
     words = raw.split()
-    n = len(words)
-    if n < MIN_WORDS:
+    if not words:
         return None
+    rare, units = _blanks_rare(raw, words), units_of(raw)
+    n = len(units)
     kinds = np.bincount(np.frombuffer(raw.translate(CLASSES), np.uint8), minlength=128)
     upper, lower, digit, blank = (int(kinds[ord(c)]) for c in "Aa0_")
     letters = max(1, upper + lower)
     marks = len(raw) - upper - lower - digit - blank
-    return (marks / n, upper / letters, sum(map(eq, words, words[1:])) / n, raw.count(b"!") / n,
-            len(set(words)) / n, n / (1 + len(SENTENCE_ENDS.findall(raw))), (letters + digit) / n,
-            len(BARE_MARKS.findall(raw)) / n, n)
+    ends = len(SENTENCE_ENDS.findall(raw)) + (len(WIDE_ENDS.findall(raw)) if rare else 0)
+    # Of a script without blanks, the letters between two say nothing.
+    foreign = rare and 2 * sum(b > 127 for b in raw) > len(raw)
+    a_word = 8.0 if foreign else (letters + digit) / len(words)
+    return (marks / n, upper / letters, sum(map(eq, units, units[1:])) / n, raw.count(b"!") / n,
+            len(set(units)) / n, n / (1 + ends), a_word, len(BARE_MARKS.findall(raw)) / n, n)
 
 
 def votes(raw: bytes) -> list[int]:
-    """1 good, -1 bad, 0 no vote, by eight labellers."""
+    """1 good, -1 bad, 0 no vote, by eight labellers.
+
+    Texts under `MIN_WORDS` units: only marks, repeats, letters a word and bare marks vote, and a share counts
+    as bad only by three cases or more: a lone sentence has one mark, however short it is.
+    """
     m = measures(raw)
     if m is None:
         return [0] * 8
     marks, upper, repeats, shouts, distinct, sentence, letters, bare, n = m
     side = lambda x, good, bad: 1 if x <= good else -1 if x >= bad else 0
+    if n < MIN_WORDS:
+        few = lambda x, good, bad: 0 if side(x, good, bad) < 0 and round(x * n) < 3 else side(x, good, bad)
+        return [few(marks, 0.4, 0.8), 0, few(repeats, 0.03, 0.15), 0, 0, 0, side(abs(letters - 8), 5, 9 if n > 2 else 24),
+                few(bare, 0.05, 0.2)]
     return [
         side(marks, 0.4, 0.8),
         side(upper, 0.2, 0.5),
@@ -83,6 +113,12 @@ def votes(raw: bytes) -> list[int]:
     ]
 
 
+def scorable(raw: bytes) -> bool:
+    """Enough words for the scorer's features; other texts are judged by their votes."""
+    words = raw.split()
+    return len(words) >= MIN_WORDS and not _blanks_rare(raw, words)
+
+
 def features(raw: bytes) -> np.ndarray:
     """Hashed runs of four character classes, a run of letters as one, and two shares of words."""
     codes = np.frombuffer(raw.translate(CLASSES), np.uint8)
@@ -108,14 +144,19 @@ def _raw(text: str | None) -> bytes:
     return b"" if text is None else text.encode("utf-8", "surrogatepass")
 
 
+def pattern_of(raw: bytes) -> str:
+    return "".join("0+-"[v] for v in votes(raw))
+
+
 def voted(docs: DataFrame) -> DataFrame:
-    """(doc_id, pattern): the votes of each document as one string of +, - and 0."""
+    """(doc_id, pattern, scorable): the votes of each document as one string of +, - and 0."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = ["".join("0+-"[v] for v in votes(_raw(t))) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "pattern": rows})
+            raws = [_raw(t) for t in batch["text"]]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "pattern": [pattern_of(r) for r in raws],
+                                "scorable": [scorable(r) for r in raws]})
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, pattern string")
+        run, "doc_id long, pattern string, scorable boolean")
 
 
 def expectation_maximisation(patterns: list[str], counts: list[int], rounds: int = 100) -> np.ndarray:
@@ -150,15 +191,17 @@ def logistic(x: np.ndarray, y: np.ndarray, rounds: int = 300, decay: float = 1e-
 
 
 class Model:
-    """Scores texts: weights of the scorer, or none when all posterior labels agreed on `fallback`."""
+    """Scores texts: weights of the scorer, or none when all posterior labels agreed on `fallback`; posterior by
+    pattern for texts the scorer can't judge."""
 
-    def __init__(self, weights: np.ndarray | None, bias: float, fallback: float):
-        self.weights, self.bias, self.fallback = weights, bias, fallback
+    def __init__(self, weights: np.ndarray | None, bias: float, fallback: float, posterior: dict[str, float] | None = None):
+        self.weights, self.bias, self.fallback, self.posterior = weights, bias, fallback, posterior or {}
 
     def score(self, text: str | None) -> float:
         raw = _raw(text)
-        if len(raw.split()) < MIN_WORDS:
-            return 1.0
+        if not scorable(raw):
+            pattern = pattern_of(raw)
+            return float(self.posterior.get(pattern, self.fallback)) if "-" in pattern else 1.0
         if self.weights is None:
             return self.fallback
         return float(1 / (1 + np.exp(-(features(raw) @ self.weights + self.bias))))
@@ -174,10 +217,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     posterior = dict(zip([p for p, _ in table], expectation_maximisation(*map(list, zip(*table, strict=True))), strict=True))
     good = [p for p, x in posterior.items() if x >= 0.5]
     if len(good) in (0, len(posterior)):
-        return Model(None, 0.0, float(bool(good)))
+        return Model(None, 0.0, float(bool(good)), posterior)
     side = F.col("pattern").isin(good)
     order = Window.partitionBy("good").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = (rows.filter(F.col("pattern").isin(list(posterior)) & F.col("doc_id").isNotNull()).withColumn("good", side)
+    picked = (rows.filter(F.col("pattern").isin(list(posterior)) & F.col("doc_id").isNotNull() & F.col("scorable")).withColumn("good", side)
               .withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= sample // 2)
               .select("doc_id", "good").distinct())
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), "doc_id")
@@ -187,9 +230,11 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "good": batch["good"],
                                 "x": [features(_raw(t)).astype(np.float16).tobytes() for t in batch["text"]]})
     found = texts.mapInPandas(shapes, "doc_id long, good boolean, x binary").collect()
+    if len({r["good"] for r in found}) < 2:
+        return Model(None, 0.0, float(found[0]["good"]) if found else 1.0, posterior)
     found.sort(key=lambda r: (r["doc_id"], r["x"]))
     x = np.frombuffer(b"".join(bytes(r["x"]) for r in found), np.float16).reshape(len(found), -1).astype(np.float32)
-    return Model(*logistic(x, np.array([r["good"] for r in found], float)), 1.0)
+    return Model(*logistic(x, np.array([r["good"] for r in found], float)), 1.0, posterior)
 
 
 def score_column(model: Model):

@@ -490,6 +490,17 @@ def test_quality_edges(spark, odd, none):
     assert quality.scored(none).count() == 0
 
 
+def test_short_and_unbroken_texts_are_judged():
+    junk = ["ndtion. | Erndnd | thndonea. |", "Tación Tación dota dota que que del del ñra, ñra, jaja jaja",
+            "QUJD" * 5_000, "哈" * 5_000]
+    fine = ["This.", "Eser thed nt of.", "今天天气很好。我们去公园散步，然后回家吃饭。", "one"]
+    assert all(-1 in quality.votes(t.encode()) for t in junk)
+    assert not any(-1 in quality.votes(t.encode()) for t in fine)
+    posterior = {quality.pattern_of(t.encode()): 0.1 for t in junk}
+    model = quality.Model(None, 0.0, 1.0, posterior)
+    assert [model.score(t) for t in junk + fine] == [0.1] * 4 + [1.0] * 4
+
+
 # 10. Decontamination
 
 def plain_distance(pattern, text):
