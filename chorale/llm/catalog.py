@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chorale.llm import (
-    decontaminate, language, materialise, mixing, neighbours, paragraphs, quality, simhash, templates, urlfilter,
+    decontaminate, divergence, language, lexical, materialise, mixing, neighbours, ngrams, paragraphs, quality, simhash,
+    templates, urlfilter,
 )
 from chorale.session import work_dir
 
@@ -156,12 +157,102 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    found = ngrams.scored(docs, ngrams.fit(docs, remainder != 2))
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "n_tokens", "n_known",
+                        "train_tokens", "base_score", "score", "perplexity")
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+OP12_SQL = r"""
+with docs as (
+  select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+found as (
+  select r, lang, source, term, count(*) as n
+  from (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs)
+  group by all),
+kept as (select lang, term from found group by lang, term having count(*) >= 10),
+words as (select lang, count(*) as v from kept group by lang),
+counts as (select lang, source, term, sum(n)::hugeint as n from found semi join kept using (lang, term) group by all),
+members as (select distinct lang, source from docs),
+totals as (
+  select m.lang, m.source, coalesce(sum(c.n), 0) + 2 * coalesce(max(w.v), 0) as d
+  from members m left join counts c using (lang, source) left join words w on w.lang = m.lang group by all),
+whole as (
+  select lang, term, sum(n) as n, sum(sum(n)) over (partition by lang) + 2 * count(*) over (partition by lang) as d
+  from counts group by lang, term),
+shares as (
+  select m.lang, m.source, k.term, coalesce(c.n, 0) as n,
+         (1 + (1000000000::hugeint * (coalesce(c.n, 0) + 2)) // t.d)::hugeint as p
+  from members m join kept k using (lang) join totals t using (lang, source)
+  left join counts c on c.lang = m.lang and c.source = m.source and c.term = k.term),
+pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0) as value
+  from members a join members b on a.lang = b.lang and a.source <> b.source
+  left join (
+    select x.lang, x.source as a, y.source as b, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) as value
+    from shares x join shares y on x.lang = y.lang and x.term = y.term and x.source <> y.source group by all) s
+  on s.lang = a.lang and s.a = a.source and s.b = b.source),
+lang_shares as (select lang, term, 1 + (1000000000::hugeint * (n + 2)) // d as q from whole),
+terms as (
+  select s.lang, s.source, 'term' as part, s.term as item, ((p - q) * (p - q)) // (p + q) as value
+  from shares s join lang_shares using (lang, term) where s.n > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item) as rank
+  from (select * from pairs union all select * from terms))
+select lang, source, part, item, value::bigint as value, rank::integer as rank from ranked
+where part = 'pair' or rank <= 10
+"""
+
+OP13_SQL = r"""
+with docs as (select row_number() over () as r, doc_id, text from documents),
+tokens as (
+  select r, doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+  from docs),
+tf as (select r, doc_id, term, count(*)::bigint as tf from tokens group by all),
+sizes as (select r, sum(tf)::bigint as n from tf group by r),
+stats as (select count(*)::bigint as docs, sum(n)::bigint as terms from sizes),
+df as (select term, count(*)::bigint as df from tf group by term),
+asked as (
+  select item_id, text, term, count(*)::bigint as reps
+  from (select item_id, text, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from (select distinct item_id, text from benchmark)) group by all),
+weighed as (
+  select a.*, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)::double))::bigint as w
+  from asked a join df using (term), stats),
+scored as (
+  select item_id, q.text, t.r, t.doc_id,
+         sum(reps * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // terms))))::bigint as score
+  from weighed q join tf t using (term) join sizes using (r), stats group by all),
+ranked as (
+  select *, row_number() over (partition by item_id, text order by score desc, doc_id nulls last) as rank
+  from scored where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked where rank <= 10
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {"op1_line_dedup": op1_line_dedup, "op2_url_filter": op2_url_filter,
             "op3_substring_dedup": op3_substring_dedup, "op4_nearest": op4_nearest,
             "op5_simhash": op5_simhash, "op6_mixing": op6_mixing, "op7_training_order": op7_training_order,
-            "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination}
+            "op8_language": op8_language, "op9_quality": op9_quality, "op10_decontamination": op10_decontamination,
+            "op11_lm_scoring": op11_lm_scoring, "op12_divergence": op12_divergence, "op13_search": op13_search}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL}
+    return {"op2_url_filter": OP2_SQL, "op6_mixing": OP6_SQL, "op12_divergence": OP12_SQL, "op13_search": OP13_SQL}
