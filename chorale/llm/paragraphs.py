@@ -179,39 +179,120 @@ def _sets(docs: DataFrame, wanted: DataFrame, min_words: int) -> DataFrame:
     return texts.join(wanted, "doc_id").select("text", "units").mapInPandas(run, "unit long, shingles binary")
 
 
+class Near:
+    """Finds which of some sets of hashes are similar to a given one, through an index of their hashes."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.sets, self.size, self.similarity = sets, np.array(list(map(len, sets)), np.int64), similarity
+        self._index(np.arange(len(sets)))
+
+    def _index(self, rows: np.ndarray) -> None:
+        flat = np.concatenate([self.sets[k] for k in rows]) if len(rows) else np.empty(0, np.uint64)
+        order = np.argsort(flat, kind="stable")
+        self.flat, self.owner, self.rows = flat[order], np.repeat(rows, self.size[rows])[order], len(rows)
+
+    def rows_near(self, own: np.ndarray, left: np.ndarray, shrinking: bool = False) -> np.ndarray:
+        """Those of `left` that are similar to the set `own`. `shrinking`: later calls ask for a part of `left` only."""
+        if shrinking and len(left) * 2 < self.rows:
+            self._index(left)
+        begin = np.searchsorted(self.flat, own, "left")
+        count = np.searchsorted(self.flat, own, "right") - begin
+        at = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
+        common = np.bincount(self.owner[at], minlength=len(self.sets))[left]
+        near = common >= self.similarity * (self.size[left] + len(own) - common) - 1e-9
+        # Two empty sets have nothing in common and are no similar texts.
+        return left[near & (common > 0)]
+
+
+def _sets_of(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(x, np.uint64) for x in column]
+
+
 def jaccard_links(members: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
-    """Edges (a, b) between units of one value at `similarity` or more. members: value, unit, shingles."""
-    # Large buckets: fewer than rows / bucket_rows of them.
+    """Edges (a, b) that connect all units of one value at `similarity` or more. members: value, unit, shingles.
+
+    A bucket of more than `bucket_rows` units is dealt into blocks of that size, and edges grow with its units, not
+    with their pairs: (1) each block links its own units and labels them by the smallest unit of their component;
+    (2) the labels of a bucket's first block are held against all units of its other blocks; (3) only units outside
+    the largest component found so far are held against the whole bucket, and only links between different
+    components are emitted. A bucket of close copies ends after (2); one of strangers is compared in full.
+    """
     large = stored(members.groupBy("value").agg(F.count("*").alias("n")).filter(F.col("n") > bucket_rows)
-                   .select("value", F.ceil(F.col("n") * 2 / bucket_rows).cast("int").alias("blocks")), "buckets")
+                   .select("value", F.ceil(F.col("n") / bucket_rows).cast("int").alias("blocks")), "buckets")
     cut = members.join(large, "value", "left").fillna(1, ["blocks"])
     block = F.pmod(F.xxhash64("unit"), F.col("blocks")).cast("int")
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(
-        F.least(block, k).alias("low"), F.greatest(block, k).alias("high")))
-    tasks = cut.withColumn("cell", F.explode(cells)).select("value", "cell.low", "cell.high", "unit", "shingles").dropDuplicates(
-        ["value", "low", "high", "unit"])
+    homes = cut.select("value", "blocks", block.alias("block"), "unit", "shingles")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame | None:
-        if len(group) < 2:
+    def inside(group: pd.DataFrame) -> pd.DataFrame | None:
+        group = group.drop_duplicates("unit").sort_values("unit", kind="stable")
+        unit, split = group["unit"].to_numpy(), group["blocks"].iloc[0] > 1
+        if len(unit) < 2 and not split:
             return None
-        unit = group["unit"].to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
-        size, edges = np.array(list(map(len, sets))), []
-        left = np.arange(len(unit))
+        near, label = Near(_sets_of(group["shingles"]), similarity), np.arange(len(unit))
+        left = label.copy()
         while len(left):
-            queue, left = [left[0]], left[1:]
+            first, left = left[0], left[1:]
+            queue = [first]
             while queue and len(left):
-                at = queue.pop()
-                flat = np.concatenate([sets[k] for k in left])
-                owner = np.repeat(np.arange(len(left)), size[left])
-                common = np.bincount(owner[np.isin(flat, sets[at])], minlength=len(left))
-                near = common >= similarity * (size[left] + size[at] - common) - 1e-9
-                edges += [(unit[at], u) for u in unit[left[near]]]
-                queue += left[near].tolist()
-                left = left[~near]
-        return pd.DataFrame(edges, columns=["a", "b"]) if edges else None
-
-    return by_groups(tasks, ["value", "low", "high"], compare, "a long, b long")
+                found = near.rows_near(near.sets[queue.pop()], left, True)
+                label[found] = first
+                queue += found.tolist()
+                left = np.setdiff1d(left, found, assume_unique=True)
+        kept = np.full(len(unit), True) if split else label != np.arange(len(unit))
+        return pd.DataFrame({"value": group["value"].iloc[0], "block": group["block"].iloc[0],
+                             "unit": unit[kept], "label": unit[label[kept]]})
+
+    near = stored(by_groups(homes, ["value", "block"], inside, "value long, block int, unit long, label long"), "near")
+    edges = near.filter("unit <> label").select(F.col("unit").alias("a"), F.col("label").alias("b"))
+    if large.isEmpty():
+        return edges
+
+    def across(group: pd.DataFrame) -> pd.DataFrame | None:
+        """Links between askers and members of other labels; only those that join what nothing has joined yet."""
+        asks = group["asks"].to_numpy()
+        if not asks.any() or asks.all():
+            return None
+        askers = group[asks].sort_values("unit", kind="stable")
+        rows = group[~asks]
+        names, codes = np.unique(group["label"].to_numpy(), return_inverse=True)
+        tree, out = np.arange(len(names)), []
+        of_member, of_asker = codes[~asks], codes[asks][np.argsort(group["unit"].to_numpy()[asks], kind="stable")]
+        index = Near(_sets_of(rows["shingles"]), similarity)
+        for own, shingles_ in zip(of_asker, askers["shingles"], strict=True):
+            other = np.flatnonzero(tree[of_member] != tree[own])
+            if not len(other):
+                continue
+            found = index.rows_near(np.frombuffer(shingles_, np.uint64), other)
+            for k in np.unique(tree[of_member[found]]):
+                out.append((group["value"].iloc[0], names[own], names[k]))
+            tree[np.isin(tree, tree[of_member[found]])] = tree[own]
+        return pd.DataFrame(out, columns=["value", "a", "b"]) if out else None
+
+    kind = "value long, a long, b long"
+    split = homes.join(near.withColumnRenamed("block", "__block"), ["value", "unit"]).filter("blocks > 1").drop("__block")
+    every = stored(split.dropDuplicates(["value", "unit"]), "blocks")
+    # (2) At most `bucket_rows` rows a block, so as many rows in all as there are units.
+    pivots = every.filter("block = 0 and unit = label").withColumn(
+        "block", F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)))
+    both = every.filter("block > 0").withColumn("asks", F.lit(False)).unionByName(pivots.withColumn("asks", F.lit(True)))
+    joined = stored(by_groups(both.drop("blocks"), ["value", "block"], across, kind), "joined")
+    # (3) A label that met a pivot counts as that pivot's component; the largest one asks nothing more.
+    pivot = joined.groupBy("value", F.col("b").alias("label")).agg(F.min("a").alias("pivot"))
+    named = stored(near.join(large, "value").join(pivot, ["value", "label"], "left").select(
+        "value", "unit", F.coalesce("pivot", "label").alias("label")), "named")
+    counts = named.groupBy("value", "label").agg(F.count("*").alias("n"))
+    largest = counts.groupBy("value").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("all"))
+    lines = stored(largest.select("value", F.col("top.label").alias("top"),
+                                  F.ceil((F.col("all") - F.col("top.n")) / bucket_rows).cast("int").alias("lines"))
+                   .filter("lines > 0"), "open")
+    again = every.drop("label").join(named, ["value", "unit"]).join(lines, "value")
+    asking = again.filter("label <> top").withColumn("line", F.pmod(F.xxhash64("unit", F.lit(1)), F.col("lines")).cast("int"))
+    asked = again.withColumn("line", F.explode(F.sequence(F.lit(0), F.col("lines") - 1)))
+    cells = asked.withColumn("asks", F.lit(False)).unionByName(
+        asking.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("asks", F.lit(True)))
+    rest = by_groups(cells.select("value", "line", "block", "asks", "unit", "label", "shingles"),
+                     ["value", "line", "block"], across, kind)
+    return edges.unionByName(joined.select("a", "b")).unionByName(rest.select("a", "b"))
 
 
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY,

@@ -199,6 +199,8 @@ def links(nodes: DataFrame, covering: Covering, most: int, rows_per_task: int =
         "anchor", "cell.line", "cell.column", "cell.asks", "node", "bits")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame | None:
+        # By node, so that the forests of different anchors name the same smallest nodes.
+        group = group.sort_values("node", kind="stable")
         asks = group["asks"].to_numpy()
         if not asks.any():
             return None

@@ -258,6 +258,36 @@ def test_large_buckets_are_split_without_losing_links(spark):
     assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.filter("copies = 30").count() == 30
 
 
+def hash_sets(spark, sets):
+    rows = [(7, k, np.unique(np.array(s, np.uint64)).tobytes()) for k, s in enumerate(sets)]
+    return spark.createDataFrame(rows, "value long, unit long, shingles binary")
+
+
+def test_edges_of_close_sets_grow_with_the_sets(spark):
+    """n close sets in blocks of 20: less than two edges a set at any n."""
+    for n in (200, 400, 800):
+        close = [[*range(1, 60), 1000 + k] for k in range(n)]
+        edges = paragraphs.jaccard_links(hash_sets(spark, close), 0.8, 20).distinct().collect()
+        assert len(set(reach([tuple(e) for e in edges], range(n)).values())) == 1
+        assert len(edges) < 1.2 * n
+
+
+def test_links_of_a_mixed_bucket_against_brute_force(spark):
+    """Two groups, a chain and strangers in one bucket, cut into blocks of any size."""
+    random = np.random.default_rng(3)
+    sets = [[*range(1, 40), 1000 + k] for k in range(60)] + [[*range(100, 140), 2000 + k] for k in range(25)]
+    sets += [list(range(300 + 3 * k, 340 + 3 * k)) for k in range(30)]
+    sets += [random.integers(10_000, 20_000, 40).tolist() for _ in range(20)] + [list(range(1, 36)), []]
+    sets = [sets[k] for k in random.permutation(len(sets))]
+    own = [set(s) for s in sets]
+    near = [(a, b) for a in range(len(own)) for b in range(a) if own[a] & own[b]
+            and len(own[a] & own[b]) >= 0.8 * len(own[a] | own[b]) - 1e-9]
+    want = reach(near, range(len(own)))
+    for rows in (1000, 30, 5):
+        edges = [tuple(e) for e in paragraphs.jaccard_links(hash_sets(spark, sets), 0.8, rows).collect()]
+        assert reach(edges, range(len(own))) == want
+
+
 # 4. Neighbours
 
 def exact(vectors, query, top):
