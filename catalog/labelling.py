@@ -135,7 +135,7 @@ def split_counts(spark, sf_dir):
     select comment_id, cast(rk as int) as rank from (
       select comment_id, row_number() over (order by {_KEY}, comment_id) as rk from docs) where rk <= 2000""")
 def sample_large(spark, sf_dir):
-    """Above the size that is cut down by rank inside the map tasks."""
+    """Two thousand rows, or all of a smaller table."""
     return sampling.seeded_sample(docs(spark, sf_dir), 2000, SEED, rank="rank").select("comment_id", "rank")
 
 
@@ -159,6 +159,19 @@ def sample_with_null_ids(spark, sf_dir):
     return sampling.seeded_sample(some, 120, SEED)
 
 
+@catalog.add("sample_with_repeated_ids", f"""
+    , copies as (select source as comment_id from documents)
+    select comment_id, count(*) as n_rows, max(n_docs) as n_docs from (
+      select comment_id, row_number() over (order by {_KEY}, comment_id) as rk, count(*) over (partition by comment_id) as n_docs
+      from copies where comment_id is not null) where rk <= 190 group by comment_id""")
+def sample_with_repeated_ids(spark, sf_dir):
+    """Few ids with very many rows each: the sample has its full size, and only its last id is taken in part."""
+    copies = table(spark, sf_dir, "documents").selectExpr("source as comment_id", "doc_id", "text as text_content")
+    counts = copies.groupBy("comment_id").agg(F.count("*").alias("n_docs"))
+    drawn = sampling.seeded_sample(copies, 190, SEED).groupBy("comment_id").agg(F.count_distinct("doc_id").alias("n_rows"))
+    return drawn.join(counts, "comment_id")
+
+
 _DONE = "(select cast(doc_id as string) as comment_id from labels)"
 
 

@@ -1,7 +1,7 @@
 """Exact, seeded, partition-independent samples and disjoint label splits.
 
 The order is the md5 of id and seed: the same rows come out whatever the file layout, engine or
-number of tasks. Rows are picked on ids alone; wide rows are fetched by the at most n picked ids.
+number of tasks. Rows are picked on ids and their counts alone; wide rows are fetched by the at most n picked ids.
 """
 
 from __future__ import annotations
@@ -13,8 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from chorale.operators.ranking import one_per_key
-
 # Picked ids up to this many are broadcast; a larger sample is joined as Spark sees fit.
 BROADCAST_ROWS = 100_000
 ID = "comment_id"
@@ -45,34 +43,42 @@ def without_ids(df: DataFrame, ids: DataFrame) -> DataFrame:
     return df.filter(F.col(ID).isNotNull()).join(ids.select(ID), ID, "left_anti")
 
 
-def _ranked(narrow: DataFrame, n: int) -> DataFrame:
-    """The n rows with the smallest keys and their `__rank`, without a sort of the whole pool.
+def _ranked(ids: DataFrame, n: int) -> DataFrame:
+    """Of the first n rows in the order of keys: their ids, `__before` (rows in front of an id's first) and `__take`.
 
-    Rows are counted by the first four hex digits of the key. Only digit groups up to the one in which
-    the n-th row falls are ranked, each on its own, behind the number of rows in the groups before it.
+    `ids` has one row an id with its key and its number of rows. Rows are counted by the first four hex digits of the
+    key. Only digit groups up to the one in which the n-th row falls are ranked, each on its own, behind the number of
+    rows in the groups before it. An id with very many rows is one row here.
     """
-    heads = narrow.groupBy(F.substring("__key", 1, 4).alias("__head")).agg(F.count("*").alias("c"))  # at most 65,536 rows
+    heads = ids.groupBy(F.substring("__key", 1, 4).alias("__head")).agg(F.sum("__rows").alias("c"))  # at most 65,536 rows
     before = F.sum("c").over(Window.partitionBy(F.lit(0)).orderBy("__head")) - F.col("c")
-    heads = heads.select("__head", before.alias("__before")).filter(F.col("__before") < n)
+    heads = heads.select("__head", before.alias("__earlier")).filter(F.col("__earlier") < n)
     own = Window.partitionBy("__head").orderBy("__key", ID)
-    kept = narrow.withColumn("__head", F.substring("__key", 1, 4)).join(F.broadcast(heads), "__head")
-    rank = (F.col("__before") + F.row_number().over(own)).cast("int")
-    return kept.select(ID, rank.alias("__rank")).filter(F.col("__rank") <= n)
+    kept = ids.withColumn("__head", F.substring("__key", 1, 4)).join(F.broadcast(heads), "__head")
+    before = F.col("__earlier") + F.sum("__rows").over(own) - F.col("__rows")
+    return (kept.select(ID, "__rows", before.alias("__before")).filter(F.col("__before") < n)
+            .select(ID, "__before", F.least(F.col("__rows"), n - F.col("__before")).alias("__take")))
 
 
 def seeded_sample(df: DataFrame, n: int, seed: int, rank: str | None = None) -> DataFrame:
-    """Exactly n comments without replacement, or all when there are fewer; `rank` names their order column.
+    """Exactly n rows without replacement, or all when there are fewer; `rank` names their order column.
 
-    Ids are ranked on their own and the wide rows fetched by them, where they lie. Rows without an id
-    can't be found again and are never drawn; of several rows with one id one is drawn.
+    Rows are drawn in the order of their ids' keys, and rows that share an id in that of a hash of their content, so
+    copies of an id count as the rows they are. Ids are counted and ranked on their own and the wide rows fetched by
+    them, where they lie; of an id at most n rows leave a task. Rows without an id can't be found again and are never drawn.
     """
     df = df.filter(F.col(ID).isNotNull())
-    picked = _ranked(df.select(ID).distinct().withColumn("__key", sample_key(seed)), n)
+    ids = df.groupBy(ID).agg(F.count("*").alias("__rows")).withColumn("__key", sample_key(seed))
+    picked = _ranked(ids, n)
     if n <= BROADCAST_ROWS:
         picked = F.broadcast(picked)
     content = F.xxhash64(*[c for c, kind in df.dtypes if "map<" not in kind and "variant" not in kind])
-    rows = one_per_key(df.withColumn("__content", content).join(picked, ID), [ID], [F.asc("__content")]).drop("__content")
-    return rows.withColumnRenamed("__rank", rank) if rank else rows.drop("__rank")
+    copy = F.row_number().over(Window.partitionBy(ID).orderBy("__content"))
+    rows = (df.withColumn("__content", content).join(picked, ID).withColumn("__copy", copy)
+            .filter(F.col("__copy") <= n).filter(F.col("__copy") <= F.col("__take")))
+    if rank:
+        rows = rows.withColumn(rank, (F.col("__before") + F.col("__copy")).cast("int"))
+    return rows.drop("__content", "__copy", "__before", "__take")
 
 
 def pilot_cut(queue: DataFrame, size: int, seed: int) -> DataFrame:
