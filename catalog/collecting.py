@@ -105,6 +105,13 @@ def search_first_seen_posts(spark, sf_dir):
     return searching.first_seen_posts(hits).select("post_id", "cell", "rank", "extraction_sort")
 
 
+def _stored_seen(posts):
+    """The found posts as a run stores them, narrow; their number is then known before they are joined."""
+    path = work_dir(posts.sparkSession, "seen")
+    searching.first_seen_posts(searching.search_hits(posts, GRID, K)).select("post_id", "cell", "rank").write.parquet(path)
+    return posts.sparkSession.read.parquet(path)
+
+
 @catalog.add("search_first_seen_comments", _hits("posts_v") + """
     , seen as (select post_id, cell, rk from (
       select *, row_number() over (partition by post_id order by cell, rk) as rn from hits) where rn = 1)
@@ -117,8 +124,7 @@ def search_first_seen_posts(spark, sf_dir):
       from filed f join seen s on f.post_id = s.post_id) where rn = 1""")
 def search_first_seen_comments(spark, sf_dir):
     """Every comment is also filed under the next post, so that two found posts may claim it."""
-    posts = merge_runs(posts_raw(spark, sf_dir), "post_id")
-    seen = searching.first_seen_posts(searching.search_hits(posts, GRID, K))
+    seen = _stored_seen(merge_runs(posts_raw(spark, sf_dir), "post_id"))
     once = comments_base(spark, sf_dir)
     filed = once.withColumn("post_id", F.explode(F.array("post_id", (F.col("n") + 1).cast("string"))))
     kept = searching.first_seen_comments(filed, seen, max_seen=GRID.size * K)
@@ -128,8 +134,8 @@ def search_first_seen_comments(spark, sf_dir):
 @catalog.add("search_comments_of_posts", _hits("posts_v") + """
     select comment_id, post_id, extraction_id from comments_raw where post_id in (select post_id from hits)""")
 def search_comments_of_posts(spark, sf_dir):
-    hits = searching.search_hits(merge_runs(posts_raw(spark, sf_dir), "post_id"), GRID, K)
-    found = searching.comments_of(comments_raw(spark, sf_dir), hits, GRID.size * K)
+    seen = _stored_seen(merge_runs(posts_raw(spark, sf_dir), "post_id"))
+    found = searching.comments_of(comments_raw(spark, sf_dir), seen, GRID.size * K)
     return found.select("comment_id", "post_id", "extraction_id")
 
 
@@ -140,8 +146,7 @@ def search_comments_of_posts(spark, sf_dir):
       '2025-01-01T00:00:00+00:00' as extraction_time from doc_posts p join seen s on p.post_id = s.post_id""")
 def search_found_posts_wide(spark, sf_dir):
     posts = doc_posts(spark, sf_dir)
-    seen = searching.first_seen_posts(searching.search_hits(posts, GRID, K))
-    wide = searching.with_search_lineage(posts, seen, "2025-01-01T00:00:00+00:00", GRID.size * K)
+    wide = searching.with_search_lineage(posts, _stored_seen(posts), "2025-01-01T00:00:00+00:00", GRID, GRID.size * K)
     return wide.select("post_id", "post_subreddit", "post_title", "post_body", "extraction_sort", "extraction_time")
 
 
@@ -156,8 +161,7 @@ _QUERY_TEXT = "case q " + " ".join(
 def search_lineage(spark, sf_dir):
     """Which query and order found each post."""
     posts = doc_posts(spark, sf_dir)
-    seen = searching.first_seen_posts(searching.search_hits(posts, GRID, K))
-    wide = searching.with_search_lineage(posts, seen, "2025-01-01T00:00:00+00:00", GRID.size * K)
+    wide = searching.with_search_lineage(posts, _stored_seen(posts), "2025-01-01T00:00:00+00:00", GRID, GRID.size * K)
     return wide.select("post_id", "extraction_query", "extraction_sort")
 
 

@@ -5,11 +5,13 @@ from __future__ import annotations
 import hashlib
 import re
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
-from catalog.base import Catalog, docs, response_expr, table, truth
+from catalog.base import Catalog, comments_base, docs, posts_base, response_expr, table, truth
 from chorale.functions.lexicon import lexicon_answers, lexicon_scorer
 from chorale.functions.responses import parse_response, with_value
+from chorale.functions.text import NOISE
 from chorale.operators import assembly, explore, metrics, sampling, scoring
 from chorale.operators.prompts import (
     example_list, few_shot_text, labelled_only, prompt_column, prompt_factory, prompt_parts,
@@ -19,7 +21,7 @@ from chorale.registry import FEATURES, FRAME, QUALITY, RELEVANCE, SENTIMENT, STA
 from chorale.session import work_dir
 from chorale.sources import files, reports
 from chorale.sources.labels import read_sheet, write_sheet
-from chorale.streaming.scoring import landing_stream, score_stream
+from chorale.streaming.scoring import landing_stream, score_arrivals, score_stream, settle
 
 catalog = Catalog()
 SEED, N, RATIO = 123, 100, 0.85
@@ -572,8 +574,117 @@ def stream_incremental_scores(spark, sf_dir):
     return scoring.feature_table(answers, RELEVANCE).select("comment_id", RELEVANCE.name, "is_error")
 
 
+_ARRIVED_SQL = """
+    , arrived as (
+      select c.comment_id, length('Post Title:' || chr(10) || chr(10) || coalesce(p.post_title, '') || chr(10) || chr(10) ||
+        'Post Body:' || chr(10) || chr(10) || coalesce(p.post_body, '') || chr(10) || chr(10) ||
+        'Comment Body:' || chr(10) || chr(10) || c.comment_body) as n
+      from comments_base c join posts_base p on c.post_id = p.post_id
+      where c.comment_body not in {noise} and not (post_title in {noise} and post_body in {noise}))
+    select comment_id, cast(n % 6 as int) as content_relevance_score, 1 as n_answers from arrived""".format(noise=str(NOISE))
+
+
+def _by_length(queue):
+    """The length of a text as its answer."""
+    value = F.to_json(F.struct((F.length("text_content") % 6).alias(RELEVANCE.name)))
+    return queue.select("comment_id", F.lit(RELEVANCE.name).alias("feature"), value.alias("response"))
+
+
+def _answers_per_id(spark, store):
+    rows = scoring.feature_table(scoring.read_store(spark, store), RELEVANCE)
+    return rows.groupBy("comment_id", RELEVANCE.name).agg(F.count("*").cast("int").alias("n_answers"))
+
+
+@catalog.add("stream_early_comments", _ARRIVED_SQL)
+def stream_early_comments(spark, sf_dir):
+    """Half of the comments come before any post of theirs has landed, and are scored with the batch after it has."""
+    root = work_dir(spark, "arrivals")
+    comments, posts = comments_base(spark, sf_dir), posts_base(spark, sf_dir).drop("n")
+    features, folder = [RELEVANCE], f"{root}/landing"
+    late = F.expr("cast(post_id as bigint) % 2 = 1")
+    for lands, known in ((F.expr("comment_score % 2 = 0"), posts.filter(~late)), (F.expr("comment_score % 2 <> 0"), posts)):
+        comments.filter(lands).drop("n").write.mode("append").parquet(folder)
+        stream = landing_stream(spark, folder, comments.drop("n").schema)
+        score_arrivals(stream, lambda known=known: known, f"{root}/answers", f"{root}/waiting", f"{root}/checkpoint",
+                       features, _by_length).awaitTermination()
+    settle(spark, posts, f"{root}/answers", f"{root}/waiting", features, _by_length)
+    return _answers_per_id(spark, f"{root}/answers")
+
+
+@catalog.add("stream_replay", _ARRIVED_SQL)
+def stream_replay(spark, sf_dir):
+    """A batch that dies with a third of its answers stored is replayed from the checkpoint: no id has two answers."""
+    root = work_dir(spark, "replay")
+    comments, posts = comments_base(spark, sf_dir).drop("n"), posts_base(spark, sf_dir).drop("n")
+    comments.write.parquet(f"{root}/landing")
+    died = []
+
+    def dying(queue):
+        if not died:
+            died.append(True)
+            part = queue.filter(F.pmod(F.xxhash64("comment_id"), F.lit(3)) == 0)
+            scoring.append_answers(_by_length(part), f"{root}/answers", [RELEVANCE])
+            raise RuntimeError("the batch dies")
+        return _by_length(queue)
+
+    for _ in range(2):
+        stream = landing_stream(spark, f"{root}/landing", comments.schema)
+        query = score_arrivals(stream, lambda: posts, f"{root}/answers", f"{root}/waiting", f"{root}/checkpoint",
+                               [RELEVANCE], dying)
+        try:
+            query.awaitTermination()
+        except StreamingQueryException as end:
+            if "the batch dies" not in str(end):
+                raise
+    return _answers_per_id(spark, f"{root}/answers")
+
+
 # --- through stored files
 
+@catalog.add("commit_restart", _SCORES + """
+    select comment_id, discourse_tone, 1 as n_answers, 2 as shares_of_the_first_run, 2 as shares_of_the_second from scores""")
+def commit_restart(spark, sf_dir):
+    """A run in four shares dies in its third; started again it asks for the two that are open, from the stored queue."""
+    store, asked = f"{work_dir(spark, 'restart')}/answers", []
+
+    def ask(queue):
+        if len(asked) == 2 and "died" not in asked:
+            asked.append("died")
+            raise RuntimeError("the run dies")
+        asked.append("share")
+        return scoring.call_columns(queue, scoring.each({TONE.name: SCORERS[TONE.name]}))
+
+    for _ in range(2):
+        try:
+            scoring.score_into_store(docs(spark, sf_dir), store, [TONE], ask, commits=4, unique=True)
+        except RuntimeError as end:
+            if "the run dies" not in str(end):
+                raise
+    first, second = asked.index("died"), len(asked) - asked.index("died") - 1
+    answers = scoring.feature_table(scoring.read_store(spark, store), TONE)
+    return answers.groupBy("comment_id", TONE.name).agg(F.count("*").cast("int").alias("n_answers")).select(
+        "*", F.lit(first).alias("shares_of_the_first_run"), F.lit(second).alias("shares_of_the_second"))
+
+
+@catalog.add("embed_resume", f"""
+    select comment_id, case when {_BREAKS} > 0 then cast(length(text_content) as float) end as chars,
+      case when {_BREAKS} = 0 then 'zero' end as fault, 1 as n_vectors,
+      (select count(*) from docs where {_BREAKS} = 0) as n_faults, 0 as n_faults_again from docs""")
+def embed_resume(spark, sf_dir):
+    """Vectors stored once and checked: texts without a line break get a zero vector, which is stored as a fault.
+    The second run embeds nothing, so it finds no new faults either."""
+    store = f"{work_dir(spark, 'vectors')}/vectors"
+
+    def factory():
+        return lambda texts: [[float(len(t)) if "\n" in t else 0.0, float(t.count("\n"))] for t in texts]
+
+    faults = [scoring.embed_into_store(docs(spark, sf_dir), store, factory, 2, unique=True) for _ in range(2)]
+    rows = scoring.read_vectors(spark, store)
+    return rows.groupBy("comment_id", F.get("embedding", F.lit(0)).alias("chars"), "fault").agg(
+        F.count("*").cast("int").alias("n_vectors")).select(
+        "*", F.lit(faults[0]).cast("long").alias("n_faults"), F.lit(faults[1]).cast("int").alias("n_faults_again"))
+
+
 @catalog.add("resume_per_feature", f"""
     , done as (
       select cast(doc_id as string) as comment_id, 'content_relevance_score' as feature from labels

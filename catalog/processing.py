@@ -8,6 +8,8 @@ from catalog.base import Catalog, comments_base, comments_raw, posts_base, posts
 from chorale.functions.text import NOISE
 from chorale.operators import cleaning, explore
 from chorale.operators.joins import hot_keys
+from chorale.session import work_dir
+from chorale.sources import merged
 
 catalog = Catalog()
 _NOISE = str(NOISE)
@@ -70,6 +72,18 @@ def dedup_first_comments(spark, sf_dir):
         "comment_id", "comment_score", "extraction_id")
 
 
+@catalog.add("merge_increment", """
+    select comment_id, post_id, comment_body, comment_score, extraction_id, 1 as n_rows from comments_v""")
+def merge_increment(spark, sf_dir):
+    """The runs merged one after the other into a bucketed table; the last one twice, which changes nothing."""
+    table, raw = f"{work_dir(spark, 'merged')}/comments", comments_raw(spark, sf_dir)
+    for run in ("20240101000000", "20240201000000", "20240301000000", "20240301000000"):
+        merged.merge_increment(raw.filter(F.col("extraction_id") == run), table, run, "comment_id", buckets=16)
+    rows = merged.read_merged(spark, table)
+    return rows.groupBy("comment_id", "post_id", "comment_body", "comment_score", "extraction_id").agg(
+        F.count("*").cast("int").alias("n_rows"))
+
+
 @catalog.add("join_comments_posts", """
     select c.comment_id, p.post_id, p.post_subreddit, c.comment_score, p.post_score
     from comments_v c join posts_v p on c.post_id = p.post_id""")

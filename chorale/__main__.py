@@ -2,6 +2,7 @@
 
     collect   POSTS COMMENTS RAW               one search run over a stored corpus
     process   RAW OUT                          runs to the processed table
+    merge     RAW KIND RUN OUT                 one more run into the merged table of posts or comments
     sample    TABLE TRAIN VAL                  label sheets
     validate  TRAIN VAL ANSWERS REPORTS        scores the validation sheet and reports
     generate  TABLE TRAIN ANSWERS              scores what the answer store lacks
@@ -33,7 +34,7 @@ from chorale.sources import files, labels, reports
 
 _PATHS = {
     "collect": "posts comments raw",
-    "process": "raw out", "sample": "table train val", "validate": "train val answers reports",
+    "process": "raw out", "merge": "raw kind run out", "sample": "table train val", "validate": "train val answers reports",
     "generate": "table train answers", "publish": "answers features", "filter": "table scores out",
     "join": "table features out",
 }
@@ -67,10 +68,13 @@ def _arguments() -> argparse.ArgumentParser:
     parsers["validate"].add_argument("--run", required=True)
     parsers["generate"].add_argument("--pilot", type=int, help="score a seeded sample of this size")
     parsers["generate"].add_argument("--pilot-seed", type=int, default=presets.PILOT_SEED)
-    parsers["generate"].add_argument("--commits", type=int, default=1)
+    parsers["generate"].add_argument("--commits", type=int, default=1, help="store a run in so many shares")
+    parsers["generate"].add_argument("--save-every", type=int, nargs="?", const=presets.SAVE_EVERY, metavar="ROWS",
+                                     help="store a share after so many rows; a run that died goes on from its last share")
     parsers["generate"].add_argument("--retry-errors", action="store_true")
     parsers["generate"].add_argument("--passed-in", metavar="RUN", help="only features that passed this validation run")
     parsers["generate"].add_argument("--reports", help="folder of the validation reports, with --passed-in")
+    parsers["publish"].add_argument("--skip-existing", action="store_true", help="leave published features as they are")
     for name in ("generate", "publish"):
         parsers[name].add_argument("--labelled", nargs="+", default=[], metavar="SHEET",
                                    help="label sheets whose labels stand instead of predictions")
@@ -104,6 +108,8 @@ def main(argv: Sequence[str] | None = None) -> None:
         print("run", run)
     elif args.stage == "process":
         stages.process(spark, args.raw, args.out, args.keep)
+    elif args.stage == "merge":
+        print("buckets rewritten:", len(stages.merge_run(spark, args.raw, args.kind, args.run, args.out)))
     elif args.stage == "sample":
         wrote = stages.draw_samples(spark, args.table, args.train, args.val, args.names, args.rows, args.seed,
                                     args.ratio, args.train_ids, args.val_ids)
@@ -120,11 +126,12 @@ def main(argv: Sequence[str] | None = None) -> None:
         pilot = (args.pilot, args.pilot_seed) if args.pilot else None
         if features:
             stages.generate(files.read_table(spark, args.table), features, _ask(args, features, train), args.answers,
-                            pilot, _labelled(spark, args), retry_errors=args.retry_errors, commits=args.commits)
+                            pilot, _labelled(spark, args), retry_errors=args.retry_errors, commits=args.commits, save_every=args.save_every)
     elif args.stage == "publish":
         for feature in features:
-            stages.publish_feature(spark, args.answers, feature, args.features,
-                                 labelled=_labelled(spark, args))
+            wrote = stages.publish_feature(spark, args.answers, feature, args.features, labelled=_labelled(spark, args),
+                                           once=args.skip_existing)
+            print(feature.name, "published" if wrote else "is there already; nothing done")
     elif args.stage == "filter":
         print("relevant comments:", stages.filter_relevant(spark, args.table, args.scores, args.out))
     else:

@@ -16,7 +16,7 @@ from chorale.operators.ranking import one_per_key, top_k
 
 # The orders a search offers.
 SORTS = ("relevance", "top", "new", "comments")
-# A hit list below this many narrow rows may be broadcast.
+# Found posts up to this many narrow rows (id and cell, some tens of bytes) are broadcast.
 BROADCAST_ROWS = 500_000
 
 
@@ -97,10 +97,11 @@ def first_seen_posts(hits: DataFrame) -> DataFrame:
 def _join_found(comments: DataFrame, found: DataFrame, max_found: int | None) -> DataFrame:
     """Comments with the columns of their found post, whose ids are unique.
 
-    With a known bound on its rows that is small enough, `found` is broadcast and no comment is
-    shuffled. Otherwise posts with very many comments are split over tasks.
+    The found posts are counted, unless a bound says already that they are too many: a narrow job, and a cheap one
+    over a stored table. Few are broadcast and no comment is shuffled; else posts with very many comments are split
+    over tasks.
     """
-    if max_found is not None and max_found <= BROADCAST_ROWS:
+    if (max_found is None or max_found <= BROADCAST_ROWS) and found.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
         return comments.join(F.broadcast(found), "post_id")
     return spread_join(comments, found, "post_id", "comment_id")
 
@@ -119,13 +120,26 @@ def first_seen_comments(comments: DataFrame, seen: DataFrame, max_seen: int | No
     return one_per_key(joined, ["comment_id"], [F.asc("cell"), F.asc("rank"), F.asc("post_id")]).drop("cell", "rank")
 
 
-def with_search_lineage(posts: DataFrame, seen: DataFrame, extraction_time: str, max_seen: int | None = None) -> DataFrame:
-    """The wide rows of the seen posts with query, sort and the run's one time stamp."""
-    lineage = seen.select("post_id", "extraction_query", "extraction_sort")
-    if max_seen is not None and max_seen <= BROADCAST_ROWS:
-        lineage = F.broadcast(lineage)
-    keep = [c for c in posts.columns if not c.startswith("extraction_")]
-    return posts.select(*keep).join(lineage, "post_id").withColumn("extraction_time", F.lit(extraction_time))
+def cell_lineage(grid: SearchGrid, cell: Column) -> tuple[Column, Column]:
+    """Query text and sort of a grid cell, looked up in the grid's own lists."""
+    sorts = len(grid.sorts)
+    query = F.element_at(_literals([str(q) for q in grid.queries]), (F.floor(cell / sorts) % len(grid.queries) + 1).cast("int"))
+    return query, F.element_at(_literals(grid.sorts), (cell % sorts + 1).cast("int"))
+
+
+def with_search_lineage(posts: DataFrame, seen: DataFrame, extraction_time: str, grid: SearchGrid,
+                        max_seen: int | None = None) -> DataFrame:
+    """The wide rows of the seen posts with query, sort and the run's one time stamp.
+
+    Only post_id and cell meet the posts; the texts of query and sort are looked up behind the join.
+    """
+    keep = [c for c in posts.columns if not c.startswith("extraction_") and c != "cell"]
+    narrow = seen.select("post_id", "cell")
+    if (max_seen is None or max_seen <= BROADCAST_ROWS) and narrow.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        narrow = F.broadcast(narrow)
+    query, sort = cell_lineage(grid, F.col("cell"))
+    return posts.select(*keep).join(narrow, "post_id").select(
+        *keep, query.alias("extraction_query"), sort.alias("extraction_sort"), F.lit(extraction_time).alias("extraction_time"))
 
 
 def project_posts(source: DataFrame, extraction_query: Column, extraction_sort: Column,

@@ -13,7 +13,7 @@ from chorale.operators import assembly, cleaning, metrics, sampling, scoring, se
 from chorale.operators.prompts import labelled_only
 from chorale.registry import RELEVANCE, Feature
 from chorale.schema import RAW_COMMENTS, RAW_POSTS
-from chorale.sources import files, labels, raw, reports
+from chorale.sources import files, labels, merged, raw, reports
 
 Ask = Callable[[DataFrame], DataFrame]
 
@@ -31,9 +31,9 @@ def collect(posts: DataFrame, comments: DataFrame, grid: searching.SearchGrid, k
     bound = grid.size * k
     hits = searching.search_hits(posts, grid, k, as_of=moment, window=window)
     seen_path = f"{folder.rstrip('/')}_seen/{run}"
-    searching.first_seen_posts(hits).write.mode("errorifexists").parquet(seen_path)
+    searching.first_seen_posts(hits).select("post_id", "cell", "rank").write.mode("errorifexists").parquet(seen_path)
     seen = spark.read.parquet(seen_path)
-    found = searching.with_search_lineage(posts, seen, moment.isoformat(), bound)
+    found = searching.with_search_lineage(posts, seen, moment.isoformat(), grid, bound)
     raw.write_run(found.select(*RAW_POSTS.fieldNames()), folder, "posts", run)
     kept = searching.first_seen_comments(comments, seen, bound)
     raw.write_run(kept.select(*RAW_COMMENTS.fieldNames()), folder, "comments", run)
@@ -49,6 +49,13 @@ def process(spark: SparkSession, raw_folder: str, out: str, keep: str = "last")
     return files.read_table(spark, out)
 
 
+def merge_run(spark: SparkSession, raw_folder: str, kind: str, extraction_id: str, out: str, keep: str = "last") -> list[int]:
+    """One more run into the merged table of posts or comments; returns the buckets it has rewritten."""
+    ties = ("extraction_query", "extraction_sort") if kind == "posts" else ()
+    new = raw.read_runs(spark, raw_folder, kind, extraction_id)
+    return merged.merge_increment(new, out, extraction_id, f"{kind.removesuffix('s')}_id", keep, ties)
+
+
 def draw_samples(spark: SparkSession, table: str, train_sheet: str, val_sheet: str, features: Sequence[str],
                  n: int, seed: int, val_ratio: float, train_ids: Sequence[str] = (),
                  val_ids: Sequence[str] = ()) -> bool:
@@ -90,36 +97,40 @@ def validate(val: DataFrame, features: Sequence[Feature], ask: Ask, store: str,
 
 def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, pilot: tuple[int, int] | None = None,
              labelled: DataFrame | None = None, retry_errors: bool = False, commits: int = 1,
-             unique: bool = True) -> None:
+             unique: bool = True, save_every: int | None = None) -> None:
     """Scores what the store still lacks. `pilot` is (size, seed); each pilot run advances by its size.
 
     `labelled`: rows people labelled, left out of scoring for the features they have a label for. Features share the scan of a full run; in a
     pilot every feature has a queue of its own. `unique`: ids of `df` are unique, as in a processed table.
+    `commits` or `save_every` (rows): stores a long run in shares, see `scoring.score_into_store`.
     """
     skip = None if labelled is None else scoring.labelled_pairs(labelled, features)
     if pilot is None:
-        scoring.score_into_store(df, store, features, ask, retry_errors, commits, unique, skip)
+        scoring.score_into_store(df, store, features, ask, retry_errors, commits, unique, skip, save_every)
         return
     size, seed = pilot
     for feature in features:
-        done = scoring.answered(scoring.read_store(df.sparkSession, store), [feature], retry_errors)
-        if skip is not None:
-            done = done.unionByName(skip.filter(F.col("feature") == feature.name))
-        queue = scoring.resume_queue(scoring.unique_texts(df, unique), done)
+        own = None if skip is None else skip.filter(F.col("feature") == feature.name)
+        queue = scoring.open_queue(df, store, [feature], retry_errors, unique, own)
         queue = sampling.pilot_cut(queue, size, seed).withColumn("wanted", F.array(F.lit(feature.name)))
         scoring.append_answers(ask(queue), store, [feature])
 
 
 def publish_feature(spark: SparkSession, store: str, feature: Feature, folder: str, retried: bool = True,
-                    labelled: DataFrame | None = None) -> None:
+                    labelled: DataFrame | None = None, once: bool = False) -> bool:
     """The typed feature table of the store, one row per id, with human labels in place of predictions where given.
 
-    `retried=False` saves a shuffle; only right for a store that never asked an id twice.
+    `retried=False` saves a shuffle; only right for a store that never asked an id twice. `once` leaves a feature that is
+    published already as it is. Says whether it wrote.
     """
+    path = f"{folder.rstrip('/')}/{feature.name}.parquet"
+    if once and files.path_exists(spark, path):
+        return False
     table = scoring.feature_table(scoring.read_store(spark, store), feature, retried)
     if labelled is not None:
         table = scoring.labels_and_predictions(table, labelled_only(labelled, feature), feature)
-    files.write_table(table, f"{folder.rstrip('/')}/{feature.name}.parquet")
+    files.write_table(table, path)
+    return True
 
 
 def filter_relevant(spark: SparkSession, table: str, scores: str, out: str, cutoff: int = RELEVANCE.cutoff) -> int:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -27,19 +29,60 @@ def same_path(spark: SparkSession, a: str, b: str) -> bool:
     return fs_a.makeQualified(pa).equals(fs_b.makeQualified(pb))
 
 
+def _beside(path: str, kind: str) -> str:
+    """A hidden folder next to `path`, which no listing of tables shows."""
+    parent, _, name = path.rstrip("/").rpartition("/")
+    return f"{parent}/.{name}.{kind}"
+
+
+def _rename(spark: SparkSession, old: str, new: str) -> None:
+    (source, fs), (target, _) = _path(spark, old), _path(spark, new)
+    if not fs.rename(source, target):
+        raise OSError(f"can't rename {old} to {new}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    hadoop_path, fs = _path(spark, path)
+    fs.delete(hadoop_path, True)
+
+
+def recover(spark: SparkSession, path: str) -> None:
+    """Puts the former table back if a replacement died between its two renames."""
+    if not path_exists(spark, path) and path_exists(spark, _beside(path, "old")):
+        _rename(spark, _beside(path, "old"), path)
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A stage's output; a missing one names the path instead of failing inside the plan."""
+    recover(spark, path)
     if not path_exists(spark, path):
         raise FileNotFoundError(f"no table at {path}; run the stage that writes it first")
     return spark.read.parquet(path)
 
 
 def write_table(df: DataFrame, path: str, inputs: tuple[str, ...] = ()) -> None:
-    """Replaces a stage's output. A stage must not write onto what it reads: overwriting deletes first."""
+    """Replaces a stage's output as a whole: it is written beside the former one, which stays readable until the new
+    one is complete and then gives way to it by renaming. A write that fails changes nothing.
+
+    A stage must not write onto what it reads: its readers would see files go.
+    """
+    spark = df.sparkSession
     for source in inputs:
-        if same_path(df.sparkSession, source, path):
+        if same_path(spark, source, path):
             raise ValueError(f"{path} is also an input of this write")
-    df.write.mode("overwrite").parquet(path)
+    recover(spark, path)
+    draft, old = _beside(path, f"draft-{uuid.uuid4().hex}"), _beside(path, "old")
+    try:
+        df.write.parquet(draft)
+        if path_exists(spark, path):
+            delete(spark, old)
+            _rename(spark, path, old)
+        _rename(spark, draft, path)
+    except BaseException:
+        recover(spark, path)
+        delete(spark, draft)
+        raise
+    delete(spark, old)
 
 
 def write_once(df: DataFrame, path: str) -> bool:

@@ -6,7 +6,8 @@ import __spark_entry__ as entry
 
 # A user's scorer or embedder runs in Python workers.
 PYTHON_QUERIES = {"score_pandas_scorer", "score_prompted_features", "embed_texts"}
-STORED = {"stream_incremental_scores", "score_store_resume", "label_sheet_round_trip", "raw_runs_round_trip"}
+STORED = {"stream_incremental_scores", "stream_early_comments", "stream_replay", "score_store_resume", "commit_restart",
+          "embed_resume", "merge_increment", "label_sheet_round_trip", "raw_runs_round_trip"}
 # The corpus operators have plan tests of their own.
 NAMES = [n for c in entry._CATALOGS for n in c.queries if n not in STORED]
 

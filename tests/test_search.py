@@ -151,3 +151,19 @@ def test_comments_of_found_posts(spark, bound):
     assert sorted(tuple(r) for r in got) == [("a", "p2"), ("b", "p1")]
     of = searching.comments_of(filed, seen.unionAll(seen), bound).select("comment_id", "post_id").collect()
     assert sorted(tuple(r) for r in of) == [("a", "p1"), ("a", "p2"), ("b", "p1")]
+
+
+def test_only_id_and_cell_meet_the_posts(spark, tmp_path):
+    posts = spark.range(50).select(
+        F.concat(F.lit("p"), "id").alias("post_id"), F.lit("A").alias("post_subreddit"), F.lit("war and peace").alias("post_title"),
+        F.lit("").alias("post_body"), F.col("id").alias("post_score"), F.lit(0).cast("bigint").alias("post_num_comments"),
+        F.col("id").cast("double").alias("post_created_utc"))
+    grid = searching.SearchGrid(("A",), (term("nothing"), term("war"), term("peace")), ("new", "top"))
+    hits = searching.search_hits(posts, grid, 5)
+    searching.first_seen_posts(hits).select("post_id", "cell", "rank").write.parquet(str(tmp_path / "seen"))
+    wide = searching.with_search_lineage(posts, spark.read.parquet(str(tmp_path / "seen")), "t", grid)
+    got = {(r.post_id, r.extraction_query, r.extraction_sort) for r in wide.collect()}
+    want = {(r.post_id, r.extraction_query, r.extraction_sort) for r in searching.first_seen_posts(hits).collect()}
+    assert got == want and len(got) == 5
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<post_id:string,cell:int>" in plan

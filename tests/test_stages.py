@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 from chorale.functions.terms import term
 from chorale.operators import assembly, explore, scoring
+from chorale.operators.cleaning import merge_runs
 from chorale.operators.searching import SearchGrid
 from chorale.plans import stages
 from chorale.registry import RELEVANCE, SENTIMENT, TONE
 from chorale.schema import RAW_COMMENTS, RAW_POSTS
-from chorale.sources import files, labels, raw
-from chorale.streaming.scoring import clean_stream, landing_stream, score_stream
+from chorale.sources import files, labels, merged, raw
+from chorale.streaming.scoring import clean_stream, landing_stream, score_arrivals, score_stream, settle
 
 R = RELEVANCE.name
 
@@ -78,6 +79,73 @@ def test_table_writes(spark, tmp_path):
     assert files.write_once(spark.range(1), str(tmp_path / "u"))
 
 
+def test_a_failed_write_keeps_the_old_table(spark, tmp_path):
+    path = str(tmp_path / "t")
+    files.write_table(spark.range(3), path)
+    broken = spark.range(5).select(F.raise_error(F.lit("no")).alias("id"))
+    with pytest.raises(Exception, match="no"):
+        files.write_table(broken, path)
+    assert files.read_table(spark, path).count() == 3 and files.list_names(spark, str(tmp_path)) == ["t"]
+    files.write_table(spark.range(4), path)
+    assert spark.read.parquet(path).count() == 4
+    # A replacement that died between its two renames.
+    (tmp_path / "t").rename(tmp_path / ".t.old")
+    assert files.read_table(spark, path).count() == 4
+    assert not list(tmp_path.glob(".t.draft*"))
+
+
+def test_run_ids_are_whole(spark, tmp_path):
+    folder = str(tmp_path / "raw")
+    for run in ("20240101000000", "20240102000000"):
+        raw.write_run(posts(spark, [("p" + run, "t", "b")]), folder, "posts", run)
+    assert raw.read_runs(spark, folder, "posts", "20240102000000").count() == 1
+    with pytest.raises(FileNotFoundError, match="202401"):
+        raw.read_runs(spark, folder, "posts", "202401")
+    for run in ("20240103000000", "20240104000000"):
+        posts(spark, [("q", "t", "b")]).drop("post_url").write.parquet(f"{folder}/posts_data_raw_{run}.parquet")
+    with pytest.raises(ValueError) as told:  # the verdict names every run at fault
+        raw.read_runs(spark, folder, "posts")
+    assert "20240103000000" in str(told.value) and "20240104000000" in str(told.value) and "post_url" in str(told.value)
+
+
+def rows_of_run(spark, run, rows):
+    return spark.createDataFrame([(k, v, run) for k, v in rows], "comment_id string, v int, extraction_id string")
+
+
+def test_increments_equal_the_full_merge(spark, tmp_path):
+    table = str(tmp_path / "m")
+    runs = {"1": [("a", 1), ("b", 1), (None, 1), ("c", 1)], "2": [("a", 2), (None, 2)], "3": [("d", 3)]}
+    everything = None
+    for run, rows in runs.items():
+        new = rows_of_run(spark, run, rows)
+        everything = new if everything is None else everything.unionByName(new)
+        touched = merged.merge_increment(new, table, run, "comment_id", buckets=8)
+        assert len(touched) <= len(rows)
+        assert merged.merge_increment(new, table, run, "comment_id", buckets=8) == []
+    want = merge_runs(everything, "comment_id")
+    assert sorted(map(str, merged.read_merged(spark, table).select(*want.columns).collect())) == sorted(map(str, want.collect()))
+    held = {b: r for b, r, _ in merged.manifest(spark, table) if b >= 0}
+    only_d = rows_of_run(spark, "9", [("d", 9)])
+    touched = merged.merge_increment(only_d, table, "9", "comment_id", buckets=64)  # the table keeps its 8
+    after = {b: r for b, r, _ in merged.manifest(spark, table) if b >= 0}
+    assert len(touched) == 1 and {b for b in after if after[b] != held.get(b)} == set(touched)
+    assert sorted(p.name for p in (tmp_path / "m" / "run=9").glob("bucket=*")) == [f"bucket={touched[0]}"]
+    part = merged.read_merged(spark, table, only_d, "comment_id")
+    assert "run=9" in str(part.inputFiles()) and {r.v for r in part.filter("comment_id = 'd'").collect()} == {9}
+    assert merged.drop_replaced(spark, table) and merged.read_merged(spark, table).count() == 6
+
+
+def test_an_increment_that_dies_changes_nothing(spark, tmp_path):
+    table = str(tmp_path / "m")
+    merged.merge_increment(rows_of_run(spark, "1", [("a", 1)]), table, "1", "comment_id", buckets=4)
+    broken = rows_of_run(spark, "2", [("a", 2)]).withColumn("v", F.raise_error(F.lit("no")).cast("int"))
+    with pytest.raises(Exception, match="no"):
+        merged.merge_increment(broken, table, "2", "comment_id")
+    assert [r.v for r in merged.read_merged(spark, table).collect()] == [1]
+    merged.merge_increment(rows_of_run(spark, "2", [("a", 2)]), table, "2", "comment_id")
+    assert [r.v for r in merged.read_merged(spark, table).collect()] == [2]
+
+
 def test_bucketed_tables_join_without_shuffle(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
@@ -269,6 +337,95 @@ def test_stream_of_raw_comments(spark, tmp_path):
     assert [(r.comment_id, r.response) for r in rows] == [("c1", f'{{"{R}": {n % 6}}}')]
 
 
+def test_early_comments_wait_for_their_post(spark, tmp_path):
+    land, store, waiting = (str(tmp_path / n) for n in ("land", "store", "waiting"))
+    known, asked = [], []
+
+    def run(batch):
+        comments(spark, batch).write.mode("append").parquet(land)
+        score_arrivals(landing_stream(spark, land, RAW_COMMENTS), lambda: posts(spark, known), store, waiting,
+                       str(tmp_path / "cp"), [RELEVANCE], counted, rows_per_task=2).awaitTermination()
+        return sorted(r.comment_id for r in scoring.read_store(spark, store).collect())
+
+    def counted(queue):
+        asked.extend(r.comment_id for r in queue.collect())
+        return ask(queue)
+
+    assert run([("c1", "p1", "early"), ("c2", "p2", "early"), ("c3", "p3", "never"), ("c4", None, "x")]) == []
+    known.append(("p1", "T", "b"))
+    assert run([*[(f"h{k}", "p1", "hot") for k in range(7)], ("c5", "p1", "[deleted]")]) == ["c1", *[f"h{k}" for k in range(7)]]
+    known.append(("p2", "", "[deleted]"))  # lands as noise: its comment is gone
+    assert settle(spark, posts(spark, known), store, waiting, [RELEVANCE], counted) == 1
+    known.append(("p3", "T", "b"))
+    assert settle(spark, posts(spark, known), store, waiting, [RELEVANCE], counted) == 0
+    assert sorted(asked) == ["c1", "c3", *[f"h{k}" for k in range(7)]]
+
+
+def test_a_batch_opens_only_its_buckets(spark, tmp_path):
+    store = str(tmp_path / "store")
+    df = spark.range(300).select(F.col("id").cast("string").alias("comment_id"), F.lit("x").alias("text_content"))
+    scoring.score_into_store(df, store, [RELEVANCE], ask)
+    one = df.filter("comment_id = '7'")
+    plan = scoring.open_queue(one, store, [RELEVANCE])._jdf.queryExecution().executedPlan().toString()
+    own = one.select(scoring.bucket_of(scoring.STORE_BUCKETS)).first()[0]
+    assert f"bucket IN ({own})" in plan or f"(bucket#" in plan and f" = {own})" in plan
+    assert scoring.open_queue(one, store, [RELEVANCE]).count() == 0
+    assert scoring.read_store(spark, store).count() == 300 and scoring.store_buckets(spark, store) == scoring.STORE_BUCKETS
+
+
+def test_a_run_that_died_goes_on_from_its_shares(spark, tmp_path):
+    store, log, reads = str(tmp_path / "s"), [], []
+    source = spark.range(60).select(F.col("id").cast("string").alias("comment_id"), F.lit("x").alias("text_content"))
+
+    def dying(queue):
+        if len(log) == 2 and not reads:
+            raise RuntimeError("down")
+        log.append(queue.count())
+        return ask(queue)
+
+    with pytest.raises(RuntimeError):
+        scoring.score_into_store(source, store, [RELEVANCE], dying, save_every=10)
+    stored = scoring.read_store(spark, store).count()
+    assert stored == sum(log) and len(log) == 2
+    reads.append(True)
+    # Answers that were stored by a share which died before its mark are not asked for again.
+    left = spark.read.parquet(f"{store}_queue/{R}/rows")
+    done = {r[0] for r in scoring.read_store(spark, store).select("comment_id").collect()}
+    one = next(r for r in left.orderBy("comment_id").collect() if r.comment_id not in done)
+    scoring.append_answers(ask(source.filter(F.col("comment_id") == one.comment_id)), store, [RELEVANCE])
+    scoring.score_into_store(source, store, [RELEVANCE], dying, save_every=10)
+    rows = scoring.read_store(spark, store)
+    assert rows.count() == rows.select("comment_id").distinct().count() == 60 and sum(log) == 59
+    assert not (tmp_path / "s_queue" / R).exists()
+
+
+def test_vectors_are_checked_and_paid_for_once(spark, tmp_path):
+    store = str(tmp_path / "v")
+    df = spark.createDataFrame([("a", "x"), ("b", "nan"), ("c", "short"), ("d", "zero"), ("e", "none")],
+                               "comment_id string, text_content string")
+
+    def factory():
+        odd = {"nan": [float("nan"), 1.0], "short": [1.0], "zero": [0.0, 0.0], "none": None}
+        return lambda texts: [odd.get(t, [3.0, 4.0]) for t in texts]
+
+    assert scoring.embed_into_store(df, store, factory, 2) == 4
+    assert scoring.embed_into_store(df, store, factory, 2) == 0
+    rows = {r.comment_id: (r.norm, r.fault) for r in scoring.read_vectors(spark, store).collect()}
+    assert rows == {"a": (5.0, None), "b": (None, "not finite"), "c": (None, "dimensions"), "d": (None, "zero"),
+                    "e": (None, "missing")}
+    good = lambda: lambda texts: [[1.0, 0.0] for _ in texts]
+    assert scoring.embed_into_store(df, store, good, 2, retry_faults=True) == 0
+    assert scoring.vector_table(scoring.read_vectors(spark, store)).count() == 5
+
+
+def test_published_features_are_skipped(spark, tmp_path):
+    df = spark.createDataFrame([("a", "x")], "comment_id string, text_content string")
+    store, out = str(tmp_path / "s"), str(tmp_path / "f")
+    stages.generate(df, [RELEVANCE], ask, store)
+    assert stages.publish_feature(spark, store, RELEVANCE, out, once=True)
+    assert not stages.publish_feature(spark, store, RELEVANCE, out, once=True)
+
+
 def test_command_line(spark, tmp_path, capsys):
     from chorale.__main__ import main
 
