@@ -20,6 +20,8 @@ kept by `without_templates` and never read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from chorale.llm.common import by_groups, stored
 
 DEPTH, ALIKE, MIN_DOCS, MIN_COPIES = 3, 0.6, 10, 2
-SLICE_ROWS = 5_000
+SLICE_ROWS = 50_000
+# Wanted lines (two hashes and a count each) up to this many are broadcast, else both sides are shuffled.
+BROADCAST_ROWS = 1_000_000
 VARIABLE = "<*>"
 # Blanks at the ends of a line and between tokens are not part of them.
 _ENDS = " \t\r\x0b\x0c"
@@ -48,24 +52,39 @@ def _lines(docs: DataFrame, depth: int) -> DataFrame:
 
 
 def gather(lines: list[str], alike: float = ALIKE) -> list[str]:
-    """The template of each line, all of one number of tokens, in the order given."""
+    """The template of each line, all of one number of tokens, in the order given.
+
+    Templates are found through the tokens they have in place: a line of m constant tokens that must share c of them
+    shares one of any m - c + 1, so only templates with one of its m - c + 1 rarest tokens are looked at.
+    """
     ids: dict[str, int] = {VARIABLE: 0}
     rows = np.array([[ids.setdefault(t, len(ids)) for t in line.split(" ")] for line in lines])
-    width, known, owner = rows.shape[1], np.empty((0, rows.shape[1]), rows.dtype), []
-    size, table = 0, np.empty((16, width), rows.dtype)
+    width, owner, size = rows.shape[1], [], 0
+    table, held = np.empty((16, width), rows.dtype), [{} for _ in range(width)]
     for row in rows:
-        known = table[:size]
-        # Only constant positions say that a line belongs; a template doesn't wear down to its leading tokens,
-        # since the constants of the line must be met as well.
-        same = ((known == row) & (known != 0)).sum(axis=1)
-        most = np.maximum((known != 0).sum(axis=1), (row != 0).sum())
-        fit = same / np.maximum(most, 1)
-        best = int(fit.argmax()) if size else -1
-        if best < 0 or fit[best] < alike - 1e-9:
+        constant = np.flatnonzero(row).tolist()
+        places = sorted((held[k].get(row[k], ()) for k in constant), key=len)
+        needed = math.ceil(alike * len(constant) - 1e-9)
+        near = set().union(*places[:len(constant) - needed + 1])
+        best = -1
+        if near:
+            found = np.array(sorted(near))
+            known = table[found]
+            # Only constant positions say that a line belongs; a template doesn't wear down to its leading tokens,
+            # since the constants of the line must be met as well.
+            same = ((known == row) & (known != 0)).sum(axis=1)
+            fit = same / np.maximum(np.maximum((known != 0).sum(axis=1), len(constant)), 1)
+            at = int(fit.argmax())
+            if fit[at] >= alike - 1e-9:
+                best = int(found[at])
+        if best < 0:
             if size == len(table):
                 table = np.concatenate([table, np.empty_like(table)])
             table[size], best, size = row, size, size + 1
+            for k in constant:
+                held[k].setdefault(row[k], []).append(best)
         else:
+            # Entries of positions that become variable stay behind; the comparison passes over them.
             table[best][table[best] != row] = 0
         owner.append(best)
     names = np.array(list(ids), dtype=object)
@@ -88,17 +107,30 @@ def _gathered(rows: DataFrame, keys: list[str], alike: float) -> DataFrame:
     return by_groups(rows, keys, run, "leaf long, masked string, template string, n long")
 
 
+def _texts(lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """leaf, line, masked, n and gathers of the wanted lines: each text once."""
+    # Hashes and counts; their number decides how they meet the lines.
+    if wanted.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
+    found = lines.select("leaf", F.xxhash64("masked").alias("line"), "masked").join(wanted, ["leaf", "line"])
+    return found.groupBy("leaf", "line").agg(*[F.first(c).alias(c) for c in ("masked", "n", "gathers")])
+
+
 def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, alike: float = ALIKE,
               slice_rows: int = SLICE_ROWS, min_copies: int = MIN_COPIES) -> DataFrame:
-    """doc_id, line (hash of the masked line), template and docs (how many have it) of every line of a
-    recurring template, and of every repeated masked line, which is its own template."""
+    """doc_id, line (hash of the masked line), template, template_id and docs (how many have it) of every line of a
+    recurring template, and of every repeated masked line, which is its own template.
+
+    Documents and lines meet as hashes; a text is fetched once for each line that is gathered or repeated.
+    """
     lines = _lines(docs, depth)
-    copies = lines.groupBy("leaf", F.xxhash64("masked").alias("line")).agg(F.count("*").alias("n"))
-    leaves = stored(copies.groupBy("leaf").agg((F.sum("n") >= min_docs).alias("gathers"), F.max("n").alias("most"))
-                    .filter(F.col("gathers") | (F.col("most") >= min_copies)).select("leaf", "gathers"), "leaves")
-    found = stored(lines.join(leaves, "leaf"), "lines")
-    every = stored(found.groupBy("leaf", "masked").agg(F.count("*").alias("n"), F.first("gathers").alias("gathers")), "masked")
-    counted = every.filter("gathers")
+    placed = stored(lines.select("doc_id", "leaf", F.xxhash64("masked").alias("line")), "lines")
+    copies = stored(placed.groupBy("leaf", "line").agg(F.count("*").alias("n")), "counts")
+    leaves = copies.groupBy("leaf").agg((F.sum("n") >= min_docs).alias("gathers"), F.max("n").alias("most")).filter(
+        F.col("gathers") | (F.col("most") >= min_copies)).select("leaf", "gathers")
+    wanted = stored(copies.join(leaves, "leaf").filter(F.col("gathers") | (F.col("n") >= min_copies)), "wanted")
+    every = stored(_texts(lines, wanted), "texts")
+    counted = every.filter("gathers").select("leaf", "masked", "n")
     # Large leaves: fewer than rows / slice_rows of them.
     large = stored(counted.groupBy("leaf").agg(F.ceil(F.count("*") / slice_rows).cast("int").alias("slices"))
                    .filter("slices > 1"), "large")
@@ -111,26 +143,30 @@ def recurring(docs: DataFrame, min_docs: int = MIN_DOCS, depth: int = DEPTH, ali
     whole = _gathered(parts, ["leaf"], alike).select("leaf", F.col("masked").alias("template"),
                                                       F.col("template").alias("wide"))
     final = stored(local.join(whole, ["leaf", "template"], "left").select(
-        "leaf", "masked", F.coalesce("wide", "template").alias("template")), "templates")
-    placed = stored(found.join(final, ["leaf", "masked"]).select(
-        "doc_id", F.xxhash64("masked").alias("line"), "leaf", "template").distinct(), "placed")
-    often = stored(placed.select("leaf", "template", "doc_id").distinct().groupBy("leaf", "template")
+        "leaf", F.xxhash64("masked").alias("line"), F.coalesce("wide", "template").alias("template"))
+        .withColumn("template_id", F.xxhash64("leaf", "template")), "templates")
+    member = stored(placed.join(final.select("leaf", "line", "template_id"), ["leaf", "line"]).select(
+        "doc_id", "line", "template_id").distinct(), "members")
+    often = stored(member.select("template_id", "doc_id").distinct().groupBy("template_id")
                    .agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_docs), "recurring")
     # Repeated lines that no recurring template holds.
-    held = final.join(often, ["leaf", "template"]).select("leaf", "masked")
-    alone = every.filter(F.col("n") >= min_copies).join(held, ["leaf", "masked"], "left_anti").select("leaf", "masked")
-    exact = stored(found.join(alone, ["leaf", "masked"]).select("doc_id", "leaf", "masked").distinct(), "copies")
-    repeated = exact.groupBy("leaf", "masked").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_copies)
-    return placed.join(often, ["leaf", "template"]).select("doc_id", "line", "template", "docs").unionByName(
-        exact.join(repeated, ["leaf", "masked"]).select(
-            "doc_id", F.xxhash64("masked").alias("line"), F.col("masked").alias("template"), "docs"))
+    held = final.join(often, "template_id", "left_semi").select("leaf", "line")
+    alone = wanted.filter(F.col("n") >= min_copies).select("leaf", "line").join(held, ["leaf", "line"], "left_anti")
+    exact = stored(placed.join(alone, ["leaf", "line"]).select("doc_id", "leaf", "line").distinct(), "copies")
+    repeated = exact.groupBy("leaf", "line").agg(F.count("*").alias("docs")).filter(F.col("docs") >= min_copies)
+    names = final.groupBy("template_id").agg(F.first("template").alias("template"))
+    own = every.select("leaf", "line", F.col("masked").alias("template"))
+    return member.join(often, "template_id").join(names, "template_id", "left").select(
+        "doc_id", "line", "template", "template_id", "docs").unionByName(
+        exact.join(repeated, ["leaf", "line"]).join(own, ["leaf", "line"], "left").select(
+            "doc_id", "line", "template", F.xxhash64("leaf", "line").alias("template_id"), "docs"))
 
 
 def report(found: DataFrame) -> DataFrame:
     """doc_id, dropped (number of different masked lines), lines (their hashes, sorted) and templates."""
     return found.groupBy("doc_id").agg(
         F.count_distinct("line").alias("dropped"), F.array_sort(F.collect_set("line")).alias("lines"),
-        F.count_distinct("template").alias("templates"))
+        F.count_distinct("template_id").alias("templates"))
 
 
 def without_templates(docs: DataFrame, found: DataFrame) -> DataFrame:
