@@ -68,7 +68,7 @@ def _vectors(docs: DataFrame, place: dict[bytes, int]) -> DataFrame:
             out, docs_, rest = [], 0, 0
             for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
                 words = terms_of(text)
-                counts = Counter(filter(None.__ne__, map(place.get, words)))
+                counts = Counter(place[t] for t in words if t in place)
                 if counts:
                     own = np.array(sorted(counts.items()), "<u4")
                     out.append((doc, 1, len(words), own.T.tobytes()))
@@ -144,8 +144,9 @@ class Bucket:
         # The cosine that the longest document of the bucket would need.
         cosine = min(1.0, least / (query.length * self.length[0]))
         for term, q in query.focus[:focus]:
+            # Between the angles of query and coordinate less and plus the angle allowed between query and document.
             spread = math.sqrt((1 - cosine ** 2) * max(0.0, 1 - q ** 2)) + SLACK
-            low, high = cosine * q - spread, cosine * q + spread
+            low, high = cosine * q - spread, cosine * q + spread if cosine > q else math.inf
             at = self.entries(term)
             inside = (self.share[at] >= low) & (self.share[at] <= high)
             if low > 0:  # a document without the term is outside as well
