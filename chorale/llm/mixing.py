@@ -5,7 +5,7 @@ up to and including it, divided by the source's target. The stream of all docume
 finish times serves every source in proportion to its target. It is truncated at the total budget. A
 source short of its target starts over, up to `epochs` times, in the same shuffled order.
 
-Edge cases: a null or blank text has size 0, is never taken; a null source is a source of its own, last
+Edge cases: reruns agree whatever the order of the rows, repeated ids included; a null or blank text has size 0, is never taken; a null source is a source of its own, last
 in order; repeated rows are documents of their own; an empty table gives an empty result; a total of no
 words gives targets 0. Other columns are never read, except by `mixed`, which keeps them.
 """
@@ -23,10 +23,10 @@ BINS, UNITS = 1_024, 64
 
 
 def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
-    """Narrow rows: doc_id, source, size and the place in the shuffle."""
+    """Narrow rows: doc_id, source, size, and the place in the shuffle (for rows of one id, size and text decide)."""
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
-    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"),
-                       word_count(F.col("text")).alias("size"), key.alias("key"))
+    return docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count(F.col("text")).alias("size"),
+                       key.alias("key"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), ep
     named = sources.select(F.col("source").alias("__source"), "place", "source_size", "before", "target")
     # One row a source; Spark broadcasts it if its stored size is small, and splits hot sources if not.
     rows = sizes.join(named, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
-    queue = stored(running_sums(rows, [F.col("place"), F.col("key"), F.col("doc_id")], {"upto": "size"}), "queue")
+    queue = stored(running_sums(rows, [F.col(c) for c in ("place", "key", "doc_id", "size", "mark")], {"upto": "size"}), "queue")
     total = sizes.agg(F.sum("size")).first()[0] or 0
     finish = lambda e: (F.col("upto") - F.col("before") + F.col("source_size") * e) / F.col("target")
     live = F.col("size") > 0
