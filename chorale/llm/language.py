@@ -6,8 +6,9 @@ language has several centroids, from spherical k-means over its training vectors
 language of the centroid with the largest cosine; `rejected` tells that this cosine is below what
 `quantile` of the language's own training texts reach.
 
-The model is fitted on at most `per_language` texts of each language (400 by default, the smallest
-hashes of their ids), of those that the caller marks as training rows; texts are read whole.
+Centroids are fitted on the texts of at most `per_language` ids of each language (400 by default, the smallest hashes), of
+those that the caller marks as training rows; document frequencies are counted over all training rows, and texts are
+read whole.
 
 Edge cases: a null text or one without a letter is `und` with a score of 0; so is every text if there
 is no training row. Training rows without language, id or letter don't count. Repeated rows get equal
@@ -31,6 +32,8 @@ from chorale.llm.common import stored
 WIDTH, PER_LANGUAGE, CENTROIDS, QUANTILE = 4_096, 400, 4, 0.005
 SIZES = (2, 3, 4)
 UNKNOWN = "und"
+# Picked ids (and their languages) up to this many are broadcast.
+BROADCAST_ROWS = 1_000_000
 _OTHER = re.compile(r"[\W\d_]+")
 # Code points a pass of the n-gram count holds at once; counts of blocks add up.
 _BLOCK = 1 << 20
@@ -98,12 +101,21 @@ class Model:
 
 def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, number: int = CENTROIDS,
         quantile: float = QUANTILE) -> Model:
-    """docs: doc_id, text, lang. One task fits one language from at most `per_language` texts."""
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    narrow = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), training.alias("trains"))
-    picked = (narrow.filter("trains and doc_id is not null and lang is not null").select("doc_id", "lang").distinct()
-              .withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("doc_id", "lang"))
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(picked, "doc_id")
+    """docs: doc_id, text, lang. One task fits one language from at most `per_language` ids; how many documents have an
+    n-gram is counted over all training rows."""
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # Ranked within buckets of a language first, so no task sees more than 64 * per_language ids of one.
+    own = Window.partitionBy("lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(64))).orderBy(*order)
+    train = docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("text").cast("string"),
+                        training.alias("trains")).filter("trains and doc_id is not null and lang is not null")
+    picked = (train.select("doc_id", "lang").distinct()
+              .withColumn("n", F.row_number().over(own)).filter(F.col("n") <= per_language)
+              .withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy(*order)))
+              .filter(F.col("n") <= per_language).select("doc_id", "lang"))
+    picked = stored(picked, "picked")
+    # At most `per_language` rows a language; counted, as nothing bounds the number of languages.
+    few = F.broadcast(picked) if picked.count() <= BROADCAST_ROWS else picked
+    texts = train.select("doc_id", "lang", "text").join(few, ["doc_id", "lang"])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -115,15 +127,16 @@ def fit(docs: DataFrame, training: Column, per_language: int = PER_LANGUAGE, num
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, n = np.zeros(WIDTH, np.int64), 0
         for batch in batches:
-            for c in batch["counts"]:
-                total, n = total + (np.frombuffer(c, np.int32) > 0), n + 1
-        yield pd.DataFrame({"n": [n], "total": [total.tobytes()]})
-    # One row a task over the bounded sample.
-    parts = rows.select("counts").mapInPandas(spread, "n long, total binary").collect()
-    n = sum(p["n"] for p in parts)
-    if not n:
+            for text in batch["text"]:
+                if (c := counts_of(text)) is not None:
+                    total, n = total + (c > 0), n + 1
+        yield pd.DataFrame({"gram": np.arange(-1, WIDTH), "docs": np.append(n, total)})
+    # WIDTH + 1 rows, the first one the number of documents.
+    parts = train.select("text").mapInPandas(spread, "gram int, docs long").groupBy("gram").agg(F.sum("docs").alias("docs"))
+    found = {r["gram"]: r["docs"] for r in parts.collect()}
+    if not found.get(-1):
         return Model(np.zeros(WIDTH), np.zeros((0, WIDTH)), [], {})
-    inverse = np.log((1 + n) / (1 + sum(np.frombuffer(p["total"], np.int64) for p in parts))) + 0.1
+    inverse = np.log((1 + found[-1]) / (1 + np.array([found[k] for k in range(WIDTH)]))) + 0.1
 
     def cluster(group: pd.DataFrame) -> pd.DataFrame:
         x = np.stack(sorted((vector_of(np.frombuffer(c, np.int32), inverse) for c in group["counts"]), key=lambda v: v.tobytes()))
