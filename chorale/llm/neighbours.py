@@ -14,7 +14,7 @@ a query's `top` nearest, as ties go to smaller ids.
 
 Edge cases: vectors that are null, zero, hold a null or non-finite component or don't have the most
 common length take no part, as query or candidate; a null id takes no part; a repeated row is the same
-candidate; fewer candidates than `top` than `least` are all looked at; an empty table gives
+candidate; a table of one leaf is looked at as a whole; an empty table gives
 an empty result; other columns are never read.
 """
 
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from chorale.llm.common import by_groups, stored
 
-TOP, TREES, SHARE, LEAST, SAMPLE, LEAF_ROWS = 20, 8, 1.1, 4_000, 20_000, 1_024
+TOP, TREES, SHARE, SAMPLE, LEAF_ROWS = 20, 8, 1.1, 20_000, 1_024
+# Queries of a leaf that one task scores.
+BLOCK_QUERIES = 20_000
 
 
 @dataclass
@@ -106,12 +108,14 @@ def usable(vector: Column, size: int | None = None) -> Column:
     return F.coalesce(good if size is None else good & (F.size(vector) == size), F.lit(False))
 
 
-def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES, share: float = SHARE, least: int = LEAST,
-            sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES, share: float = SHARE, least: int = 0,
+            sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row for which `asks` holds.
 
     vectors: vec_id and embedding. The forest is fitted on at most `sample` vectors (the smallest
-    hashes); leaves hold about `leaf_rows` vectors while the sample can tell so many leaves apart.
+    hashes); leaves hold about `leaf_rows` vectors while the sample can tell so many leaves apart. `share` holds for
+    tables of any size; `least` asks for that many vectors a tree at least (none by default). The queries of a leaf are
+    dealt into blocks of about `block_queries`, and its vectors go to each.
     """
     schema = "query_id long, rank int, vec_id long, score double"
     spark = vectors.sparkSession
@@ -134,7 +138,7 @@ def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES
     deepest = max(0, int(np.log2(len(points) / 8)))
     levels = min(deepest, max(0, int(np.ceil(np.log2(total / leaf_rows)))))
     forest = grow(points, longest, levels, trees)
-    wanted = max(share, trees * least / total) if total > least else float("inf")
+    wanted = max(share, trees * least / total)
 
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -146,16 +150,20 @@ def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = [(t, leaf, True, i, v.tobytes()) for i, v in zip(batch["ask"], batch["embedding"], strict=True)
-                   for t, leaf in forest.probes(v, wanted)]
-            yield pd.DataFrame(out, columns=["tree", "leaf", "asks", "id", "vector"])
+            for i, v in zip(batch["ask"], batch["embedding"], strict=True):
+                at = np.array(forest.probes(v, wanted), np.int32).reshape(-1, 2)
+                yield pd.DataFrame({"tree": at[:, 0], "leaf": at[:, 1], "asks": True, "id": i, "vector": v.tobytes()})
 
     queries = stored(rows.filter(asks).select("vec_id", F.xxhash64("embedding").alias("hash"), "embedding").distinct(),
                      "queries")
     asked = stored(queries.groupBy("embedding").agg(F.min("vec_id").alias("ask")), "asked")
     kind = "tree int, leaf int, asks boolean, id long, vector binary"
-    both = classes.select("class", "embedding").mapInPandas(index, kind).unionByName(
-        asked.repartition(spark.sparkContext.defaultParallelism, "ask").mapInPandas(route, kind))
+    # A leaf is asked by about share / trees of all queries.
+    blocks = max(1, int(np.ceil(asked.count() * wanted / trees / block_queries)))
+    base = classes.select("class", "embedding").mapInPandas(index, kind)
+    asks_of = asked.repartition(spark.sparkContext.defaultParallelism, "ask").mapInPandas(route, kind)
+    both = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(
+        asks_of.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
 
     def score(group: pd.DataFrame) -> pd.DataFrame | None:
         asks_ = group["asks"].to_numpy()
@@ -176,7 +184,7 @@ def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES
                                      "score": np.take_along_axis(scores, best, 1).ravel()}))
         return pd.concat(out)
 
-    found = by_groups(both, ["tree", "leaf"], score, "ask long, class long, score double")
+    found = by_groups(both, ["tree", "leaf", "block"], score, "ask long, class long, score double")
     # The same pair may differ in the last digit from one matrix product to another.
     found = found.groupBy("ask", "class").agg(F.max("score").alias("score"))
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "class")
