@@ -234,6 +234,22 @@ def comment_runs_round_trip(spark, sf_dir):
     return read_runs(spark, folder, "comments").select("comment_id", "comment_body", "comment_score", "extraction_id")
 
 
+@catalog.add("empty_run_guard", f"""
+    , source as (select {', '.join(_SOURCE_COMMENTS)} from conversations where turn > 0)
+    select 'kept' as run, count(*) as n_rows, true as wrote from source
+    union all select 'empty', 0, false""")
+def empty_run_guard(spark, sf_dir):
+    """A run without comments leaves no output; a run with some does."""
+    folder, comments = work_dir(spark, "guard"), project_comments(spark, sf_dir)
+    out = None
+    for name, run, rows in (("kept", "20240101000000", comments), ("empty", "20240201000000", comments.filter("comment_score < -1000"))):
+        wrote = write_run(rows, folder, "comments", run)
+        held = read_runs(spark, folder, "comments").filter(F.col("extraction_id") == run)
+        row = held.agg(F.count("*").alias("n_rows")).select(F.lit(name).alias("run"), "n_rows", F.lit(wrote).alias("wrote"))
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
 @catalog.add("project_comments", f"""
     select id as comment_id, cast(post_id as string) as post_id, body as comment_body, score as comment_score,
       score_hidden as comment_score_hidden, created_utc as comment_created_utc, {_ISO} as comment_created_utc_date

@@ -17,7 +17,9 @@ from chorale.operators.prompts import (
     example_list, few_shot_text, labelled_only, prompt_column, prompt_factory, prompt_parts,
 )
 from chorale.plans import stages
-from chorale.registry import FEATURES, FRAME, QUALITY, RELEVANCE, SENTIMENT, STANCE, TONE
+from chorale.registry import (
+    FEATURES, FIRST_PASS, FRAME, QUALITY, RELEVANCE, SECOND_PASS, SENTIMENT, STANCE, TONE, select_features,
+)
 from chorale.session import work_dir
 from chorale.sources import files, reports
 from chorale.sources.labels import read_sheet, write_sheet
@@ -342,6 +344,30 @@ def score_pandas_scorer(spark, sf_dir):
     return scored_rows.select("comment_id", RELEVANCE.name, "is_error")
 
 
+@catalog.add("registry_dispatch", _SCORES + " union all ".join(
+    f"select '{n}' as feature, '{FEATURES[n].kind}' as kind, {FEATURES[n].threshold}e0 as threshold, count(*) as n_rows, "
+    f"count(distinct {n}) as n_values from scores" for n in (FIRST_PASS + SECOND_PASS)))
+def registry_dispatch(spark, sf_dir):
+    """Each feature of both passes, picked by its name, scored and cast by what the registry says of its kind."""
+    features = select_features(FIRST_PASS + SECOND_PASS)
+    answers = scoring.call_columns(docs(spark, sf_dir), lexicon_answers(features, LISTS, STEP))
+    answers = answers.withColumn("scored_at", F.lit(None).cast("timestamp"))
+    out = None
+    for f in features:
+        row = scoring.feature_table(answers, f).agg(F.count("*").alias("n_rows"), F.count_distinct(f.name).alias("n_values")).select(
+            F.lit(f.name).alias("feature"), F.lit(f.kind).alias("kind"), F.lit(float(f.threshold)).alias("threshold"), "n_rows", "n_values")
+        out = row if out is None else out.unionAll(row)
+    return out
+
+
+@catalog.add("direct_scores", _SCORES + f"""
+    select comment_id, content_relevance_score, false as is_error from (
+      select *, row_number() over (order by {_KEY}, comment_id) as rk from scores) where rk <= 20""")
+def direct_scores(spark, sf_dir):
+    """The older direct path: a small sample scored on the spot, every answer readable."""
+    return stages.score_directly(docs(spark, sf_dir), RELEVANCE, _ask(RELEVANCE.name)).select("comment_id", RELEVANCE.name, "is_error")
+
+
 # --- reading answers
 
 _R_ORDINAL = response_expr(RELEVANCE.name, ("4", "3", "2.7"))

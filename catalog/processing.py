@@ -124,6 +124,17 @@ def lookup_comment(spark, sf_dir):
     return explore.lookup(processed(spark, sf_dir), post_id="16", comment_id="16_2").select("comment_id", "text_content")
 
 
+@catalog.add("first_text", _PROCESSED + """
+    select comment_id, length(text_content) as n_chars, (select text_content from processed where comment_id = '16_2') as shown
+    from processed where post_id = '16'""")
+def first_text(spark, sf_dir):
+    """One comment's text as a plain value, set beside all comments of its post."""
+    rows = processed(spark, sf_dir)
+    shown = explore.first_value(explore.lookup(rows, post_id="16", comment_id="16_2"), "text_content")
+    return explore.lookup(rows, post_id="16").select(
+        "comment_id", F.length("text_content").cast("bigint").alias("n_chars"), F.lit(shown).cast("string").alias("shown"))
+
+
 @catalog.add("extraction_view", "select comment_id, comment_score from comments_raw where extraction_id = '20240201000000'")
 def extraction_view(spark, sf_dir):
     return explore.lookup(comments_raw(spark, sf_dir), extraction_id="20240201000000").select(

@@ -29,7 +29,7 @@ from chorale.operators import explore, metrics, scoring
 from chorale.operators.prompts import few_shot_text, prompt_factory
 from chorale.operators.searching import SORTS, SearchGrid
 from chorale.plans import stages
-from chorale.registry import FIRST_PASS, Feature, select_features
+from chorale.registry import FIRST_PASS, SECOND_PASS, Feature, select_features
 from chorale.sources import files, labels, reports
 
 _PATHS = {
@@ -50,6 +50,8 @@ def _arguments() -> argparse.ArgumentParser:
             parsers[name].add_argument(path)
     for name in ("sample", "validate", "generate", "publish"):
         parsers[name].add_argument("--feature", nargs="+", dest="names", default=list(FIRST_PASS))
+        parsers[name].add_argument("--second-pass", action="store_const", dest="names", const=list(SECOND_PASS),
+                                   help="the features of the relevant comments")
     parsers["collect"].add_argument("--limit", type=int, default=presets.SEARCH_LIMIT)
     parsers["collect"].add_argument("--window", default=presets.TIME_WINDOW)
     parsers["collect"].add_argument("--active", action="store_true", help="only the active communities and queries")
@@ -66,7 +68,8 @@ def _arguments() -> argparse.ArgumentParser:
         parsers[name].add_argument("--tasks", type=int)
         parsers[name].add_argument("--in-flight", type=int, default=8)
     parsers["validate"].add_argument("--run", required=True)
-    parsers["generate"].add_argument("--pilot", type=int, help="score a seeded sample of this size")
+    parsers["generate"].add_argument("--pilot", type=int, nargs="?", const=presets.PILOT_SIZE,
+                                     help="score a seeded sample of this size")
     parsers["generate"].add_argument("--pilot-seed", type=int, default=presets.PILOT_SEED)
     parsers["generate"].add_argument("--commits", type=int, default=1, help="store a run in so many shares")
     parsers["generate"].add_argument("--save-every", type=int, nargs="?", const=presets.SAVE_EVERY, metavar="ROWS",

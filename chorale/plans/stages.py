@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from chorale.operators import assembly, cleaning, metrics, sampling, scoring, searching
 from chorale.operators.prompts import labelled_only
+from chorale.presets import LEGACY_SAMPLE_SIZE, SAMPLE_SEED
 from chorale.registry import RELEVANCE, Feature
 from chorale.schema import RAW_COMMENTS, RAW_POSTS
 from chorale.sources import files, labels, merged, raw, reports
@@ -116,6 +117,18 @@ def generate(df: DataFrame, features: Sequence[Feature], ask: Ask, store: str, p
         scoring.append_answers(ask(queue), store, [feature])
 
 
+def score_directly(df: DataFrame, feature: Feature, ask: Ask, size: int = LEGACY_SAMPLE_SIZE,
+                   seed: int = SAMPLE_SEED) -> DataFrame:
+    """The older way: a seeded sample scored on the spot, nothing stored, and an error if any answer can't be read.
+
+    The answers are asked for once to check them and once more for each use of the result; for a paid scorer use
+    `generate` with a pilot.
+    """
+    queue = sampling.seeded_sample(scoring.unique_texts(df), size, seed)
+    answers = ask(queue).withColumn("scored_at", F.lit(None).cast("timestamp"))
+    return scoring.require_answers(scoring.feature_table(answers, feature))
+
+
 def publish_feature(spark: SparkSession, store: str, feature: Feature, folder: str, retried: bool = True,
                     labelled: DataFrame | None = None, once: bool = False) -> bool:
     """The typed feature table of the store, one row per id, with human labels in place of predictions where given.
