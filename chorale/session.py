@@ -33,11 +33,11 @@ def local_session(cpus: int = 8, app: str = "chorale", memory: str = "8g") -> Sp
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the cluster's shared `spark.checkpoint.dir`.
 
-    Only a local session without that setting gets a temporary folder of its machine.
+    Only a session known to be local gets, without that setting, a temporary folder of its machine.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.conf.get("spark.master", "local").startswith("local"):
+        if not spark.conf.get("spark.master", "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="chorale-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
