@@ -12,7 +12,7 @@ import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
 
-from chorale.llm import catalog, divergence, language, lexical, mixing, neighbours, ngrams
+from chorale.llm import catalog, divergence, language, lexical, mixing, neighbours, ngrams, templates
 
 # A clashing name of helper columns, and extra columns.
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, score string, kind string"
@@ -323,3 +323,57 @@ def test_neighbour_recall_at_the_registered_share(spark, number):
         near = [i for i in np.argsort(-(vectors @ vectors[q]), kind="stable") if i != q][:20]
         hits += len(set(got[q]) & set(near))
     assert hits >= 0.9 * 20 * len(asked)
+
+
+# 1. Line templates
+
+def plain_templates(docs, min_docs=10, depth=3, alike=0.6):
+    """The tree as nested loops: (doc_id, number of dropped lines, number of their templates)."""
+    def masked(line):
+        plain = re.sub("[\t\r\x0b\f ]+", " ", line.strip(" \t\r\x0b\x0c"))
+        return " ".join(re.sub("^[^0-9]*[0-9].*$", "<*>", t) for t in plain.split(" "))
+
+    lines = [(d, m) for d, t in docs if t is not None for m in {masked(x) for x in t.split("\n")} - {""}]
+    count, leaves = Counter(m for _, m in lines), defaultdict(set)
+    for m in count:
+        leaves[m.count(" "), tuple(m.split(" ")[:depth])].add(m)
+    template = {}
+    for own in leaves.values():
+        if sum(count[m] for m in own) < min_docs:
+            continue
+        made = []  # each: its tokens, its lines
+        for m in sorted(own, key=lambda m: (-count[m], m)):
+            tokens, best = m.split(" "), (alike - 1e-9, None)
+            for t in made:
+                same = sum(a == b != "<*>" for a, b in zip(t[0], tokens, strict=True))
+                fit = same / max(1, sum(x != "<*>" for x in t[0]), sum(x != "<*>" for x in tokens))
+                if fit > best[0] or best[1] is None and fit >= best[0]:
+                    best = (fit, t)
+            if best[1] is None:
+                made.append([tokens, [m]])
+            else:
+                best[1][0] = [a if a == b else "<*>" for a, b in zip(best[1][0], tokens, strict=True)]
+                best[1][1].append(m)
+        for tokens, held in made:
+            template |= {m: (len(tokens), tokens[0], " ".join(tokens)) for m in held}
+    owners, seen = defaultdict(set), defaultdict(set)
+    for d, m in lines:
+        seen[m].add(d)
+        owners[template.get(m)].add(d)
+    out = defaultdict(lambda: (set(), set()))
+    for d, m in lines:
+        name = template.get(m) if m in template and len(owners[template[m]]) >= min_docs else m if len(seen[m]) >= 2 else None
+        if name is not None:
+            out[d][0].add(m)
+            out[d][1].add(name)
+    return {(d, len(a), len(b)) for d, (a, b) in out.items()}
+
+
+def test_line_templates_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10_000 + k, f"Page {k} of the great book of {['tales', 'songs', 'maps'][k % 3]} {k}th ed.\n"
+                                               + ("very " * 9_000) + f"long line {k}") for k in range(14)], docs.schema)
+    docs = docs.unionByName(more)
+    want = plain_templates([tuple(r) for r in docs.collect()])
+    got = {(r["doc_id"], r["dropped"], r["templates"]) for r in templates.report(templates.recurring(docs)).collect()}
+    assert got == want and len([x for x in got if x[0] >= 10_000]) == 14
