@@ -12,7 +12,7 @@ import pytest
 from compare import differences, duck
 from pyspark.sql import functions as F
 
-from chorale.llm import catalog, divergence, language, lexical, mixing, neighbours, ngrams, templates
+from chorale.llm import catalog, divergence, language, lexical, mixing, neighbours, ngrams, quality, templates
 
 # A clashing name of helper columns, and extra columns.
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, block int, score string, kind string"
@@ -377,3 +377,43 @@ def test_line_templates_against_brute_force(spark, sf_dir):
     want = plain_templates([tuple(r) for r in docs.collect()])
     got = {(r["doc_id"], r["dropped"], r["templates"]) for r in templates.report(templates.recurring(docs)).collect()}
     assert got == want and len([x for x in got if x[0] >= 10_000]) == 14
+
+
+# 9. Quality
+
+def plain_posterior(texts, rounds=100):
+    """Expectation-maximisation over documents one by one: probability of good for each pattern of votes."""
+    patterns = [p for p in (quality.pattern_of(quality._raw(t)) for t in texts) if p.strip("0")]
+    good = {p: 0.1 if "-" in p else 0.95 for p in patterns}
+    for _ in range(rounds):
+        share = sum(good[p] for p in patterns) / len(patterns)
+        tables = []
+        for k in range(8):
+            held = {True: dict.fromkeys("0+-", 0.5), False: dict.fromkeys("0+-", 0.5)}
+            for p in patterns:
+                held[True][p[k]] += good[p]
+                held[False][p[k]] += 1 - good[p]
+            tables.append({s: {v: n / sum(t.values()) for v, n in t.items()} for s, t in held.items()})
+        after = {}
+        for p in good:
+            sides = [math.log(min(1, max(1e-6, x))) + sum(math.log(tables[k][s][p[k]]) for k in range(8))
+                     for s, x in ((False, 1 - share), (True, share))]
+            after[p] = 1 / (1 + math.exp(min(50, max(-50, sides[0] - sides[1]))))
+        good = after
+    return good
+
+
+def test_quality_against_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    texts = dict(docs.collect())
+    model, plain = quality.fit(docs), plain_posterior(texts.values())
+    assert model.posterior.keys() == plain.keys()
+    assert [model.posterior[p] for p in sorted(plain)] == pytest.approx([plain[p] for p in sorted(plain)], abs=1e-6)
+    for r in quality.scored(docs).collect():
+        raw = quality._raw(texts[r["doc_id"]])
+        if quality.scorable(raw):
+            want = 1 / (1 + math.exp(-(float(quality.features(raw) @ model.weights) + float(model.bias))))
+        else:
+            pattern = quality.pattern_of(raw)
+            want = plain[pattern] if "-" in pattern else 1.0
+        assert r["score"] == pytest.approx(want, abs=1e-4) and r["keep"] == (r["score"] >= 0.5)
