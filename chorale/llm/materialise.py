@@ -6,8 +6,12 @@ falls outside is sent through again (cycle walking) until it is inside. The resu
 global slot. Shard s holds the slots from s * per_shard on, in order, each in a record of fixed stride:
 slot i begins at byte (i % per_shard) * stride of shard i // per_shard, so a reader can resume anywhere.
 
-The default tokens are the UTF-8 bytes (one byte an id; the bytes FF and FE, which UTF-8 never uses,
-are end mark and padding). `bpe` takes a vocabulary file of ranks instead (two bytes an id).
+The default tokens, also those of the registered query, are the UTF-8 bytes (one byte an id; the bytes FF and FE, which
+UTF-8 never uses, are end mark and padding): no tokeniser runs then. `bpe` takes a vocabulary file of ranks instead (two
+bytes an id), with `keep=True`.
+
+Sequences are numbered task by task, so the order follows from the key and from how the files are split: another
+`spark.sql.files.maxPartitionBytes` packs and numbers other sequences. Shards once written don't change.
 
 The documents are read twice, to count and to write, unless `keep` stores the sequences in between.
 The second reading must deal the rows as the first did, which stored tables do; a task that finds
