@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,7 +75,9 @@ def merge_increment(new: DataFrame, table: str, run: str, key: str, keep: str =
     # A bucket is a few files, and AQE splits one with very many rows.
     merged.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/run={run}")
     after = [r for r in held if r not in replaced] + [(b, run, buckets) for b in touched]
-    files.write_table(spark.createDataFrame(after, _MANIFEST).coalesce(1), f"{table}/manifest")
+    rows = pa.table({"bucket": pa.array([r[0] for r in after], pa.int32()), "run": pa.array([r[1] for r in after], pa.string()),
+                     "buckets": pa.array([r[2] for r in after], pa.int32())})
+    files.write_table(spark.createDataFrame(rows).coalesce(1), f"{table}/manifest")
     return touched
 
 
