@@ -20,6 +20,8 @@ from chorale.llm.common import running_sums, stored, word_count
 EPOCHS = 3
 # Bins of virtual time: so many a unit, and so many units; later items share the last bin.
 BINS, UNITS = 1_024, 64
+# Keys of rows that are alike (ids and hashes) up to this many are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def sized(docs: DataFrame, seed: int = 7) -> DataFrame:
@@ -86,7 +88,8 @@ def _first_left_out(items: DataFrame, total: int) -> tuple[float, int, int] | No
 
 
 def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
-    """doc_id, source, size, source_size, target, times, taken, finish (of the first epoch) for each row."""
+    """doc_id, source, size, source_size, target, times, taken, finish (of the first epoch) and mark (hash of the text) for
+    each row."""
     sizes = stored(sized(docs, seed), "sizes")
     sources = stored(source_targets(sizes, weights, epochs), "mix")
     named = sources.select(F.col("source").alias("__source"), "place", "source_size", "before", "target")
@@ -108,24 +111,35 @@ def mix(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), ep
 
     times = F.when(live, sum(served(e) for e in range(epochs))).otherwise(0)
     return queue.select("doc_id", "source", "size", "source_size", "target", times.cast("int").alias("times"),
-                        (F.col("size") * times).cast("long").alias("taken"), F.when(live, finish(0)).alias("finish"))
+                        (F.col("size") * times).cast("long").alias("taken"), F.when(live, finish(0)).alias("finish"), "mark")
 
 
 def mixed(docs: DataFrame, seed: int = 7, weights: tuple[int, ...] = (1, 2, 3), epochs: int = EPOCHS) -> DataFrame:
     """The mixed stream: whole rows, each as often as it is taken, sorted by virtual finish time.
 
-    Rows are found again by id, source, size and, among rows alike in these, by a number: such rows have
-    the same size and so the same weight in the mix, whichever text gets which number.
+    Rows are found again by id, source and a hash of the text. Rows alike in these have the same text and so the same
+    weight in the mix, whichever gets which number; only they are numbered, all others meet their place in one join.
     """
-    alike = ["id", "source", "size"]
-    plan = (mix(docs, seed, weights, epochs).filter("times > 0")
-            .withColumn("lap", F.col("source_size") / F.col("target")).withColumnRenamed("doc_id", "id"))
-    plan = plan.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy("finish")))
-    plan = plan.select([F.col(c).alias(f"plan_{c}") for c in [*alike, "copy"]] + ["times", "finish", "lap"])
+    alike = ["id", "source", "mark"]
+    plan = mix(docs, seed, weights, epochs).select(
+        F.col("doc_id").alias("id"), "source", "mark", "times", "finish", (F.col("source_size") / F.col("target")).alias("lap"))
+    plan = stored(plan, "plan")
+    same = lambda left, right: [left[c].eqNullSafe(right[f"own_{c}"]) for c in alike]
+    own = lambda df: df.withColumnsRenamed({c: f"own_{c}" for c in alike})
+    several = stored(own(plan.groupBy(*alike).agg(F.count("*").alias("rows")).filter("rows > 1").drop("rows")), "alike")
+    # Hashes and ids; their number decides how they meet the rows.
+    few = F.broadcast(several) if several.count() <= BROADCAST_ROWS else several
     # The whole row as one column, so that no name of its columns can clash.
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"),
-                       F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"))
-    rows = rows.withColumn("copy", F.row_number().over(Window.partitionBy(*alike).orderBy(F.xxhash64("row.text"))))
-    same = [F.col(c).eqNullSafe(F.col(f"plan_{c}")) for c in [*alike, "copy"]]
+                       F.col("source").cast("string").alias("source"), F.xxhash64(F.col("text").cast("string")).alias("mark"))
+    once = own(plan.filter("times > 0").join(few, same(plan, few), "left_anti"))
+    single = rows.join(once, same(rows, once)).select("row", "id", "times", "finish", "lap")
+    number = F.row_number().over(Window.partitionBy(*alike).orderBy("finish"))
+    taken = plan.filter("times > 0")
+    copies = own(taken.join(few, same(taken, few), "left_semi").withColumn("copy", number)).withColumnRenamed("copy", "own_copy")
+    again = rows.join(few, same(rows, few), "left_semi").withColumn(
+        "copy", F.row_number().over(Window.partitionBy(*alike).orderBy(F.lit(0))))
+    numbered = again.join(copies, [*same(again, copies), again["copy"] == copies["own_copy"]]).select(
+        "row", "id", "times", "finish", "lap")
     laps = F.transform(F.sequence(F.lit(0), F.col("times") - 1), lambda e: F.col("finish") + e * F.col("lap"))
-    return rows.join(plan, same).withColumn("at", F.explode(laps)).orderBy("at", "id").select("row.*")
+    return single.unionByName(numbered).withColumn("at", F.explode(laps)).orderBy("at", "id").select("row.*")
