@@ -35,6 +35,8 @@ GOLAY_BITS, GOLAY_RADIUS = 23, 3
 GOLAY_POLYNOMIAL = 0xAE3
 # Rows of one side of a comparison task; larger anchors are split into a grid of tasks.
 ROWS_PER_TASK = 20_000
+# Wanted ids (with a hash or few each) up to this many are broadcast.
+BROADCAST_ROWS = 500_000
 # Shingle sets of one exact comparison task.
 GROUP_ROWS = 1_000
 
@@ -312,7 +314,9 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             yield pd.DataFrame(found, columns=["unit", "shingles"])
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     by_id = stored(wanted.filter("doc_id is not null").groupBy("doc_id").agg(F.collect_list("node").alias("nodes")), "wanted")
-    rows = texts.join(by_id, "doc_id").select("text", "nodes").unionByName(
+    # Ids and hashes; few of them are sent to the texts, so that no text moves.
+    few = F.broadcast(by_id) if by_id.count() <= BROADCAST_ROWS else by_id
+    rows = texts.join(few, "doc_id").select("text", "nodes").unionByName(
         texts.filter("doc_id is null").select("text", F.lit(None).cast("array<long>").alias("nodes")))
     return rows.mapInPandas(run, "unit long, shingles binary").dropDuplicates(["unit"])
 
