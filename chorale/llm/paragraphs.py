@@ -204,10 +204,53 @@ class Near:
         return left[near & (common > 0)]
 
 
+# Below this many sets a comparison of all pairs is cheaper than an index; the labels are the same.
+FEW = 6
+
+
+def _labels(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the first one of its component."""
+    label = np.arange(len(sets))
+    if len(sets) <= FEW:
+        for b in range(1, len(sets)):
+            for a in range(b):
+                if label[a] == label[b]:
+                    continue
+                small, large = sorted((len(sets[a]), len(sets[b])))
+                if small < similarity * large - 1e-9 or not small:
+                    continue
+                # Both are sorted and without repeats.
+                both = np.concatenate([sets[a], sets[b]])
+                both.sort()
+                common = int((both[1:] == both[:-1]).sum())
+                if common and common >= similarity * (small + large - common) - 1e-9:
+                    low, high = sorted((label[a], label[b]))
+                    label[label == high] = low
+        return label
+    near, left = Near(sets, similarity), label.copy()
+    while len(left):
+        first, left = left[0], left[1:]
+        queue = [first]
+        while queue and len(left):
+            found = near.rows_near(sets[queue.pop()], left, True)
+            label[found] = first
+            queue += found.tolist()
+            left = np.setdiff1d(left, found, assume_unique=True)
+    return label
+
+
 def _sets_of(column: pd.Series) -> list[np.ndarray]:
     return [np.frombuffer(x, np.uint64) for x in column]
 
 
+def _different(members: DataFrame) -> DataFrame:
+    """Of values with the same units (near copies agree in most bands) the rows of one."""
+    both = [F.bit_xor(F.xxhash64("unit", F.lit(k))).alias(f"x{k}") for k in (1, 2)]
+    same = members.groupBy("value").agg(F.count("*").alias("n"), F.min("unit").alias("a"), F.max("unit").alias("b"), *both)
+    one = same.groupBy("n", "a", "b", "x1", "x2").agg(F.min("value").alias("value")).select("value")
+    return members.join(one, "value", "left_semi")
+
+
 def jaccard_links(members: DataFrame, similarity: float, bucket_rows: int) -> DataFrame:
     """Edges (a, b) that connect all units of one value at `similarity` or more. members: value, unit, shingles.
 
@@ -224,21 +267,15 @@ def jaccard_links(members: DataFrame, similarity: float, bucket_rows: int) -> Da
     homes = cut.select("value", "blocks", block.alias("block"), "unit", "shingles")
 
     def inside(group: pd.DataFrame) -> pd.DataFrame | None:
-        group = group.drop_duplicates("unit").sort_values("unit", kind="stable")
-        unit, split = group["unit"].to_numpy(), group["blocks"].iloc[0] > 1
+        unit, first = np.unique(group["unit"].to_numpy(), return_index=True)
+        split = group["blocks"].iloc[0] > 1
         if len(unit) < 2 and not split:
             return None
-        near, label = Near(_sets_of(group["shingles"]), similarity), np.arange(len(unit))
-        left = label.copy()
-        while len(left):
-            first, left = left[0], left[1:]
-            queue = [first]
-            while queue and len(left):
-                found = near.rows_near(near.sets[queue.pop()], left, True)
-                label[found] = first
-                queue += found.tolist()
-                left = np.setdiff1d(left, found, assume_unique=True)
+        raw = group["shingles"].to_numpy()
+        label = _labels([np.frombuffer(raw[k], np.uint64) for k in first], similarity)
         kept = np.full(len(unit), True) if split else label != np.arange(len(unit))
+        if not kept.any():
+            return None
         return pd.DataFrame({"value": group["value"].iloc[0], "block": group["block"].iloc[0],
                              "unit": unit[kept], "label": unit[label[kept]]})
 
@@ -312,7 +349,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SI
     banded = units.select("unit", F.explode("bands").alias("value"))
     shared = stored(banded.groupBy("value").agg(F.min("unit").alias("a"), F.max("unit").alias("b"))
                     .filter("a < b").select("value"), "shared")
-    members = stored(banded.join(shared, "value").select("value", "unit").distinct(), "members")
+    members = stored(_different(stored(banded.join(shared, "value").select("value", "unit").distinct(), "banded")), "members")
     asked = members.select("unit").distinct()
     wanted = (units.select("unit", "doc_id").join(asked, "unit").groupBy("unit").agg(F.min("doc_id").alias("doc_id"))
               .groupBy("doc_id").agg(F.collect_list("unit").alias("units")))
