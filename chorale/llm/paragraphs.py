@@ -24,7 +24,6 @@ table gives an empty result; other columns are kept by `without_repeats` and nev
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,7 +76,18 @@ def _runs(own: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+def word_places(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """First characters of the words and the characters behind them."""
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    blank = np.ones(len(raw) + 2, np.int8)
+    blank[1:-1] = (raw == 32) | ((raw >= 9) & (raw <= 13))
+    turns = np.flatnonzero(blank[1:] != blank[:-1])
+    begins, ends = turns[::2], turns[1::2]
+    if len(raw) == len(text):
+        return begins, ends
+    # From bytes to characters: bytes that continue a character don't count.
+    before = np.concatenate([[0], np.cumsum((raw & 0xC0) != 0x80)])
+    return before[begins], before[ends]
 
 
 def pieces_of(text: str, own: np.ndarray, line: np.ndarray) -> tuple[list[int], list[int], list[np.ndarray], list[int]]:
@@ -93,9 +103,9 @@ def pieces_of(text: str, own: np.ndarray, line: np.ndarray) -> tuple[list[int],
     # Strictly less than those before it, so a run of one word has no cut.
     cuts = np.flatnonzero((triple < before) & (triple <= behind))
     bounds = [0, *cuts[cuts > 0].tolist(), len(own)]
-    spans = [m.span() for m in _WORD.finditer(text)]
+    begins, ends = word_places(text)
     kept = [(a, b) for a, b in zip(bounds, bounds[1:], strict=False) if b - a > REACH]
-    return ([spans[a][0] for a, _ in kept], [spans[b - 1][1] for _, b in kept],
+    return ([int(begins[a]) for a, _ in kept], [int(ends[b - 1]) for _, b in kept],
             [line[a:b][np.append(True, line[a + 1:b] != line[a:b - 1])] for a, b in kept],
             [xxhash.xxh64_intdigest(own[a:b].tobytes(), 11) for a, b in kept])
 

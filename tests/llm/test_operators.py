@@ -250,6 +250,25 @@ def test_paragraph_edges(spark, odd, none):
     assert [r["text"] for r in cut.filter("doc_id in (4, 5)").collect()] == ["", ""]
 
 
+def test_places_of_words():
+    for text in ("", " ", "a", " é語 b\tc\x0bd\x1ce 😀\n", "x\ud800 y", "one two", "\n\nend"):
+        begins, ends = paragraphs.word_places(text)
+        want = [m.span() for m in re.finditer("[^\x20\x09-\x0D]+", text)]
+        assert list(zip(begins.tolist(), ends.tolist(), strict=True)) == want
+
+
+def test_small_buckets_give_the_labels_of_the_index(monkeypatch):
+    random = np.random.default_rng(0)
+    cases = []
+    for _ in range(300):
+        base = random.integers(0, 60, 30)
+        cases.append([np.unique(random.choice(base, int(random.integers(0, 31)), replace=False)).astype(np.uint64)
+                      for _ in range(random.integers(2, 7))])
+    small = [paragraphs._labels(sets, 0.8).tolist() for sets in cases]
+    monkeypatch.setattr(paragraphs, "FEW", 0)
+    assert small == [paragraphs._labels(sets, 0.8).tolist() for sets in cases]
+
+
 def test_large_buckets_are_split_without_losing_links(spark):
     base = prose(4, 60).split()
     texts = [" ".join([*base[:k], f"w{k}", *base[k + 1:]]) for k in range(0, 60, 2)]
