@@ -234,17 +234,24 @@ def _thinned(linked, node):
     return [(a, np.array([b])) for a, b in kept]
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id reachable
-    over links of `most` (at most 4 with the two halves used here) differing bits.
+def near_links(prints: DataFrame, most: int = 4) -> DataFrame:
+    """Edges (a, b) that connect all fingerprints at `most` (at most 4 with the two halves used here) differing bits.
+
+    prints: `fingerprint`, every value once.
     """
     if most > (HALVES.threshold + 1) * HALVES.parts - 1:
         raise ValueError("the covering reaches 5 differing bits")
+    raw = F.unhex(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return links(prints.select(F.col("fingerprint").alias("node"), raw.alias("seek"), raw.alias("bits")), HALVES, most)
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 4, most: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row; component_id is the smallest doc_id reachable
+    over links of `most` differing bits.
+    """
     rows = stored(fingerprints(docs, shingle), "fingerprints")
     low = stored(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("low")), "distinct")
-    raw = F.unhex(F.lpad(F.hex("fingerprint"), 16, "0"))
-    nodes = low.select(F.col("fingerprint").alias("node"), raw.alias("seek"), raw.alias("bits"))
-    return labelled(rows, low, components(links(nodes, HALVES, most)), "fingerprint")
+    return labelled(rows, low, components(near_links(low, most)), "fingerprint")
 
 
 def labelled(rows: DataFrame, low: DataFrame, roots: DataFrame, key: str) -> DataFrame:
@@ -280,19 +287,21 @@ def wide_print(own: np.ndarray) -> bytes:
     return majority(deep.view(np.uint8).reshape(-1, 32))
 
 
-def document_prints(docs: DataFrame, shingle: int = 5) -> DataFrame:
-    """(doc_id, node, bits): the identity of the shingle set and its 256 bits, which find candidates only.
+def document_prints(docs: DataFrame, shingle: int = 5, narrow: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, node, bits): the 64-bit fingerprint over shingles of `narrow` words, the identity of the set
+    of shingles of `shingle` words and its 256 bits, which find candidates only.
 
-    At a similarity of 0.8 about 15 % of the bits differ, wherever the edits are. With 11 parts of 23 bits and a
+    At a similarity of 0.8 about 15 % of the 256 bits differ, wherever the edits are. With 11 parts of 23 bits and a
     threshold of 1, pairs beyond the threshold often meet as well.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             sets = [shingle_set(t, shingle) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "node": [node_of(x) for x in sets],
-                                "bits": [wide_print(x) for x in sets]})
+            prints = b"".join(fingerprint(t, narrow) for t in batch["text"])
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "fingerprint": np.frombuffer(prints, np.int64),
+                                "node": [node_of(x) for x in sets], "bits": [wide_print(x) for x in sets]})
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(
-        run, "doc_id long, node long, bits binary")
+        run, "doc_id long, fingerprint long, node long, bits binary")
 
 
 def bits_at(similarity: float, bits: int = 256, slack: float = 3) -> int:
@@ -321,29 +330,56 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return rows.mapInPandas(run, "unit long, shingles binary").dropDuplicates(["unit"])
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, node, component_id): documents grouped by links of `similarity` or more of their shingle sets.
+def similar_links(docs: DataFrame, nodes: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) that connect shingle sets of `similarity` or more. nodes: node, bits and its smallest doc_id `low`.
 
-    Pairs close by their bits only make candidate groups. Within one, sets are compared exactly, and components
-    are those of the exact links.
+    Pairs close by their bits only make candidate groups. Within one, sets are compared exactly.
     """
-    rows = stored(document_prints(docs, shingle), "prints")
-    nodes = stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits")), "distinct")
     near = stored(components(links(nodes.withColumn("seek", F.col("bits")), ELEVENS, bits_at(similarity))), "near")
     members = near.unionByName(near.select(F.col("root").alias("node"), "root").distinct())
     members = stored(members.join(nodes.select("node", F.col("low").alias("doc_id")), "node"), "members")
     sets = stored(_sets(docs, members.select("node", "doc_id"), shingle), "sets")
     asked = members.select(F.col("root").alias("value"), F.col("node").alias("unit")).join(sets, "unit")
-    roots = components(jaccard_links(asked, similarity, GROUP_ROWS))
+    return jaccard_links(asked, similarity, GROUP_ROWS)
+
+
+def _nodes(rows: DataFrame) -> DataFrame:
+    return stored(rows.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("bits").alias("bits")), "distinct")
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, node, component_id): documents grouped by links of `similarity` or more of their shingle sets."""
+    rows = stored(document_prints(docs, shingle), "prints")
+    nodes = _nodes(rows)
+    roots = components(similar_links(docs, nodes, shingle, similarity))
     return labelled(rows.select("doc_id", "node"), nodes.select("node", "low"), roots, "node")
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_copies(docs: DataFrame, narrow: int = 4, most: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, node, component_id): documents grouped by the links of `near_duplicates` and those of `similar_documents`.
+
+    Fingerprints of shingles of `narrow` words link at `most` differing bits, all such pairs. Near copies that differ in
+    more bits are linked by the exact similarity of their sets. A component is reached over links of either kind.
+    """
+    rows = stored(document_prints(docs, shingle, narrow), "prints")
+    nodes = _nodes(rows)
+    prints = stored(rows.select("fingerprint", "node").distinct(), "fingerprints")
+    roots = components(near_links(prints.select("fingerprint").distinct(), most))
+    # The nodes of one component of fingerprints hang on its smallest node.
+    held = stored(prints.join(roots.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").select(
+        F.coalesce("root", "fingerprint").alias("root"), "node").distinct(), "held")
+    hubs = held.groupBy("root").agg(F.min("node").alias("a"))
+    linked = held.join(hubs, "root").select("a", F.col("node").alias("b")).filter("a <> b")
+    both = components(linked.unionByName(similar_links(docs, nodes, shingle, similarity)))
+    return labelled(rows.select("doc_id", "node"), nodes.select("node", "low"), both, "node")
+
+
+def one_of_each(docs: DataFrame, narrow: int = 4, most: int = 4, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """One document of each group: the row with the smallest doc_id; of repeated rows with that id, one.
 
     Rows with a null doc_id are kept: nothing tells them apart from others in a report.
     """
-    groups = similar_documents(docs, shingle, similarity)
+    groups = near_copies(docs, narrow, most, shingle, similarity)
     keep = stored(groups.filter("doc_id = component_id").select("doc_id").distinct(), "kept")
     # The whole row as one column, so that no name of its columns can clash.
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))

@@ -26,7 +26,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, by SimHash of five-word shingles at a similarity of 0.8."""
+    """One document of each group of near duplicates: SimHash at 4 or fewer of 64 bits, as op5, and beyond these the near
+    copies with 0.8 of their five-word shingles in common.
+    """
     return simhash.one_of_each(docs)
 
 

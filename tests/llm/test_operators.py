@@ -423,6 +423,28 @@ def test_near_copies_by_exact_similarity(spark):
     assert [r["component_id"] for r in both] == [9, 9, 9]
 
 
+def test_one_of_each_follows_fingerprints_too(spark):
+    """A group stays together over links of 4 or fewer of 64 bits and over exact similarity, whichever a pair has."""
+    common_words, texts = "the same few words come again and again in this text ", []
+    for k in range(6):
+        # Repeats decide the fingerprint; the sets have less than 0.8 in common.
+        texts += [common_words * 60 + prose(100 + 2 * k, 12), common_words * 60 + prose(101 + 2 * k, 12)]
+    long = prose(200, 300)
+    # Alike by their sets, not by their fingerprints: a block that is new at the end.
+    texts += [long, long + " " + prose(201, 60), prose(202, 300), prose(203, 300)]
+    docs = documents(spark, texts)
+    prints = [plain_print(t) for t in texts]
+    near = [(a, b) for a in range(len(texts)) for b in range(a) if (prints[a] ^ prints[b]).bit_count() <= 4]
+    alone = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
+    assert any(alone[a] != alone[b] for a, b in near) and (prints[12] ^ prints[13]).bit_count() > 4 and alone[13] == 12
+    want = reach(near + list(alone.items()), range(len(texts)))
+    assert {r["doc_id"]: r["component_id"] for r in simhash.near_copies(docs).collect()} == want
+    assert sorted(r["doc_id"] for r in simhash.one_of_each(docs).collect()) == sorted(set(want.values()))
+    # Rows without an id take part.
+    bridge = documents(spark, [texts[0], texts[1], texts[1]]).withColumn("doc_id", F.expr("case doc_id when 0 then 5 when 2 then 9 end"))
+    assert sorted((r["doc_id"] or 0, r["component_id"]) for r in simhash.near_copies(bridge).collect()) == [(0, 5), (5, 5), (9, 5)]
+
+
 # 6. Mixing
 
 def test_mixing_targets_and_caps(spark, odd, none):
