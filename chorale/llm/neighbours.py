@@ -9,6 +9,11 @@ once for each leaf, and all vectors of these leaves are scored exactly, in doubl
 the price of recall: on near-isotropic vectors of 64 components eight trees reach 0.95 of the true 20
 nearest only at 1.1, which is two thirds of all vectors; clustered vectors need far less.
 
+Few candidates leave the tasks. The sample's vectors in the leaves that a query takes are candidates of it, so none
+below the best of these can be in its result: a query goes out with the score of its `top` + 1st as a bound.
+The leaves of a tree are dealt into `CELLS` cells, and a task gives a query's best of a cell, not of each leaf. So a
+query makes at most `top` + 1 rows for each cell of each tree, however many vectors and leaves there are.
+
 Equal vectors are one class, indexed once with its smallest `top` + 1 ids: no other member can be among
 a query's `top` nearest, as ties go to smaller ids.
 
@@ -29,11 +34,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chorale.llm.common import by_groups, stored
+from chorale.llm.common import groups_of, stored
 
 TOP, TREES, SHARE, SAMPLE, LEAF_ROWS = 20, 8, 1.1, 20_000, 1_024
 # Queries of a leaf that one task scores.
 BLOCK_QUERIES = 20_000
+# Cells of a tree: runs of leaves, a power of two.
+CELLS = 4
+# Queries that meet the sample at once, and candidates that a task holds before it keeps the best only.
+ROUTE_ROWS, HELD_ROWS = 64, 1_000_000
 
 
 @dataclass
@@ -102,14 +111,115 @@ def grow(sample: np.ndarray, longest: float, levels: int, trees: int, seed: int
     return forest
 
 
+def best_of(asks: np.ndarray, classes: np.ndarray, scores: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """The `most` highest of each query, equal scores by ascending class."""
+    order = np.lexsort((classes, -scores, asks))
+    asks, classes, scores = asks[order], classes[order], scores[order]
+    starts = np.flatnonzero(np.append(True, asks[1:] != asks[:-1])[:len(asks)])
+    place = np.arange(len(asks)) - np.repeat(starts, np.diff(np.append(starts, len(asks))))
+    kept = place < most
+    return asks[kept], classes[kept], scores[kept]
+
+
 def usable(vector: Column, size: int | None = None) -> Column:
     fine = F.forall(vector, lambda x: x.isNotNull() & (F.abs(x) < float("inf")) & ~F.isnan(x))
     good = vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
     return F.coalesce(good if size is None else good & (F.size(vector) == size), F.lit(False))
 
 
+def candidates(classes: DataFrame, asked: DataFrame, forest: Forest, points: np.ndarray, wanted: float, top: int = TOP,
+               blocks: int = 1, held_rows: int = HELD_ROWS) -> DataFrame:
+    """(ask, class, score): the `top` + 1 best of each query in the leaves it takes, a few of them once for each tree.
+
+    classes: class and embedding, all different; asked: ask and embedding; points: vectors of `classes`, as drawn.
+    """
+    trees, levels, longest = len(forest.normals), forest.levels, forest.longest
+    spots, width = forest.leaves(points), max(1, (1 << levels) // CELLS)
+
+    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            x = np.stack(batch["embedding"].to_list())
+            leaf, raw = forest.leaves(x), [v.tobytes() for v in x]
+            for tree in range(trees):
+                yield pd.DataFrame({"tree": np.int32(tree), "leaf": leaf[:, tree].astype(np.int32), "asks": False,
+                                    "id": batch["class"], "vector": raw, "bound": -np.inf})
+
+    def bounds(x: np.ndarray, ways: list[np.ndarray]) -> np.ndarray:
+        """For each query a score that `top` + 1 vectors of its leaves reach, as far as the sample tells."""
+        if len(points) <= top:
+            return np.full(len(x), -np.inf)
+        taken, seen = np.zeros((len(x), trees, 1 << levels), bool), np.zeros((len(x), len(points)), bool)
+        for k, at in enumerate(ways):
+            taken[k, at[:, 0], at[:, 1]] = True
+        for tree in range(trees):
+            seen |= taken[:, tree, spots[:, tree]]
+        scores = np.where(seen, x @ points.T, -np.inf)
+        # Less what two matrix products may differ by.
+        slack = 1e-9 * longest * np.linalg.norm(x, axis=1)
+        return np.partition(scores, -top - 1, axis=1)[:, -top - 1] - slack
+
+    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for begin in range(0, len(batch), ROUTE_ROWS):
+                chunk = batch.iloc[begin:begin + ROUTE_ROWS]
+                x = np.stack(chunk["embedding"].to_list())
+                ways = [np.array(forest.probes(v, wanted), np.int32).reshape(-1, 2) for v in x]
+                for i, v, at, low in zip(chunk["ask"], x, ways, bounds(x, ways), strict=True):
+                    yield pd.DataFrame({"tree": at[:, 0], "leaf": at[:, 1], "asks": True, "id": i, "vector": v.tobytes(),
+                                        "bound": low})
+
+    kind = "tree int, leaf int, asks boolean, id long, vector binary, bound double"
+    base = classes.select("class", "embedding").mapInPandas(index, kind)
+    asks_of = asked.repartition(classes.sparkSession.sparkContext.defaultParallelism, "ask").mapInPandas(route, kind)
+    both = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(
+        asks_of.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
+
+    def score(group: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+        """(asks, classes, scores) within one leaf: the best of each query, none below its bound."""
+        asks_ = group["asks"].to_numpy()
+        if not asks_.any() or asks_.all():
+            return
+        wide = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(len(group), -1)
+        ids = group["id"].to_numpy()
+        base, base_ids = wide[~asks_], ids[~asks_]
+        step = max(1, 4_000_000 // len(base))
+        asking, ask_ids, low = wide[asks_], ids[asks_], group["bound"].to_numpy()[asks_]
+        for begin in range(0, len(asking), step):
+            scores = asking[begin:begin + step] @ base.T
+            ask, at = np.nonzero(~(scores < low[begin:begin + step, None]))
+            yield best_of(ask_ids[begin:begin + step][ask], base_ids[at], scores[ask, at], top + 1)
+
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The best of each query in each cell; leaf by leaf, with `held_rows` candidates and the best so far at most."""
+        cell, held, rows_held, full = None, [], 0, held_rows
+
+        def best() -> tuple[np.ndarray, ...]:
+            return best_of(*(np.concatenate(x) for x in zip(*held, strict=True)), top + 1)
+
+        def named() -> Iterator[pd.DataFrame]:
+            if held:
+                yield pd.DataFrame(dict(zip(("ask", "class", "score"), best(), strict=True)))
+        for group in groups_of(batches, ["block", "tree", "cell", "leaf"]):
+            own = tuple(group[["block", "tree", "cell"]].iloc[0])
+            if own != cell:
+                yield from named()
+                cell, held, rows_held, full = own, [], 0, held_rows
+            for found in score(group):
+                held.append(found)
+                rows_held += len(found[0])
+                if rows_held > full:
+                    held = [best()]
+                    rows_held = len(held[0][0])
+                    full = rows_held + held_rows
+        yield from named()
+
+    keys = ["block", "tree", "cell"]
+    dealt = both.withColumn("cell", F.floor(F.col("leaf") / width).cast("int")).repartition(*keys)
+    return dealt.sortWithinPartitions(*keys, "leaf").mapInPandas(search, "ask long, class long, score double")
+
+
 def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES, share: float = SHARE, least: int = 0,
-            sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
+            sample: int = SAMPLE, leaf_rows: int = LEAF_ROWS, block_queries: int = BLOCK_QUERIES, held_rows: int = HELD_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: the `top` nearest found of each row for which `asks` holds.
 
     vectors: vec_id and embedding. The forest is fitted on at most `sample` vectors (the smallest
@@ -139,52 +249,12 @@ def nearest(vectors: DataFrame, asks: Column, top: int = TOP, trees: int = TREES
     levels = min(deepest, max(0, int(np.ceil(np.log2(total / leaf_rows)))))
     forest = grow(points, longest, levels, trees)
     wanted = max(share, trees * least / total)
-
-    def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            x = np.stack(batch["embedding"].to_list())
-            leaf, raw = forest.leaves(x), [v.tobytes() for v in x]
-            for tree in range(trees):
-                yield pd.DataFrame({"tree": np.int32(tree), "leaf": leaf[:, tree].astype(np.int32), "asks": False,
-                                    "id": batch["class"], "vector": raw})
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for i, v in zip(batch["ask"], batch["embedding"], strict=True):
-                at = np.array(forest.probes(v, wanted), np.int32).reshape(-1, 2)
-                yield pd.DataFrame({"tree": at[:, 0], "leaf": at[:, 1], "asks": True, "id": i, "vector": v.tobytes()})
-
     queries = stored(rows.filter(asks).select("vec_id", F.xxhash64("embedding").alias("hash"), "embedding").distinct(),
                      "queries")
     asked = stored(queries.groupBy("embedding").agg(F.min("vec_id").alias("ask")), "asked")
-    kind = "tree int, leaf int, asks boolean, id long, vector binary"
     # A leaf is asked by about share / trees of all queries.
     blocks = max(1, int(np.ceil(asked.count() * wanted / trees / block_queries)))
-    base = classes.select("class", "embedding").mapInPandas(index, kind)
-    asks_of = asked.repartition(spark.sparkContext.defaultParallelism, "ask").mapInPandas(route, kind)
-    both = base.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(
-        asks_of.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")))
-
-    def score(group: pd.DataFrame) -> pd.DataFrame | None:
-        asks_ = group["asks"].to_numpy()
-        if not asks_.any() or asks_.all():
-            return None
-        wide = np.frombuffer(b"".join(group["vector"]), np.float64).reshape(len(group), -1)
-        ids = group["id"].to_numpy()
-        base, base_ids, out = wide[~asks_], ids[~asks_], []
-        by_id = np.argsort(base_ids, kind="stable")
-        base, base_ids = base[by_id], base_ids[by_id]
-        step = max(1, 4_000_000 // len(base))
-        asking, ask_ids = wide[asks_], ids[asks_]
-        for begin in range(0, len(asking), step):
-            scores = asking[begin:begin + step] @ base.T
-            keep = min(top + 1, len(base))
-            best = np.argsort(-scores, axis=1, kind="stable")[:, :keep]
-            out.append(pd.DataFrame({"ask": np.repeat(ask_ids[begin:begin + step], keep), "class": base_ids[best].ravel(),
-                                     "score": np.take_along_axis(scores, best, 1).ravel()}))
-        return pd.concat(out)
-
-    found = by_groups(both, ["tree", "leaf", "block"], score, "ask long, class long, score double")
+    found = candidates(classes, asked, forest, points, wanted, top, blocks, held_rows)
     # The same pair may differ in the last digit from one matrix product to another.
     found = found.groupBy("ask", "class").agg(F.max("score").alias("score"))
     best = Window.partitionBy("ask").orderBy(F.desc("score"), "class")

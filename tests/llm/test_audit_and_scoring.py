@@ -325,6 +325,30 @@ def test_neighbour_recall_at_the_registered_share(spark, number):
     assert hits >= 0.9 * 20 * len(asked)
 
 
+def test_neighbour_candidates_do_not_grow_with_the_leaves(spark):
+    """Four times the vectors and leaves: a bounded number of rows a query, and the result of scoring all leaves that it takes."""
+    random, rows = np.random.default_rng(3), []
+    for number, sample, held in ((1_500, 200, 1_000_000), (6_000, 200, 500), (6_000, 6_000, 500)):
+        vectors = random.normal(size=(number, 16))
+        vectors[number - 30:] = np.round(vectors[number - 30:])  # equal scores
+        points, queries = vectors[:sample], range(0, number, number // 30)
+        levels = int(np.log2(number / 47))
+        forest = neighbours.grow(points, np.sqrt((vectors ** 2).sum(axis=1).max()), levels, 4)
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "class long, embedding array<double>")
+        asked = frame.filter(F.col("class").isin(*queries)).withColumnRenamed("class", "ask")
+        found = neighbours.candidates(frame, asked, forest, points, 1.1, 20, 2, held).collect()
+        rows.append(len(found) / len(queries))
+        leaf = forest.leaves(vectors)
+        for q in queries:
+            taken = set(forest.probes(vectors[q], 1.1))
+            held_by = [i for i in range(number) if any((t, leaf[i, t]) in taken for t in range(4))]
+            want = sorted(held_by, key=lambda i: (-round(float(vectors[i] @ vectors[q]), 9), i))[:21]
+            got = {(r["class"], round(r["score"], 9)) for r in found if r["ask"] == q}
+            assert [i for i, _ in sorted(got, key=lambda x: (-x[1], x[0]))[:21]] == want
+    # At most 21 for each of 4 cells of 4 trees; where the sample tells all, 21 for each tree.
+    assert max(rows) <= 4 * 4 * 21 and rows[2] < 4 * 22
+
+
 # 1. Line templates
 
 def plain_templates(docs, min_docs=10, depth=3, alike=0.6):
