@@ -91,24 +91,30 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
 
+def _to_smallest(edges: DataFrame) -> DataFrame:
+    """The same connections: a node keeps its smallest neighbour, which its other smaller ones are linked to.
+
+    Edges are (a, b) with a > b, before and after. Each edge makes one edge, and most of those are equal.
+    """
+    least = edges.select("a", "b", F.min("b").over(Window.partitionBy("a")).alias("m"))
+    return least.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node with an edge (a, b) that isn't itself its component's smallest node.
 
     Alternating stars: every round links the larger neighbours of a node to its smallest neighbour,
     then its smaller ones. The number of rounds grows with the logarithm of a component's diameter.
+    The smaller ones come first once before: forests of many tasks that share their nodes name up to
+    one smaller neighbour a task for each, and all but one of these go before any join.
     """
     edges = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
-    edges = stored(edges, "edges")
+    edges = stored(_to_smallest(edges), "edges")
     mark = _mark(edges)
     while mark[0]:
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = (both.filter("b > a").join(low, "a")
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
-        small = large.join(large.groupBy("a").agg(F.min("b").alias("m")), "a")
-        edges = stored(small.select("a", F.col("m").alias("b"))
-                       .union(small.select(F.col("b").alias("a"), F.col("m").alias("b")))
-                       .filter("a <> b").distinct(), "edges")
+        low = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = edges.join(low, "b", "left").select("a", F.coalesce("m", "b").alias("b"))
+        edges = stored(_to_smallest(large), "edges")
         old, mark = mark, _mark(edges)
         if mark == old:
             break

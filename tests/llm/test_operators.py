@@ -72,6 +72,38 @@ def test_components(spark):
     assert {n: found.get(n, n) for n in want} == want
 
 
+def test_components_join_few_rows(spark, monkeypatch):
+    """Forests of many tasks over the same nodes: each names smallest nodes of its own, so nodes have many smaller ones."""
+    random = np.random.default_rng(4)
+    hubs, nodes = 60, 600
+    pairs = [(int(h), int(x)) for x in range(hubs, nodes) for h in random.choice(hubs, 30, replace=False)]
+    frame, made = spark.createDataFrame(pairs, "a long, b long"), []
+    plain = type(frame).join
+
+    def join(self, *args, **kwargs):
+        out = plain(self, *args, **kwargs)
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(type(frame), "join", join)
+    found = {tuple(r) for r in common.components(frame).collect()}
+    assert found == {(x, 0) for x in range(1, nodes)}
+    # 16,200 edges of 600 nodes.
+    assert made and sum(made) < 8 * nodes
+
+
+@pytest.mark.parametrize("size", [0, 1, 2, 50])
+def test_components_of_odd_graphs(spark, size):
+    """A largest node in the middle, a path in random order, loops, repeated and reversed edges, a negative and a null end."""
+    random = np.random.default_rng(size)
+    path = [int(x) for x in random.permutation(size) + 100]
+    pairs = [(1_000, -k) for k in range(size)] + list(zip(path, path[1:], strict=False))
+    pairs += [(b, a) for a, b in pairs] + pairs[:5] + [(7_000, 7_000)]
+    want = reach(pairs, {x for p in pairs for x in p})
+    rows = common.components(spark.createDataFrame([*pairs, (None, 8_000)], "a long, b long")).collect()
+    assert {(r["node"], r["root"]) for r in rows} == {(n, m) for n, m in want.items() if n != m} and len(rows) == len({r["node"] for r in rows})
+
+
 def test_word_count(spark):
     texts = [None, "", " ", "\t\n", "a", " a", "a ", " a  b c ", "x\x0by\x0cz"]
     counted = documents(spark, texts).orderBy("doc_id").select(common.word_count(F.col("text"))).collect()
